@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.ann import nearest
 from weftline.llm.common import tables
+from weftline.llm.html_text import extract
+from weftline.llm.lang_id import LangParams, identify
 from weftline.llm.near_dup import NearDupParams, near_duplicates
+from weftline.llm.quality import score_quality
+from weftline.llm.token_counts import TokenCountParams, count_tokens
+from weftline.llm.url_filter import Rule, judge
+
+URL_RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = tables(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +34,61 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, NearDupParams(shingle=2))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = tables(spark, sf_dir, "pages")
+    return extract(pages)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return identify(docs, LangParams(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    return nearest(vectors, "id % 20 = 0")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return score_quality(docs, labels)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return count_tokens(docs, TokenCountParams(public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_minhash_near_dedup,
+        op5_html_extraction,
+        op6_language_id,
+        op7_nearest_neighbours,
+        op9_quality_classifier,
+        op10_token_counts,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": r"""
+        WITH parts AS (
+            SELECT page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', ['host', 'path'], 's').host, '') AS raw_host,
+                   coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', ['host', 'path'], 's').path, '') AS path
+            FROM pages
+        ), lowered AS (
+            SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts
+        ), rules(rule_host, rule_path, rule_verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+        ), best AS (
+            SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+            FROM lowered JOIN rules ON ('.' || host) LIKE ('%.' || rule_host) AND starts_with(path, rule_path)
+            GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+        FROM lowered LEFT JOIN best USING (page_id)
+    """,
+}
