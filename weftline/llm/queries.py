@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm.ann import nearest
 from weftline.llm.common import tables
@@ -13,6 +14,7 @@ from weftline.llm.html_text import extract
 from weftline.llm.lang_id import LangParams, identify
 from weftline.llm.near_dup import NearDupParams, near_duplicates
 from weftline.llm.quality import score_quality
+from weftline.llm.substring import remove_repeats
 from weftline.llm.token_counts import TokenCountParams, count_tokens
 from weftline.llm.url_filter import Rule, judge
 
@@ -34,6 +36,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, NearDupParams(shingle=2))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     (pages,) = tables(spark, sf_dir, "pages")
     return extract(pages)
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_filters,
         op2_minhash_near_dedup,
+        op4_substring_dedup,
         op5_html_extraction,
         op6_language_id,
         op7_nearest_neighbours,
