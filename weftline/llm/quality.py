@@ -137,6 +137,12 @@ def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
+def learn(found: DataFrame, labels: DataFrame, p: QualityParams) -> Discriminant:
+    """From the features of documents that aren't held out and their labels."""
+    known = labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)")
+    return fit(found.where(~held_out(F.col("doc_id"), 5, 0)).join(known, "doc_id"), p)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted.
 
@@ -146,9 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = Quality
     any text. Rows whose doc_id is null are scored and teach nothing. Other columns are not read.
     """
     found = cut(features(docs))
-    known = labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)")
-    taught = found.where(~held_out(F.col("doc_id"), 5, 0)).join(known, "doc_id")
-    model = fit(taught, p)
+    model = learn(found, labels, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +166,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = Quality
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least the threshold."""
-    good = score_quality(docs, labels, p).where("predicted = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good.good_id), "left_semi")
+    """The rows of docs, all columns, whose score is at least the threshold; learned as in score_quality."""
+    model = learn(features(docs), labels, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in as_bytes(batch.column("text"))]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.scores(x) >= p.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
