@@ -1,12 +1,79 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet before the next."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet before the next one reads it."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm.common import cut
+from weftline.llm.decontaminate import contaminated
+from weftline.llm.mixing import mix
+from weftline.llm.near_dup import NearDupParams, near_duplicates
+from weftline.llm.quality import keep_good
+from weftline.llm.substring import SubstringParams, remove_repeats
+
+#: Ids up to this number are broadcast to drop their documents; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids."""
+    ids = cut(ids.select(F.col("doc_id").alias("gone_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return _without(docs, near_duplicates(docs, NearDupParams(shingle=5)).where("not kept"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words that repeated passages cover; other texts stay as they are."""
+    rest = remove_repeats(docs, SubstringParams(untouched=True), carry=("lang", "source"))
+    return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that a document is taken into the mixture, with its text."""
+    return mix(docs, carry=("text", "lang", "n_chars"))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixing),
+]
 
-STAGES: list = []
+#: No SQL: the classifier is fitted and the components are iterated; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over the documents table of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cut(spark.range(0))  # makes sure of a shared folder
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

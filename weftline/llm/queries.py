@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm.ann import nearest
 from weftline.llm.common import tables
+from weftline.llm.decontaminate import contaminated
 from weftline.llm.html_text import extract
 from weftline.llm.lang_id import LangParams, identify
+from weftline.llm.mixing import mix
 from weftline.llm.near_dup import NearDupParams, near_duplicates
 from weftline.llm.quality import score_quality
 from weftline.llm.substring import remove_repeats
@@ -36,6 +38,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, NearDupParams(shingle=2))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    return contaminated(docs, benchmark)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,6 +63,11 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, "id % 20 = 0")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return mix(docs)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents", "labels")
     return score_quality(docs, labels)
@@ -71,10 +83,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_filters,
         op2_minhash_near_dedup,
+        op3_benchmark_decontamination,
         op4_substring_dedup,
         op5_html_extraction,
         op6_language_id,
         op7_nearest_neighbours,
+        op8_source_mixing,
         op9_quality_classifier,
         op10_token_counts,
     )

@@ -35,12 +35,14 @@ from weftline.llm.common import as_bytes, cut, groups, hash_words, rolling
 @dataclass(frozen=True)
 class SubstringParams:
     """window: words of a window. anchor: words of an anchor. shard: segments of an automaton, at least
-    (an anchor is never split). held: distinct segments that a task counts before it hands them on."""
+    (an anchor is never split). held: distinct segments that a task counts before it hands them on.
+    untouched: a text that loses nothing is kept as it is, white space and null included."""
 
     window: int = 35
     anchor: int = 8
     shard: int = 8_000
     held: int = 50_000
+    untouched: bool = False
 
 
 def window_anchors(words: list[bytes], p: SubstringParams) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +270,7 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), carr
                     n = len(words)
                 sizes.append(n)
                 lost.append(n - len(words))
-                kept.append(b" ".join(words))
+                kept.append(text if p.untouched and len(words) == n else b" ".join(words))
             columns = [batch.column("row"), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n_words", "n_removed", "kept"])
 
