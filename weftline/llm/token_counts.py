@@ -6,7 +6,8 @@ batches of about equal bytes, and a batch is encoded at once. Two ways to encode
 * ``word_level``: for tokenizers that drop white space and never join characters across it. Each
   distinct word is encoded once and its length is kept in a bounded memo.
 * otherwise pieces are encoded as they are, and long texts are cut only in front of a single space
-  between two letters or digits, where such tokenizers always start a new token.
+  between two letters or digits, where such tokenizers always start a new token (sentencepiece puts
+  that space in front of each text itself, so there it is dropped).
 """
 
 from __future__ import annotations
@@ -59,12 +60,12 @@ def encoder(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def pieces(text: bytes, most: int, cut: re.Pattern[bytes]) -> Iterator[bytes]:
-    """The text in order, cut at the first match of ``cut`` after each ``most`` bytes."""
+def pieces(text: bytes, most: int, cut: re.Pattern[bytes], drop: bool = False) -> Iterator[bytes]:
+    """The text in order, cut at the first match of ``cut`` after each ``most`` bytes, which begins the next piece or is dropped."""
     start = 0
     while len(text) - start > most and (found := cut.search(text, start + most)):
         yield text[start : found.start()]
-        start = found.start()
+        start = found.end() if drop else found.start()
     yield text[start:]
 
 
@@ -109,6 +110,7 @@ def count_tokens(docs: DataFrame, p: TokenCountParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(p.path)
         memo = WordMemo(encode, p.memo)
+        safe = _SPACE if p.word_level else _SAFE_CUT
         for batch in batches:
             sizes, totals = [0] * batch.num_rows, [0] * batch.num_rows
             held: list[tuple[int, bytes]] = []
@@ -127,7 +129,7 @@ def count_tokens(docs: DataFrame, p: TokenCountParams) -> DataFrame:
 
             for row, text in enumerate(as_bytes(batch.column("text"))):
                 sizes[row] = len(text or b"")
-                for piece in pieces(text or b"", p.piece_bytes, _SPACE if p.word_level else _SAFE_CUT):
+                for piece in pieces(text or b"", p.piece_bytes, safe, p.path.endswith(".model")):
                     held.append((row, piece))
                     weight += len(piece)
                     if weight >= p.batch_bytes:
