@@ -59,7 +59,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div id="sidebar"><p>Side text that goes on for a while, longer than a menu</p></div>{body}
 <section class="comments"><article class="comment"><p>Nice page, thanks for this long and detailed article!</p></article></section>
 <form><label>Name</label><input name="n"><textarea>x</textarea></form><footer>&copy; Me</footer></body></html>"""
-BODY = "<h1>A &amp; B</h1><p>First  para &eacute;&#233;<b>bo</b>ld<br>next.<p>Unclosed para<div class='ad-box'>Buy!</div><ul><li>one<li>two</ul><p>Ok.</p>"
+BODY = "<h1>A &amp; B</h1><p>First  para &eacute;&#233;<b>bo</b>l<script>var x = '<p>';</script><span class='ad'>Buy</span>d<br>next.<p>Unclosed para<div class='ad-box'>Buy!</div><ul><li>one<li>two</ul><p>Ok.</p>"
 TEXT = "A & B\nFirst para éébold next.\nUnclosed para\none\ntwo\nOk."
 
 
@@ -69,9 +69,10 @@ def test_article_text(wrap):
 
 
 def test_pages_with_nothing():
-    for html in (None, "", "   ", "<nav>Menu</nav>", "<script>x</script>", "<", "<p></p>", "<!-- c -->"):
+    for html in (None, "", "   ", "<nav>Menu</nav>", "<script>x</script>", "<p></p>", "<!-- c -->"):
         assert main_text(html) == ""
     assert main_text("plain words only") == "plain words only"
+    assert main_text("1 <") == "1 <"  # HTML reads a lone bracket as text
     assert main_text("<article>" + "<p>x y</p>" * 5000) == "\n".join(["x y"] * 5000)
 
 

@@ -35,6 +35,7 @@ BLOCKS = frozenset(
     " head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template tfoot th thead"
     " title tr ul".split()
 )
+SECTIONS = frozenset("article body div main section table td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DEAD = frozenset(
     "aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend math menu nav noscript object optgroup option"
@@ -53,29 +54,38 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+#: What an open element does with its text: a dead block still makes lines, a dead inline element only drops its text.
+DEAD_LINE, MUTE = 1, 2
+_OUTSIDE: tuple[str, int, int, tuple[int, ...]] = ("", 0, 0, ())
+
+
 @dataclass
 class Line:
     text: str
     tags: int
     zone: int
     dead: bool
+    path: tuple[int, ...]
 
 
 class LineReader(HTMLParser):
-    """Collects lines from parser events; keeps a stack of open elements as (name, dead, zone)."""
+    """Collects lines from parser events; keeps a stack of open elements as (name, dead, zone, path).
+
+    zone numbers the article or main element around, path the sections around, from the outermost on.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.held: list[str] = []
-        self.tags = self.zones = 0
+        self.tags = self.zones = self.sections = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            _, dead, zone = self.open[-1] if self.open else ("", False, 0)
-            self.lines.append(Line(text, self.tags, zone, dead))
+            _, dead, zone, path = self.open[-1] if self.open else _OUTSIDE
+            self.lines.append(Line(text, self.tags, zone, bool(dead), path))
             self.tags = 0
         self.held = []
 
@@ -86,7 +96,7 @@ class LineReader(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
-            if tag in CLOSES_P and any(name == "p" for name, _, _ in self.open):
+            if tag in CLOSES_P and any(x[0] == "p" for x in self.open):
                 self.close_to("p", {"article", "main", "section", "div", "td", "li", "blockquote"})
             elif tag == "li":
                 self.close_to("li", {"ul", "ol", "menu"})
@@ -96,12 +106,16 @@ class LineReader(HTMLParser):
         if tag in ("article", "main") and not self.marked(tag, attrs):
             while self.open and self.open[-1][1]:  # an element that was never closed
                 self.open.pop()
-        _, dead, zone = self.open[-1] if self.open else ("", False, 0)
-        dead = dead or tag in DEAD or (tag == "header" and not zone) or self.marked(tag, attrs)
+        _, dead, zone, path = self.open[-1] if self.open else _OUTSIDE
+        if not dead and (tag in DEAD or (tag == "header" and not zone) or self.marked(tag, attrs)):
+            dead = DEAD_LINE if tag in BLOCKS else MUTE
         if tag in ("article", "main") and not dead and (tag == "article" or not zone):
             self.zones += 1
             zone = self.zones
-        self.open.append((tag, dead, zone))
+        if tag in SECTIONS:
+            self.sections += 1
+            path = (*path, self.sections)
+        self.open.append((tag, dead, zone, path))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -125,7 +139,8 @@ class LineReader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.held.append(data)
+        if not self.open or self.open[-1][1] != MUTE:
+            self.held.append(data)
 
     @staticmethod
     def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -189,9 +204,9 @@ def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
         least = p.zone_share * max(zones.values())
         keep = alive & np.isin(zone, [z for z, n in zones.items() if n >= least])
     else:
-        found = np.flatnonzero(content)
-        keep = alive.copy()
-        keep[: found[0]] = keep[found[-1] + 1 :] = False
+        paths = [lines[k].path for k in np.flatnonzero(content)]
+        depth = next((k for k, ids in enumerate(zip(*paths, strict=False)) if len(set(ids)) > 1), min(map(len, paths)))
+        keep = alive & np.array([x.path[:depth] == paths[0][:depth] for x in lines])
     return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
