@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from weftline.plans import QUERIES, SQL
@@ -22,9 +23,19 @@ def duck():
     return connection
 
 
+def plain(value):
+    """Numbers as rounded floats, nulls of any kind as None, the rest as text."""
+    if isinstance(value, (list, tuple, np.ndarray)):
+        return str([plain(v) for v in value])
+    if pd.isna(value):
+        return None
+    if isinstance(value, (int, float, np.number)) and not isinstance(value, (bool, np.bool_)):
+        return round(float(value), 9)
+    return str(value)
+
+
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v is np.nan or v != v else (round(float(v), 9) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v))
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 
