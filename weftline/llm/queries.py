@@ -113,4 +113,45 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
         FROM lowered LEFT JOIN best USING (page_id)
     """,
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s FROM words, unnest(range(1, len(w))) u(i)
+            UNION ALL SELECT doc_id, w[1] AS s FROM words WHERE len(w) = 1
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), least AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
+    "op4_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS g FROM words, unnest(range(1, len(w) - 33)) u(i)
+        ), repeated AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, p FROM repeated, unnest(range(i, i + 35)) u(p)
+        ), places AS (
+            SELECT doc_id, p, w[p] AS word FROM words, unnest(range(1, len(w) + 1)) u(p)
+        ), stays AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        ), counts AS (
+            SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN stays USING (doc_id)
+    """,
 }
