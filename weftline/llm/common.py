@@ -23,9 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     Every executor can read them there, so a lost executor costs only its running tasks.
     A session without that folder (tests) gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+    session = df.sparkSession
+    if not session.sparkContext.getCheckpointDir():
+        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint(eager=True)
 
 
