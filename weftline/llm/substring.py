@@ -32,6 +32,10 @@ from pyspark.sql import types as T
 from weftline.llm.common import as_bytes, cut, groups, hash_words, rolling
 
 
+#: Three joins by document read these columns, no fewer, so that Spark shuffles the texts once for all of them.
+SHUFFLED = ["doc_key", "text", "row"]
+
+
 @dataclass(frozen=True)
 class SubstringParams:
     """window: words of a window. anchor: words of an anchor. shard: segments of an automaton, at least
@@ -124,7 +128,7 @@ def counted_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
 
         for batch in batches:
             for text, anchors in zip(as_bytes(batch.column("text")), batch.column("anchors"), strict=True):
-                for anchor, _, body, digest in _segments(text, _uint64(anchors), p):
+                for anchor, _, body, digest in _segments(text or b"", _uint64(anchors), p):
                     counts[digest] += 1
                     if digest not in kept:
                         kept[digest] = anchor, body
@@ -132,7 +136,7 @@ def counted_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return chosen.select("text", "anchors").mapInArrow(run, "anchor long, seg_a long, seg_b long, n long, words binary")
+    return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "anchor long, seg_a long, seg_b long, n long, words binary")
 
 
 def _uint64(values: pa.ListScalar) -> np.ndarray:
@@ -146,8 +150,8 @@ def placed_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
         for batch in batches:
             digests, keys, own, starts = [], [], [], []
             for key, text, anchors in zip(batch.column("doc_key").to_pylist(), as_bytes(batch.column("text")), batch.column("anchors"), strict=True):
-                text_digest = _text_digest(text)
-                for _, start, _, digest in _segments(text, _uint64(anchors), p):
+                text_digest = _text_digest(text or b"")
+                for _, start, _, digest in _segments(text or b"", _uint64(anchors), p):
                     digests.append(digest)
                     keys.append(key)
                     own.append(text_digest)
@@ -155,7 +159,7 @@ def placed_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
             a, b = _long_pairs(digests)
             yield pa.RecordBatch.from_arrays([a, b, pa.array(keys, pa.int64()), pa.array(own, pa.int64()), pa.array(starts, pa.int32())], names=["seg_a", "seg_b", "doc_key", "own", "start"])
 
-    return chosen.select("doc_key", "text", "anchors").mapInArrow(run, "seg_a long, seg_b long, doc_key long, own long, start int")
+    return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "seg_a long, seg_b long, doc_key long, own long, start int")
 
 
 def _text_digest(text: bytes) -> int:
@@ -244,13 +248,13 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), carr
     flat = anchors.select("doc_key", F.explode("anchors").alias("anchor"))
     recurring = flat.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = flat.join(recurring, "anchor").groupBy("doc_key").agg(F.collect_set("anchor").alias("anchors"))
-    chosen = texts.join(wanted, "doc_key").where("text is not null")
+    chosen = texts.join(wanted, "doc_key")
 
     spans = located(counted_segments(chosen, p), p)
     places = placed_segments(chosen, p).join(spans, ["seg_a", "seg_b"])
     stretch = F.struct("own", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     removed = places.groupBy("doc_key").agg(F.collect_list(stretch).alias("spans"))
-    joined = texts.join(removed, "doc_key", "left").select("row", "text", "spans")
+    joined = texts.join(removed, "doc_key", "left").select(*SHUFFLED, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +262,7 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), carr
             for text, found in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 words = (text or b"").split()
                 if found:
-                    own = _text_digest(text)
+                    own = _text_digest(text or b"")
                     gone = np.zeros(len(words) + 1, np.int64)
                     for x in found:
                         if x["own"] == own:
