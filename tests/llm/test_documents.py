@@ -1,7 +1,9 @@
 """Operators on documents against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -176,6 +178,62 @@ def test_contamination_empty_tables(spark):
     assert contaminated(spark.createDataFrame([], DOC), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect() == []
 
 
+def brute_contamination(rows, items, width: int = 5, least: float = 0.8):
+    """doc_id: (items, similarity) of every window against every item, without hashes or indexes."""
+
+    def words(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    def shingles(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    texts = {tuple(words(t)) for i, t in items if i is not None} - {()}
+    sets = {t: shingles(t, min(width, len(t))) for t in texts}
+    held = Counter(s for found in sets.values() for s in found)
+    rarity = {s: 1 + math.log((len(texts) + 1) / (1 + n)) for s, n in held.items()}
+    other = 1 + math.log(len(texts) + 1)
+    out = {}
+    for unique, text in rows:
+        w, hits = words(text), out.setdefault(unique, {})
+        for t, own in sets.items():
+            n = min(len(t), len(w))
+            for start in range(len(w) - n + 1):
+                window = shingles(w[start : start + n], min(width, len(t)))
+                for weight in (lambda s: rarity.get(s, other),):
+                    shared = sum(weight(s) * k for s, k in (window & own).items())
+                    total = sum(weight(s) * k for s, k in (window | own).items())
+                    if shared >= (least - 1e-9) * total:
+                        hits[t] = max(hits.get(t, 0), shared / total)
+    found = {}
+    for unique, hits in out.items():
+        ids = sorted({i for i, t in items if i is not None and tuple(words(t)) in hits})
+        found[unique] = (ids, pytest.approx(max(hits.values())) if hits else None)
+    return found
+
+
+def judged(spark, rows, items):
+    got = contaminated(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(u for u, _ in rows)
+    assert all(r.contaminated == bool(r.items) for r in got)
+    return {r.doc_id: (r.items, r.similarity) for r in got}
+
+
+def test_contamination_of_shortened_and_edited_items(spark):
+    items = [(k, prose(2000 + k, 6 + 4 * k)) for k in range(12)] + [(50, "short one"), (60, "a b c a b c a b c a b c a b c a b c a b c")]
+    rows = []
+    for k in range(12):
+        w = items[k][1].split()
+        for at, cut_words in enumerate([w[:-1], w[1:], w[2:-2], w[: len(w) // 2], w[:-4], w[4:], w[len(w) // 2 :] + w[: len(w) // 2], w[:3] + ["x"] + w[3:], w[:7] + w[8:]]):
+            rows.append((1000 + 20 * k + at, " ".join(cut_words)))  # the row is shorter than the item, or about as long
+            rows.append((2000 + 20 * k + at, f"{prose(k, 30)} {' '.join(cut_words)}"))
+            rows.append((3000 + 20 * k + at, f"{' '.join(cut_words)} {prose(k, 30)}"))
+        rows += [(4000 + 10 * k + e, f"{prose(k, 15)} {edited(items[k][1], 10 * k + e, 0.03)} {prose(k + 1, 15)}") for e in range(5)]
+    rows += [(200, " ".join(items[11][1].split()[:-4])), (300, "short"), (301, "a b c a b c a b c a b c a b c a b c"), (302, "b c a b c")]
+    got, wanted = judged(spark, rows, items), brute_contamination(rows, items)
+    assert got == wanted
+    assert got[200][0] == [11] and sum(bool(found) for found, _ in got.values()) > 100
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 MIX = "doc_id long, text string, source string"

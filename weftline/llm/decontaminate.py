@@ -1,25 +1,20 @@
 """Documents that hold items of a benchmark, by DataFrame functions alone.
 
-A window is a run of as many words as an item has. Its fingerprint is the 64-bit SimHash of its
-weighted word shingles; its similarity to an item is the weighted Jaccard similarity of the two
-multisets of shingles, where a shingle weighs more the fewer items it is in.
-
-1. Shingles of all documents meet the shingles of the items. A window without any of them has
-   similarity zero to every item, so only windows around these meeting points go on: those whose
-   start differs by at most a fifth of the item from where the shared shingle puts it.
-2. Windows and items meet in an index of fingerprint blocks: 8 blocks of 8 bits, the items' blocks
-   with all variants of at most 2 changed bits. Two fingerprints within ``radius`` = 23 bits differ by at
-   most 2 bits in some block, so the index finds every pair within the radius.
+A window is a run of as many words as an item has, or a whole text that has fewer. Window and item
+are multisets of word shingles. Their similarity is the weighted Jaccard similarity, in which a
+shingle weighs more the fewer item texts it is in.
+
+1. Shingles of all documents meet the shingles of the items.
+2. A window at similarity t shares at least t of the item's weight. So only those pairs
+   of a text and an item go on whose whole text holds that much, and of these only the windows
+   that have places enough with shingles of the item. Neither step loses a window.
 3. The exact similarity decides.
-
-At similarity 0.8 two fingerprints differ by 10 bits on average with a deviation of 3, so a true
-pair is farther than 23 bits with a probability of about 3 in a million.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +24,11 @@ from weftline.llm.common import cut
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """shingle: words in a shingle. similarity: least similarity of a window. radius: bits that
-    fingerprints may differ, at most 23. broadcast_rows: rows of a side up to which it is broadcast."""
+    """shingle: words in a shingle. similarity: least similarity of a window. broadcast_rows: rows of a
+    side up to which it is broadcast."""
 
     shingle: int = 5
     similarity: float = 0.8
-    radius: int = 23
     broadcast_rows: int = 200_000
 
 
@@ -56,22 +50,8 @@ def _small(df: DataFrame, p: DecontaminationParams) -> DataFrame:
     return F.broadcast(df) if df.count() <= p.broadcast_rows else df
 
 
-def _fingerprint(keys: list[str]) -> tuple[list[Column], Column]:
-    """Aggregates (a sum for each bit of column ``hash`` times ``weight``) and the SimHash built from them."""
-    sums = [F.sum(F.expr(f"if((hash & shiftleft(1L, {b})) <> 0, weight, -weight)")).alias(f"s{b}") for b in range(64)]
-    bits = [f"if(s{b} > 0, shiftleft(1L, {b}), 0L)" for b in range(64)]
-    return sums, F.expr(" | ".join(bits)).alias("fingerprint")
-
-
-def fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the SimHash of each group of rows (keys, hash, weight)."""
-    sums, value = _fingerprint(keys)
-    return shingles.groupBy(*keys).agg(*sums).select(*keys, value)
-
-
-def blocks_of(fingerprint: str) -> Column:
-    """An array of (block, value) for the 8 bytes of a fingerprint."""
-    return F.expr(f"transform(sequence(0, 7), b -> struct(b as block, cast(shiftrightunsigned({fingerprint}, 8 * b) & 255 as int) as value))")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
@@ -80,69 +60,62 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams
     An item of fewer words than a shingle has one shingle, all its words, and is found where they
     stand in a row. Null or empty items and texts, and items without an id, match nothing; similarity
     is then null and items empty. Rows with a null doc_id are never contaminated. Rows that repeat a
-    doc_id are judged together. Repeated items give one entry. Other columns are not read.
+    doc_id are judged together. Repeated items give one entry. Other columns
+    are not read.
     """
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
-    items = items.withColumn("size", F.size("words")).where("size > 0").withColumn("width", F.least("size", F.lit(p.shingle))).distinct()
+    owned = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
+    items = owned.where("size(words) > 0").groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_ids", "words", F.size("words").alias("size"), F.least(F.size("words"), F.lit(p.shingle)).alias("width"))
     items = _small(items, p)
     widths = [r["width"] for r in items.select("width").distinct().collect()]
-    parts = [items.where(F.col("width") == w).select("item_id", "size", "width", F.posexplode(shingle_hashes("words", w)).alias("at", "hash")) for w in widths]
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    row = ["doc_id"]
     nothing = docs.select("doc_id", F.lit(False).alias("contaminated"), F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(None).cast("double").alias("similarity"))
-    if not parts:
+    if not widths:
         return nothing
-    item_shingles = parts[0]
-    for part in parts[1:]:
-        item_shingles = item_shingles.unionByName(part)
-    item_shingles = _small(item_shingles, p)
-    n_items = items.select("item_id").distinct().count()
-    rarity = f"1 + ln({n_items + 1}D / (1 + coalesce(n, 0)))"
-    known = item_shingles.groupBy("hash").agg(F.countDistinct("item_id").alias("n"))
-    known = _small(known, p)
-
-    # Windows around the places where a document and an item share a shingle.
+    shingled = [items.where(F.col("width") == w).select("item", "size", "width", F.explode(shingle_hashes("words", w)).alias("hash")) for w in widths]
+    parts = cut(_union(shingled).groupBy("item", "size", "width", "hash").agg(F.count("*").alias("item_times")))
+    known = _small(parts.groupBy("hash").agg(F.count("*").alias("n")), p)
+    rarity = f"1 + ln({items.count() + 1}D / (1 + coalesce(n, 0)))"
+    parts = _small(parts.join(known, "hash").withColumn("rarity", F.expr(rarity)).drop("n"), p)
+    totals = _small(parts.groupBy("item", "size", "width").agg(F.sum(F.expr("item_times * rarity")).alias("item_weight")), p)
+
+    # Places of documents with a shingle of any item.
     found = []
     for w in widths:
-        flat = texts.select("doc_id", F.posexplode(shingle_hashes("words", w)).alias("place", "hash"))
-        own = item_shingles.where(F.col("width") == w)
-        found.append(flat.join(own, "hash").select("doc_id", "size", "width", (F.col("place") - F.col("at")).alias("start")))
-    starts = found[0]
-    for part in found[1:]:
-        starts = starts.unionByName(part)
-    near = "explode(sequence(greatest(0, start - cast(size / 5 as int)), greatest(0, start + cast(size / 5 as int)))) as start"
-    starts = cut(starts.distinct().selectExpr("doc_id", "size", "width", near).distinct())
-
-    # The shingles of these windows, weighted.
-    ids = _small(starts.select("doc_id").distinct(), p)
-    some = texts.join(ids, "doc_id", "left_semi")
-    spans = starts.join(some, "doc_id").where("start + size <= size(words)").withColumn("words", F.expr("slice(words, start + 1, size)"))
-    shingled = [spans.where(F.col("width") == w).select("doc_id", "size", "start", F.explode(shingle_hashes("words", w)).alias("hash")) for w in widths]
-    window_shingles = shingled[0]
-    for part in shingled[1:]:
-        window_shingles = window_shingles.unionByName(part)
-    counted = window_shingles.groupBy("doc_id", "size", "start", "hash").agg(F.count("*").alias("times"))
-    counted = cut(counted.join(known, "hash", "left").withColumn("weight", F.expr(f"times * ({rarity})")).drop("n"))
-    item_counted = item_shingles.groupBy("item_id", "size", "hash").agg(F.count("*").alias("times"))
-    item_counted = _small(item_counted.join(known, "hash").withColumn("weight", F.expr(f"times * ({rarity})")).drop("n"), p)
-
-    # Pairs of a window and an item within the radius, from the index of fingerprint blocks.
-    windows = fingerprints(counted, ["doc_id", "size", "start"])
-    masks = [0, *(1 << a for a in range(8)), *((1 << a) | (1 << b) for a, b in combinations(range(8), 2))]
-    index = fingerprints(item_counted, ["item_id", "size"]).select("item_id", "size", "fingerprint", F.inline(blocks_of("fingerprint")))
-    index = index.withColumn("value", F.explode(F.expr(f"transform(array({', '.join(map(str, masks))}), m -> value ^ m)"))).withColumnRenamed("fingerprint", "item_print")
-    index = _small(index, p)
-    probes = windows.select("doc_id", "size", "start", "fingerprint", F.inline(blocks_of("fingerprint")))
-    pairs = probes.join(index, ["size", "block", "value"]).where(f"bit_count(fingerprint ^ item_print) <= {p.radius}")
-    pairs = pairs.select("doc_id", "size", "start", "item_id").distinct()
-
-    # Exact similarity: shared weight over the weight of both less the shared.
-    window_total = counted.groupBy("doc_id", "size", "start").agg(F.sum("weight").alias("window_weight"))
-    item_total = item_counted.groupBy("item_id").agg(F.sum("weight").alias("item_weight"))
-    meet = pairs.join(counted, ["doc_id", "size", "start"]).join(item_counted.select("item_id", "hash", F.col("weight").alias("item_part")), ["item_id", "hash"])
-    shared = meet.groupBy("doc_id", "size", "start", "item_id").agg(F.sum(F.least("weight", "item_part")).alias("shared"))
-    judged = shared.join(window_total, ["doc_id", "size", "start"]).join(item_total, "item_id")
-    judged = judged.withColumn("similarity", F.expr("shared / (window_weight + item_weight - shared)")).where(F.col("similarity") >= p.similarity - 1e-9)
-    best = judged.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
+        flat = texts.select(*row, F.size("words").alias("n_words"), F.posexplode(shingle_hashes("words", w)).alias("place", "hash"))
+        own = parts.where(F.col("width") == w).select("hash").distinct()
+        found.append(flat.join(F.broadcast(own) if known.count() <= p.broadcast_rows else own, "hash", "left_semi").withColumn("width", F.lit(w)))
+    places = cut(_union(found).distinct())
+
+    # Pairs of a row and an item that share enough in all.
+    enough = f"weight >= {p.similarity} * item_weight - 1e-6"
+    held = places.groupBy(*row, "n_words", "width", "hash").agg(F.count("*").alias("times")).join(parts, ["width", "hash"])
+    held = held.withColumn("times", F.least("times", "item_times")).groupBy(*row, "n_words", "item").agg(F.sum(F.expr("times * rarity")).alias("weight"))
+    pairs = _small(held.join(totals, "item").where(enough).select(*row, "n_words", "item"), p)
+
+    # Windows that hold enough of the places that an item shares.
+    met = places.join(parts.select("item", "size", "width", "hash", "rarity"), ["width", "hash"]).join(pairs, [*row, "n_words", "item"])
+    met = met.withColumn("length", F.least("size", "n_words"))
+    reach = "explode(sequence(greatest(0, place - length + width), least(place, n_words - length))) as start"
+    met = met.selectExpr(*row, "item", "length", "rarity", reach).groupBy(*row, "item", "length", "start").agg(F.sum("rarity").alias("weight"))
+    windows = cut(met.join(totals, "item").where(enough).select(*row, "item", "width", "length", "start"))
+
+    # Exact similarity: what both share over what both have less the shared.
+    spans = windows.drop("item").distinct()
+    some = texts.join(_small(spans.select(*row).distinct(), p), row, "left_semi")
+    spans = spans.join(some, row).withColumn("words", F.expr("slice(words, start + 1, length)"))
+    window = [*row, "width", "length", "start"]
+    counted = _union([spans.where(F.col("width") == w).select(*window, F.explode(shingle_hashes("words", w)).alias("hash")) for w in widths])
+    counted = counted.groupBy(*window, "hash").agg(F.count("*").alias("times"))
+    counted = cut(counted.join(known, "hash", "left").withColumn("rarity", F.expr(rarity)).drop("n"))
+    whole = counted.groupBy(*window).agg(F.sum(F.expr("times * rarity")).alias("weight"))
+    meet = windows.join(counted.drop("rarity"), window).join(parts.select("item", "hash", "item_times", "rarity"), ["item", "hash"])
+    meet = meet.withColumn("times", F.least("times", "item_times")).groupBy(*window, "item").agg(F.sum(F.expr("times * rarity")).alias("both_weight"))
+    judged = meet.join(whole, window).join(totals.drop("size", "width"), "item")
+    judged = judged.withColumn("similarity", F.expr("both_weight / (weight + item_weight - both_weight)")).where(F.col("similarity") >= p.similarity - 1e-9)
+    best = judged.groupBy("doc_id", "item").agg(F.max("similarity").alias("similarity")).join(items.select("item", F.explode("item_ids").alias("item_id")), "item")
+    best = best.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
     best = _small(best, p)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(best, "doc_id", "left")
     return out.select("doc_id", F.col("similarity").isNotNull().alias("contaminated"), F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), "similarity")
