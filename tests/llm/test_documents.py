@@ -234,6 +234,13 @@ def test_contamination_of_shortened_and_edited_items(spark):
     assert got[200][0] == [11] and sum(bool(found) for found, _ in got.values()) > 100
 
 
+def test_contamination_of_repeated_ids(spark):
+    items = [(k, prose(2000 + k, 40)) for k in range(4)]
+    rows = [(1, items[0][1]), (1, items[0][1]), (2, items[1][1]), (2, prose(9, 200)), (2, f"{prose(8, 3)} {items[2][1]}"), (3, prose(7, 60)), (3, prose(7, 60))]
+    got = judged(spark, rows, items)
+    assert got[1] == ([0], pytest.approx(1.0)) and got[2] == ([1, 2], pytest.approx(1.0)) and got[3] == ([], None)
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 MIX = "doc_id long, text string, source string"

@@ -60,7 +60,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams
     An item of fewer words than a shingle has one shingle, all its words, and is found where they
     stand in a row. Null or empty items and texts, and items without an id, match nothing; similarity
     is then null and items empty. Rows with a null doc_id are never contaminated. Rows that repeat a
-    doc_id are judged together. Repeated items give one entry. Other columns
+    doc_id are judged one by one and share the result. Repeated items give one entry. Other columns
     are not read.
     """
     owned = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
@@ -68,8 +68,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams
     items = items.select(F.monotonically_increasing_id().alias("item"), "item_ids", "words", F.size("words").alias("size"), F.least(F.size("words"), F.lit(p.shingle)).alias("width"))
     items = _small(items, p)
     widths = [r["width"] for r in items.select("width").distinct().collect()]
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    row = ["doc_id"]
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), words_of(F.col("text")).alias("words"))
+    row = ["doc_id", "digest"]
     nothing = docs.select("doc_id", F.lit(False).alias("contaminated"), F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(None).cast("double").alias("similarity"))
     if not widths:
         return nothing
@@ -103,7 +103,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams
 
     # Exact similarity: what both share over what both have less the shared.
     spans = windows.drop("item").distinct()
-    some = texts.join(_small(spans.select(*row).distinct(), p), row, "left_semi")
+    some = texts.join(_small(spans.select(*row).distinct(), p), row, "left_semi").dropDuplicates(row)
     spans = spans.join(some, row).withColumn("words", F.expr("slice(words, start + 1, length)"))
     window = [*row, "width", "length", "start"]
     counted = _union([spans.where(F.col("width") == w).select(*window, F.explode(shingle_hashes("words", w)).alias("hash")) for w in widths])
