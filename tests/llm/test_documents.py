@@ -191,7 +191,7 @@ def brute_contamination(rows, items, width: int = 5, least: float = 0.8):
     sets = {t: shingles(t, min(width, len(t))) for t in texts}
     held = Counter(s for found in sets.values() for s in found)
     rarity = {s: 1 + math.log((len(texts) + 1) / (1 + n)) for s, n in held.items()}
-    other = 1 + math.log(len(texts) + 1)
+    other = 1 + math.log((len(texts) + 1) / 2)
     out = {}
     for unique, text in rows:
         w, hits = words(text), out.setdefault(unique, {})
@@ -199,7 +199,7 @@ def brute_contamination(rows, items, width: int = 5, least: float = 0.8):
             n = min(len(t), len(w))
             for start in range(len(w) - n + 1):
                 window = shingles(w[start : start + n], min(width, len(t)))
-                for weight in (lambda s: rarity.get(s, other),):
+                for weight in (lambda s: 1, lambda s: rarity.get(s, other)):
                     shared = sum(weight(s) * k for s, k in (window & own).items())
                     total = sum(weight(s) * k for s, k in (window | own).items())
                     if shared >= (least - 1e-9) * total:
@@ -241,6 +241,21 @@ def test_contamination_of_repeated_ids(spark):
     assert got[1] == ([0], pytest.approx(1.0)) and got[2] == ([1, 2], pytest.approx(1.0)) and got[3] == ([], None)
 
 
+def test_contamination_of_edited_items_that_share_texts(spark):
+    """One changed word in an item, where a third of the items have one text and others share a template."""
+    shared, template = prose(2500, 64), prose(2600, 58)
+    items = [(k, shared) for k in range(40)] + [(100 + k, f"{template} {prose(2700 + k, 6)}") for k in range(30)] + [(200 + k, prose(2800 + k, 50)) for k in range(30)]
+    rows = []
+    for k, text in enumerate([shared, items[45][1], items[80][1]]):
+        for at in (0, 10, 30):
+            w = text.split()
+            rows.append((100 * k + at, " ".join([*w[:at], "changed", *w[at + 1 :]])))
+    rows.append((99, f"{template} {prose(1, 6)}"))
+    got = judged(spark, rows, items)
+    assert got == brute_contamination(rows, items)
+    assert all(found for u, (found, _) in got.items() if u != 99) and got[10][0] == list(range(40))
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 MIX = "doc_id long, text string, source string"

@@ -1,11 +1,12 @@
 """Documents that hold items of a benchmark, by DataFrame functions alone.
 
 A window is a run of as many words as an item has, or a whole text that has fewer. Window and item
-are multisets of word shingles. Their similarity is the weighted Jaccard similarity, in which a
-shingle weighs more the fewer item texts it is in.
+are multisets of word shingles. Their similarity is the larger of the plain Jaccard similarity and a
+weighted one, in which a shingle weighs more the fewer item texts it is in, and a shingle of no
+item as much as a shingle of one.
 
 1. Shingles of all documents meet the shingles of the items.
-2. A window at similarity t shares at least t of the item's weight. So only those pairs
+2. A window at similarity t shares at least t of the item, by count or by weight. So only those pairs
    of a text and an item go on whose whole text holds that much, and of these only the windows
    that have places enough with shingles of the item. Neither step loses a window.
 3. The exact similarity decides.
@@ -76,9 +77,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams
     shingled = [items.where(F.col("width") == w).select("item", "size", "width", F.explode(shingle_hashes("words", w)).alias("hash")) for w in widths]
     parts = cut(_union(shingled).groupBy("item", "size", "width", "hash").agg(F.count("*").alias("item_times")))
     known = _small(parts.groupBy("hash").agg(F.count("*").alias("n")), p)
-    rarity = f"1 + ln({items.count() + 1}D / (1 + coalesce(n, 0)))"
+    rarity = f"1 + ln({items.count() + 1}D / (1 + coalesce(n, 1)))"
     parts = _small(parts.join(known, "hash").withColumn("rarity", F.expr(rarity)).drop("n"), p)
-    totals = _small(parts.groupBy("item", "size", "width").agg(F.sum(F.expr("item_times * rarity")).alias("item_weight")), p)
+    totals = _small(parts.groupBy("item", "size", "width").agg(F.sum("item_times").alias("item_count"), F.sum(F.expr("item_times * rarity")).alias("item_weight")), p)
 
     # Places of documents with a shingle of any item.
     found = []
@@ -89,16 +90,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams
     places = cut(_union(found).distinct())
 
     # Pairs of a row and an item that share enough in all.
-    enough = f"weight >= {p.similarity} * item_weight - 1e-6"
+    enough = f"weight >= {p.similarity} * item_weight - 1e-6 or count >= {p.similarity} * item_count - 1e-6"
     held = places.groupBy(*row, "n_words", "width", "hash").agg(F.count("*").alias("times")).join(parts, ["width", "hash"])
-    held = held.withColumn("times", F.least("times", "item_times")).groupBy(*row, "n_words", "item").agg(F.sum(F.expr("times * rarity")).alias("weight"))
+    held = held.withColumn("times", F.least("times", "item_times")).groupBy(*row, "n_words", "item").agg(F.sum("times").alias("count"), F.sum(F.expr("times * rarity")).alias("weight"))
     pairs = _small(held.join(totals, "item").where(enough).select(*row, "n_words", "item"), p)
 
     # Windows that hold enough of the places that an item shares.
     met = places.join(parts.select("item", "size", "width", "hash", "rarity"), ["width", "hash"]).join(pairs, [*row, "n_words", "item"])
     met = met.withColumn("length", F.least("size", "n_words"))
     reach = "explode(sequence(greatest(0, place - length + width), least(place, n_words - length))) as start"
-    met = met.selectExpr(*row, "item", "length", "rarity", reach).groupBy(*row, "item", "length", "start").agg(F.sum("rarity").alias("weight"))
+    met = met.selectExpr(*row, "item", "length", "rarity", reach).groupBy(*row, "item", "length", "start").agg(F.count("*").alias("count"), F.sum("rarity").alias("weight"))
     windows = cut(met.join(totals, "item").where(enough).select(*row, "item", "width", "length", "start"))
 
     # Exact similarity: what both share over what both have less the shared.
@@ -109,11 +110,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams
     counted = _union([spans.where(F.col("width") == w).select(*window, F.explode(shingle_hashes("words", w)).alias("hash")) for w in widths])
     counted = counted.groupBy(*window, "hash").agg(F.count("*").alias("times"))
     counted = cut(counted.join(known, "hash", "left").withColumn("rarity", F.expr(rarity)).drop("n"))
-    whole = counted.groupBy(*window).agg(F.sum(F.expr("times * rarity")).alias("weight"))
+    whole = counted.groupBy(*window).agg(F.sum("times").alias("count"), F.sum(F.expr("times * rarity")).alias("weight"))
     meet = windows.join(counted.drop("rarity"), window).join(parts.select("item", "hash", "item_times", "rarity"), ["item", "hash"])
-    meet = meet.withColumn("times", F.least("times", "item_times")).groupBy(*window, "item").agg(F.sum(F.expr("times * rarity")).alias("both_weight"))
+    meet = meet.withColumn("times", F.least("times", "item_times")).groupBy(*window, "item").agg(F.sum("times").alias("both_count"), F.sum(F.expr("times * rarity")).alias("both_weight"))
     judged = meet.join(whole, window).join(totals.drop("size", "width"), "item")
-    judged = judged.withColumn("similarity", F.expr("both_weight / (weight + item_weight - both_weight)")).where(F.col("similarity") >= p.similarity - 1e-9)
+    plain, weighted = (f"both_{x} / (cast({x} as double) + item_{x} - both_{x})" for x in ("count", "weight"))
+    judged = judged.withColumn("similarity", F.expr(f"greatest({plain}, {weighted})")).where(F.col("similarity") >= p.similarity - 1e-9)
     best = judged.groupBy("doc_id", "item").agg(F.max("similarity").alias("similarity")).join(items.select("item", F.explode("item_ids").alias("item_id")), "item")
     best = best.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
     best = _small(best, p)
