@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
@@ -19,11 +20,54 @@ from weftline.llm.substring import SubstringParams, remove_repeats
 BROADCAST_IDS = 200_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among ids."""
-    ids = cut(ids.select(F.col("doc_id").alias("gone_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+def _few(df: DataFrame) -> DataFrame:
+    """df, written down, and marked for broadcast if it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key: a number for each pair of doc_id and text, and never null.
+
+    A doc_id that stands once is its own key. Rows that repeat one, and rows without one, get numbers
+    above all ids, ordered by id (null last) and digest of the text; the first text of an id keeps the id.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    ids = _few(ids.withColumnRenamed("doc_id", "odd_id"))
+    if ids.isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id").cast("long"))
+    odd = docs.join(ids, docs["doc_id"].eqNullSafe(ids["odd_id"]), "left_semi").select("doc_id", F.md5("text").alias("digest")).distinct()
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("digest").asc_nulls_last())) == 1
+    odd = cut(odd.withColumn("own", first & F.col("doc_id").isNotNull()).sort(F.col("doc_id").asc_nulls_last(), F.col("digest").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r["part"], r["count"]) for r in odd.groupBy("part").count().collect())
+    top = docs.agg(F.max("doc_id")).first()[0]
+    starts, at = [], 0 if top is None else max(0, top) + 1
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "part int, begin long"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), F.col("digest").asc_nulls_last())) - 1
+    numbered = odd.withColumn("place", place).join(starts, "part")
+    keys = _few(numbered.select(F.col("doc_id").alias("odd_id"), F.col("digest").alias("odd_digest"), F.when(F.col("own"), F.col("doc_id")).otherwise(F.col("begin") + F.col("place")).cast("long").alias("odd_key")))
+    same = docs["doc_id"].eqNullSafe(keys["odd_id"]) & F.md5(docs["text"]).eqNullSafe(keys["odd_digest"])
+    return docs.join(keys, same, "left").select(*(docs[c] for c in docs.columns), F.coalesce("odd_key", docs["doc_id"].cast("long")).alias("row_key"))
+
+
+def _without(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of keyed whose row_key isn't among the doc_ids of ids."""
+    ids = _few(ids.select(F.col("doc_id").alias("gone_id")).distinct())
+    return keyed.join(ids, keyed["row_key"] == ids["gone_id"], "left_anti")
+
+
+def _once(keyed: DataFrame) -> DataFrame:
+    """The rows of keyed, of those with one row_key and the same words only the least; rows without words all stay."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = _few(keyed.where(worded).groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias("again_key")))
+    if again.isEmpty():
+        return keyed
+    repeated = keyed["row_key"] == again["again_key"]
+    least = keyed.join(again, repeated, "left_semi").groupBy("row_key").agg(F.min(F.struct(*keyed.columns)).alias("row")).select("row.*")
+    return keyed.join(again, repeated, "left_anti").unionByName(least)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +76,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return _without(docs, near_duplicates(docs, NearDupParams(shingle=5)).where("not kept"))
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Rows that repeat an id and rows without one take part as rows of their own; a row with an id goes before one without.
+    """
+    keyed = _keyed(docs)
+    again = near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), NearDupParams(shingle=5)).where("not kept")
+    return _once(_without(keyed, again)).drop("row_key")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +92,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    """Rows that hold no benchmark item, whether or not they have an id."""
+    keyed = _keyed(docs)
+    found = contaminated(keyed.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(keyed, found.where("contaminated")).drop("row_key")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

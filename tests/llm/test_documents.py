@@ -256,6 +256,28 @@ def test_contamination_of_edited_items_that_share_texts(spark):
     assert all(found for u, (found, _) in got.items() if u != 99) and got[10][0] == list(range(40))
 
 
+def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item, texts = prose(5000, 50), [prose(5100 + k, 80) for k in range(9)]
+    rows = [(k, texts[k]) for k in range(9)]
+    rows += [(0, texts[0]), (None, texts[1]), (None, texts[1]), (2, prose(5200, 70)), (2, prose(5201, 70)), (8, texts[7])]
+    rows += [(None, prose(5300, 60)), (None, prose(5300, 60)), (None, f"{prose(5301, 20)} {item}"), (4, f"{prose(5302, 20)} {item} {prose(5303, 9)}"), (7, None), (None, "")]
+    docs = spark.createDataFrame([(u, t, "en", f"s{k % 2}", len(t or "")) for k, (u, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    near = corpus_pipeline.near_dedup(spark, docs, folder)
+    wanted = [(k, texts[k]) for k in range(9)] + [(2, prose(5200, 70)), (2, prose(5201, 70)), (None, prose(5300, 60)), *rows[-4:]]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=order) == sorted(wanted, key=order)
+    clean = corpus_pipeline.decontamination(spark, near, folder).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=order) == sorted((r for r in wanted if item not in (r[1] or "")), key=order)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.run(spark, folder).collect()}
+    assert {r for r in wanted if r[1] and item not in r[1]} <= got and not any(item in (t or "") for _, t in got)
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 MIX = "doc_id long, text string, source string"
