@@ -16,7 +16,7 @@ from weftline.llm.mixing import MixParams, entropy, find_exponent, mix, tempered
 from weftline.llm.near_dup import NearDupParams, least_matches, near_duplicates
 from weftline.llm.quality import score_quality
 from weftline.llm.substring import SubstringParams, remove_repeats, repeated_spans
-from weftline.llm.token_counts import TokenCountParams, count_tokens, encoder
+from weftline.llm.token_counts import TokenCountParams, count_tokens, encoder, pieces
 
 WORDS = [f"w{k}" for k in range(400)]
 DOC = "doc_id long, text string"
@@ -394,13 +394,30 @@ def test_word_probability_sums_all_segmentations():
     assert np.exp(Lattice(["ab"], pieces).log_chance(chance, 1e-7))[0, 0] == pytest.approx(expected)
 
 
-@pytest.mark.parametrize(("name", "word_level"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False), ("piece_bpe_32k.model", False)])
-def test_token_counts_match_the_library(spark, name, word_level):
+TOKENIZERS = ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"]
+
+
+@pytest.mark.parametrize("name", TOKENIZERS)
+def test_token_counts_match_the_library(spark, name):
     path = public_tokenizers.path(name)
-    texts = [prose(k, 40) for k in range(20)] + ["Don't stop, it's 3.14!", "É é É, «ñ» x\u0301y", "<|endoftext|> a<|ENDOFTEXT|>b <|endoftext|>,", "\u00a0a\u2003b ", "Σας ΟΔΟΣ.", "a.b,c!!! ???x", "e\u0301, n\u0303."]
-    rows = [(k, t) for k, t in enumerate(texts)] + [(100, None), (101, ""), (102, prose(5, 30_000)), (None, "x y"), (0, texts[0])]
-    got = count_tokens(with_clashes(spark.createDataFrame(rows, DOC)), TokenCountParams(path, word_level, piece_bytes=4096, batch_bytes=10_000)).collect()
+    texts = [prose(k, 40) for k in range(20)] + ["Don't stop, it's 3.14!", "É é É, «ñ» x\u0301y", "<|endoftext|> a<|ENDOFTEXT|>b <|endoftext|>,", "\u00a0a\u2003b ", "Σας ΟΔΟΣ.", "a.b,c!!! ???x", "e\u0301, n\u0303.", "İ% İ;"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, None), (101, ""), (102, prose(5, 30_000)), (103, "東京" * 20_000), (None, "x y"), (0, texts[0])]
+    got = count_tokens(with_clashes(spark.createDataFrame(rows, DOC)), TokenCountParams(path, piece_bytes=4096, batch_bytes=10_000)).collect()
     library = encoder(path)
     wanted = sorted((u or -1, len((t or "").encode()), library([t or ""])[0]) for u, t in rows)
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in got) == wanted
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
+    assert count_tokens(spark.createDataFrame([], DOC), TokenCountParams(path)).collect() == []
+
+
+@pytest.mark.parametrize("name", TOKENIZERS)
+def test_token_counts_of_cut_texts(name):
+    """Random texts over an alphabet of marks, cases, digits, spaces and other scripts, cut into tiny pieces."""
+    path, r = public_tokenizers.path(name), random.Random(11)
+    alphabet = list("abzABZ019  '.,!%;-_<|>\n\tİıßéÉΣσςЖ½²³東ก\u0301\u0307\u00a0") + ["'s", "'LL", "<|endoftext|>", "the ", " a b ", "  "]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 60))) for _ in range(20_000)]
+    cut_texts = [[x.decode() for x in pieces(t.encode(), 5, path.endswith(".model"))] for t in texts]
+    library = encoder(path)
+    sizes = iter(library([x for parts in cut_texts for x in parts]))
+    assert [sum(next(sizes) for _ in parts) for parts in cut_texts] == library(texts)
+    assert sum(len(x) > 1 for x in cut_texts) > 2000

@@ -1,47 +1,38 @@
 """Token counts of whole texts with a public tokenizer, encoded in batches inside Arrow functions.
 
-Only lengths leave the workers. A text is cut into pieces at white space, pieces are gathered into
-batches of about equal bytes, and a batch is encoded at once. Two ways to encode a batch:
-
-* ``word_level``: for tokenizers that drop white space and never join characters across it. Each
-  distinct word is encoded once and its length is kept in a bounded memo.
-* otherwise pieces are encoded as they are, and long texts are cut only in front of a single space
-  between two letters or digits, where such tokenizers always start a new token (sentencepiece puts
-  that space in front of each text itself, so there it is dropped).
+Only lengths leave the workers. Texts are gathered into batches of about equal bytes and a batch is
+encoded at once. A long text is cut into pieces first, only in front of a single space between two
+ASCII letters or digits: there the tokenizers of both libraries always end a token, and no
+normalisation, contraction or special token reaches over it. Sentencepiece puts that space in front of
+each text itself, so for it the space is dropped.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import LOWER, as_bytes
+from weftline.llm.common import as_bytes
 
 
 @dataclass(frozen=True)
 class TokenCountParams:
-    """path: a .json of tokenizers or a .model of sentencepiece, as every executor sees it.
-    batch_bytes: text encoded at once. piece_bytes: longest piece of a text. memo: words kept by a worker."""
+    """path: a .json of tokenizers or a .model of sentencepiece, as every executor sees it. limit: tokens
+    up to which a text isn't over the limit. batch_bytes: text encoded at once. piece_bytes: a text longer
+    than this is cut at the next safe place after so many bytes."""
 
     path: str
-    word_level: bool = True
     limit: int = 2048
-    batch_bytes: int = 1 << 20
+    batch_bytes: int = 1 << 19
     piece_bytes: int = 1 << 16
-    memo: int = 400_000
 
 
-#: ASCII marks that are a token run of their own at the end of a word. The apostrophe isn't one.
-MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
-
 _SAFE_CUT = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def encoder(path: str) -> Callable[[list[str]], list[int]]:
@@ -60,77 +51,40 @@ def encoder(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def pieces(text: bytes, most: int, cut: re.Pattern[bytes], drop: bool = False) -> Iterator[bytes]:
-    """The text in order, cut at the first match of ``cut`` after each ``most`` bytes, which begins the next piece or is dropped."""
+def pieces(text: bytes, most: int, drop: bool = False) -> Iterator[bytes]:
+    """The text in order, cut at the first safe place after each ``most`` bytes; the space there begins the next piece or is dropped."""
     start = 0
-    while len(text) - start > most and (found := cut.search(text, start + most)):
+    while len(text) - start > most and (found := _SAFE_CUT.search(text, start + most)):
         yield text[start : found.start()]
         start = found.end() if drop else found.start()
     yield text[start:]
 
 
-class WordMemo:
-    """Numbers of tokens of words, encoded when first seen; forgets all when it is full."""
-
-    def __init__(self, encode: Callable[[list[str]], list[int]], most: int):
-        self.encode, self.most, self.known = encode, most, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        parts = {w: _parts(w) for w in words if w not in self.known}
-        new = list({x for xs in parts.values() for x in xs if x not in self.known})
-        self.known.update(zip(new, self.encode([x.decode() for x in new]), strict=True))
-        for word, found in parts.items():
-            self.known[word] = sum(map(self.known.__getitem__, found))
-
-    def total(self, words: list[bytes]) -> int:
-        return sum(map(self.known.__getitem__, words))
-
-
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """A word, or its lower-cased stem and the marks after it where a token always ends between them."""
-    if b"<" in word:  # may hold a special token, whose case counts
-        return (word,)
-    stem = word.rstrip(MARKS)
-    if not stem or len(stem) == len(word):
-        return (word.translate(LOWER),)
-    if unicodedata.category(stem.decode()[-1])[0] not in "LN":
-        return (word,)
-    return stem.translate(LOWER), word[len(stem) :]
-
-
 def count_tokens(docs: DataFrame, p: TokenCountParams) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
-    A null text counts as empty: no bytes, no tokens. A null doc_id stays null; repeated rows give
-    repeated results; other columns are not read.
+    A null text counts as empty: no bytes, no tokens. A long text without a safe place is encoded whole. A
+    null doc_id stays null; repeated rows give repeated results; other columns are not read. An empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(p.path)
-        memo = WordMemo(encode, p.memo)
-        safe = _SPACE if p.word_level else _SAFE_CUT
+        drop = p.path.endswith(".model")
         for batch in batches:
             sizes, totals = [0] * batch.num_rows, [0] * batch.num_rows
-            held: list[tuple[int, bytes]] = []
+            held: list[tuple[int, str]] = []
             weight = 0
 
             def flush() -> None:
-                if p.word_level:
-                    split = [(row, piece.split()) for row, piece in held]
-                    memo.learn({w for _, words in split for w in words})
-                    for row, words in split:
-                        totals[row] += memo.total(words)
-                else:
-                    for (row, _), n in zip(held, encode([piece.decode() for _, piece in held]), strict=True):
-                        totals[row] += n
+                for (row, _), n in zip(held, encode([piece for _, piece in held]), strict=True):
+                    totals[row] += n
                 held.clear()
 
             for row, text in enumerate(as_bytes(batch.column("text"))):
                 sizes[row] = len(text or b"")
-                for piece in pieces(text or b"", p.piece_bytes, safe, p.path.endswith(".model")):
-                    held.append((row, piece))
+                for piece in pieces(text or b"", p.piece_bytes, drop):
+                    held.append((row, piece.decode()))
                     weight += len(piece)
                     if weight >= p.batch_bytes:
                         flush()
