@@ -358,10 +358,16 @@ def test_language_held_out(spark):
     r = random.Random(1)
     rows = [(k, " ".join(r.choice(english if k % 2 else german) for _ in range(30)), "en" if k % 2 else "de") for k in range(120)]
     rows += [(500, None, "en"), (501, "", "de"), (502, "123 --- 4", None), (503, "the and of that", None), (None, "der die das", "de")]
-    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")), LANG).collect()
+    rows += [(504, "½ ² ³", "en"), (505, "which have been " * 20_000, None), (506, "whichtheirwould" * 400, None), (507, "eine werden auch", None), (507, "eine werden auch", None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("score", "n", "nth", "rank", "word", "chance", "reach", "held_out"):
+        odd = odd.withColumn(name, F.lit("x"))
+    got = identify(odd, LANG).collect()
     by = {x.doc_id: x for x in got}
     assert all(by[u].lang_pred == lang for u, _, lang in rows[:120])
-    assert [by[u].lang_pred for u in (500, 501, 502)] == ["und"] * 3 and by[503].lang_pred == "en" and by[None].lang_pred == "de"
+    assert [by[u].lang_pred for u in (500, 501, 502, 504)] == ["und"] * 4 and by[504].score == 0.0 and by[505].lang_pred == by[506].lang_pred == "en"
+    assert [x.lang_pred for x in got if x.doc_id == 507] == ["de", "de"]
+    assert by[503].lang_pred == "en" and by[None].lang_pred == "de"
     assert any(x.held_out for x in got) and all(0 <= x.score <= 1 for x in got) and not by[None].held_out
 
 
@@ -371,13 +377,26 @@ def test_language_without_training(spark):
     assert identify(spark.createDataFrame([], "doc_id long, text string, lang string"), LANG).collect() == []
 
 
-def test_word_probability_sums_all_segmentations():
+def plain_forward(word, chance, longest, unknown):
+    """Log of the sum over all segmentations, with exact fractions of two to the power of scale left out: plain Python."""
+    from fractions import Fraction
+
+    marked, sums = "▁" + word, [Fraction(1)]
+    for end in range(1, len(marked) + 1):
+        total = Fraction(0)
+        for n in range(1, min(longest, end) + 1):
+            piece = marked[end - n : end]
+            total += sums[end - n] * Fraction(chance.get(piece, unknown if n == 1 else 0))
+        sums.append(total)
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def own_pieces(texts):
     import numpy as np
 
     from weftline.llm.common import MULTIPLIER, mix as mixed
-    from weftline.llm.lang_id import Lattice, Pieces
+    from weftline.llm.lang_id import Pieces
 
-    texts = ["▁", "▁a", "a", "b", "ab", "▁ab"]
     hashes = []
     for t in texts:
         h = 0
@@ -385,13 +404,47 @@ def test_word_probability_sums_all_segmentations():
             h = (h * MULTIPLIER + ord(c)) % (1 << 64)
         hashes.append(h)
     own = mixed(np.array(hashes, np.uint64))
-    pieces = Pieces(own, 3)
-    chance = np.zeros((len(texts) + 1, 1))
+    pieces = Pieces(own, max(map(len, texts)))
+    return pieces, {t: int(np.searchsorted(pieces.hashes, h)) for t, h in zip(texts, own, strict=True)}
+
+
+def test_word_probability_sums_all_segmentations():
+    import numpy as np
+
+    from weftline.llm.lang_id import Lattice
+
+    texts = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "bab"]
+    pieces, at = own_pieces(texts)
+    chance, p = np.zeros((len(texts) + 1, 2)), {}
+    for k, t in enumerate(texts):
+        p[t] = 0.05 * (k + 1) / 2
+        chance[at[t]] = p[t], 0.01
+    r = random.Random(2)
+    words = ["ab", "a", "xyz", "".join(r.choice("ab") for _ in range(500)), "".join(r.choice("abx") for _ in range(777))]
+    got = Lattice(words, pieces).log_chance(chance, 1e-7, 24)
+    for k, w in enumerate(words):
+        assert got[k, 0] == pytest.approx(plain_forward(w, p, 4, 1e-7))
+        assert got[k, 1] == pytest.approx(plain_forward(w, dict.fromkeys(texts, 0.01), 4, 1e-7))
+
+
+def test_expected_pieces_match_all_segmentations():
+    import numpy as np
+
+    from weftline.llm.lang_id import Lattice
+
+    texts = ["▁", "▁a", "a", "b", "ab", "▁ab"]
+    pieces, at = own_pieces(texts)
+    chance = np.zeros(len(texts) + 1)
     p = {t: 0.05 * (k + 1) for k, t in enumerate(texts)}
-    for t, h in zip(texts, own, strict=True):
-        chance[np.searchsorted(pieces.hashes, h), 0] = p[t]
-    expected = p["▁ab"] + p["▁a"] * p["b"] + p["▁"] * p["ab"] + p["▁"] * p["a"] * p["b"]
-    assert np.exp(Lattice(["ab"], pieces).log_chance(chance, 1e-7))[0, 0] == pytest.approx(expected)
+    for t in texts:
+        chance[at[t]] = p[t]
+    ways = [["▁ab"], ["▁a", "b"], ["▁", "ab"], ["▁", "a", "b"]]
+    total = sum(math.prod(p[x] for x in way) for way in ways)
+    got = Lattice(["ab", "b"], pieces).expected(chance, 1e-7, np.array([3.0, 0.0]))
+    for t in texts:
+        assert got[at[t]] == pytest.approx(3 * sum(way.count(t) * math.prod(p[x] for x in way) for way in ways) / total)
+    long = Lattice(["ab" * 600], pieces).expected(chance, 1e-7, np.array([1.0]))  # no underflow
+    assert long.sum() > 600 and np.isfinite(long).all()
 
 
 TOKENIZERS = ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"]

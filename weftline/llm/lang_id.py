@@ -2,14 +2,16 @@
 
 The pieces come from a public vocabulary. A language gives each piece a probability; a word's
 probability is the sum over all its segmentations of the product of their pieces, computed by the
-forward recursion. Pieces never reach over a space, so a text's probability is the product over its
-words, and each distinct word is summed once for all languages. The piece probabilities are learned
-by expectation maximisation over a bounded sample of labelled documents.
+forward recursion. Words are runs of letters of any length, pieces never reach over their ends, so a
+text's probability is the product over its words, and each distinct word is summed once for all languages.
+The piece probabilities are learned by expectation maximisation over a bounded sample of labelled
+documents, one language to a task.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,26 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MULTIPLIER, mix
+from weftline.llm.common import MULTIPLIER, groups, mix
 from weftline.llm.quality import held_out
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case runs of letters, in order. ``_WORD`` also takes signs like a half or a raised two, which end a word here."""
+    found = _WORD.findall((text or "").lower())
+    if not found or "".join(found).isalpha():
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 @dataclass(frozen=True)
 class LangParams:
     """vocabulary: a .model of sentencepiece, read on the driver. docs_per_lang: labelled documents that
-    a language learns from, those with the smallest hashes. words_per_lang: its most frequent words
-    in them. piece: longest piece in characters, with the mark of a word's beginning. word: words are
-    summed in parts of so many characters. prior: pieces added to each language, spread evenly.
-    unknown: probability of a character without a piece. memo: words kept by a worker."""
+    a language learns from, those with the smallest hashes; all their words count. piece: longest piece in
+    characters, with the mark of a word's beginning. block: characters of a word after which its forward
+    sums are scaled anew. prior: pieces added to each language, spread evenly. unknown: probability of a
+    character without a piece. memo: words kept by a worker."""
 
     vocabulary: str
     docs_per_lang: int = 1500
-    words_per_lang: int = 60_000
     rounds: int = 4
     piece: int = 9
-    word: int = 40
+    block: int = 24
     prior: float = 300.0
     unknown: float = 1e-7
     memo: int = 400_000
@@ -88,7 +97,7 @@ def load_pieces(p: LangParams) -> Pieces:
 
 
 class Lattice:
-    """All pieces in a batch of words, by the place where they end and their length."""
+    """All pieces in a batch of words, by their length and the place where they start."""
 
     def __init__(self, words: list[str], pieces: Pieces):
         marked = ["▁" + w for w in words]
@@ -100,59 +109,85 @@ class Lattice:
         rolled = np.zeros((len(words), width), np.uint64)
         for length in range(1, min(pieces.longest, width) + 1):
             rolled = rolled[:, : width - length + 1] * np.uint64(MULTIPLIER) + chars[:, length - 1 :]
-            ids = np.full(rolled.shape, -1)
+            ids = np.full(rolled.shape, -1, np.int32)
             inside = np.arange(rolled.shape[1])[None, :] + length <= self.sizes[:, None]
             ids[inside] = pieces.find(mix(rolled[inside]))
             self.found.append(ids)
 
-    def forward(self, chance: np.ndarray, unknown: float) -> np.ndarray:
-        """alpha[word, end, language]; chance has a last row of zeros for no piece."""
-        n, k = len(self.sizes), chance.shape[1]
-        alpha = np.zeros((n, self.width + 1, k))
-        alpha[:, 0] = 1.0
+    def _step(self, chance: np.ndarray, unknown: float, start: int, length: int) -> np.ndarray:
+        """Chance of the piece of this length at this start, for each word (and language)."""
+        ids = self.found[length - 1][:, start]
+        step = chance[ids]
+        if length == 1:
+            step = np.where((ids < 0).reshape(-1, *[1] * (chance.ndim - 1)), unknown, step)
+        return step
+
+    def log_chance(self, chance: np.ndarray, unknown: float, block: int) -> np.ndarray:
+        """Log of the summed probability of each word in each language; chance has a last row of zeros for no piece.
+
+        Only the last sums are held, as many as a piece is long. After each block they are divided by the
+        largest of them, so a word may have any length.
+        """
+        n, k, reach = len(self.sizes), chance.shape[1], len(self.found)
+        ahead = np.zeros((reach + 1, n, k))  # a ring: the sums at end are at end % (reach + 1)
+        ahead[0] = 1.0
+        scale, out = np.zeros((n, k)), np.zeros((n, k))
         for end in range(1, self.width + 1):
-            for length in range(1, min(len(self.found), end) + 1):
-                ids = self.found[length - 1][:, end - length]
-                step = chance[ids]
-                if length == 1:
-                    step = np.where(ids[:, None] < 0, unknown, step)
-                alpha[:, end] += alpha[:, end - length] * step
-        return alpha
-
-    def log_chance(self, chance: np.ndarray, unknown: float) -> np.ndarray:
-        alpha = self.forward(chance, unknown)
-        return np.log(alpha[np.arange(len(self.sizes)), self.sizes])
+            total = np.zeros((n, k))
+            for length in range(1, min(reach, end) + 1):
+                total += ahead[(end - length) % (reach + 1)] * self._step(chance, unknown, end - length, length)
+            ahead[end % (reach + 1)] = total
+            done = self.sizes == end
+            if done.any():
+                out[done] = np.log(total[done]) + scale[done]
+            if end % block == 0:
+                top = ahead.max(axis=0)
+                top[top == 0] = 1.0  # words that have ended
+                ahead /= top
+                scale += np.log(top)
+        return out
 
     def expected(self, chance: np.ndarray, unknown: float, weight: np.ndarray) -> np.ndarray:
-        """Expected number of each piece over all segmentations, words weighted (one language)."""
-        alpha = self.forward(chance, unknown)[:, :, 0]
-        rows = np.arange(len(self.sizes))
-        beta = np.zeros_like(alpha)
-        beta[rows, self.sizes] = 1.0
-        p = chance[:, 0]
-        for start in range(self.width - 1, -1, -1):
-            for length in range(1, min(len(self.found), self.width - start) + 1):
-                ids = self.found[length - 1][:, start]
-                step = p[ids]
-                if length == 1:
-                    step = np.where(ids < 0, unknown, step)
-                beta[:, start] += step * beta[:, start + length]
-        total = alpha[rows, self.sizes]
-        out = np.zeros(len(p))
-        for length, ids in enumerate(self.found, 1):
-            share = alpha[:, : ids.shape[1]] * p[ids] * beta[:, length : length + ids.shape[1]] * (weight / total)[:, None]
-            np.add.at(out, ids[ids >= 0], share[ids >= 0])
+        """Expected number of each piece over all segmentations, words weighted (one language), in logarithms."""
+        n, reach = len(self.sizes), len(self.found)
+        with np.errstate(divide="ignore"):
+            log_p, log_unknown = np.log(chance), np.log(unknown)
+        steps = [np.where(ids < 0, log_unknown if length == 0 else -np.inf, log_p[ids]) for length, ids in enumerate(self.found)]
+        ahead = np.full((n, self.width + 1), -np.inf)
+        ahead[:, 0] = 0.0
+        for end in range(1, self.width + 1):
+            ahead[:, end] = _log_sum([ahead[:, end - m] + steps[m - 1][:, end - m] for m in range(1, min(reach, end) + 1)])
+        back = np.full((n, self.width + 1), -np.inf)
+        rows = np.arange(n)
+        for start in range(self.width, -1, -1):
+            if start < self.width:
+                back[:, start] = _log_sum([steps[m - 1][:, start] + back[:, start + m] for m in range(1, min(reach, self.width - start) + 1)])
+            back[rows[self.sizes == start], start] = 0.0
+        whole = ahead[rows, self.sizes]
+        out = np.zeros(len(chance))
+        for m, ids in enumerate(self.found, 1):
+            share = np.exp(ahead[:, : ids.shape[1]] + steps[m - 1] + back[:, m : m + ids.shape[1]] - whole[:, None]) * weight[:, None]
+            known = ids >= 0
+            out += np.bincount(ids[known], share[known], len(chance))
         return out
 
 
-def _split(words: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """Words in parts of at most ``most`` characters, and the word of each part."""
-    parts, owner = [], []
-    for k, w in enumerate(words):
-        for at in range(0, len(w), most):
-            parts.append(w[at : at + most])
-            owner.append(k)
-    return parts, np.array(owner, np.int64)
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    stacked = np.array(terms)
+    top = stacked.max(axis=0)
+    safe = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.exp(stacked - safe).sum(axis=0))
+
+
+def _batches(words: list[str], most: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Places of the words in batches of about equal length, each of at most ``most`` characters with its padding."""
+    order = np.argsort([len(w) for w in words], kind="stable")
+    start = 0
+    for k in range(1, len(order) + 1):
+        if k == len(order) or (k - start + 1) * (len(words[order[k]]) + 1) > most:
+            yield order[start:k]
+            start = k
 
 
 @dataclass
@@ -165,41 +200,58 @@ class LangModel:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), len(self.langs)))
-        parts, owner = _split(words, self.p.word)
-        order = np.argsort([len(x) for x in parts], kind="stable")  # little padding
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            np.add.at(out, owner[some], Lattice([parts[i] for i in some], self.pieces).log_chance(self.chance, self.p.unknown))
+        for some in _batches(words):
+            out[some] = Lattice([words[i] for i in some], self.pieces).log_chance(self.chance, self.p.unknown, self.p.block)
         return out
 
 
+def learn_pieces(words: list[str], counts: np.ndarray, pieces: Pieces, p: LangParams) -> np.ndarray:
+    """Piece probabilities of a language from its words and how often each was seen, by expectation maximisation."""
+    size = len(pieces.hashes)
+    lattices = [(Lattice([words[i] for i in some], pieces), counts[some]) for some in _batches(words)]
+    now = np.append(np.full(size, 1 / size), 0.0)
+    for _ in range(p.rounds):
+        seen = sum(x.expected(now, p.unknown, w) for x, w in lattices)
+        now = (seen + p.prior / size) / (seen.sum() + p.prior)
+        now[-1] = 0.0
+    return now
+
+
+def sampled(docs: DataFrame, p: LangParams) -> DataFrame:
+    """lang, text of at most docs_per_lang rows of each language, those with the smallest hashes of doc_id.
+
+    A first cut by the hash leaves little more than that, so no task gets all rows of a language.
+    """
+    known = docs.where("lang is not null and doc_id is not null").select("doc_id", "text", "lang").withColumn("nth", F.expr("pmod(xxhash64(doc_id), 2147483648L)"))
+    most = p.docs_per_lang + 4 * p.docs_per_lang**0.5 + 20
+    shares = known.groupBy("lang").agg((F.lit(most) / F.count("*") * 2147483648).cast("long").alias("reach"))
+    low = known.join(F.broadcast(shares), "lang").where("nth <= reach")  # a row for each language: as many as the model has
+    by_hash = W.partitionBy("lang").orderBy("nth", "doc_id", "text")
+    return low.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= p.docs_per_lang).select("lang", "text")
+
+
 def train(docs: DataFrame, p: LangParams) -> LangModel:
-    """From rows (doc_id, text, lang): word counts by Spark over the bounded sample, EM on the driver."""
-    ranked = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
-    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ranked.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= p.docs_per_lang)
-    some = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").where("lang is not null")
-    words = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = W.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= p.words_per_lang).select("lang", "word", "n").toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
+    """From rows (doc_id, text, lang): word counts of the bounded sample, and one task for each language that learns it."""
     pieces = load_pieces(p)
-    size = len(pieces.hashes)
-    chance = np.zeros((size + 1, len(langs)))
-    for k, lang in enumerate(langs):
-        own = rows.filter(pa.compute.equal(rows.column("lang"), lang))
-        parts, owner = _split(own.column("word").to_pylist(), p.word)
-        weight = own.column("n").to_numpy().astype(float)[owner]
-        order = np.argsort([len(x) for x in parts], kind="stable")
-        lattices = [(Lattice([parts[i] for i in order[at : at + 4096]], pieces), weight[order[at : at + 4096]]) for at in range(0, len(order), 4096)]
-        now = np.append(np.full(size, 1 / size), 0.0)
-        for _ in range(p.rounds):
-            seen = sum(x.expected(now[:, None], p.unknown, w) for x, w in lattices)
-            now = (seen + p.prior / size) / (seen.sum() + p.prior)
-            now[-1] = 0.0
-        chance[:, k] = now
-    return LangModel(langs, pieces, chance, p)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[tuple[str, str]] = Counter()
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found.update((lang, w) for w in words_of(text))
+            columns = [pa.array(x, pa.string()) for x in (zip(*found, strict=True) if found else ([], []))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in groups(batches, ["lang"]):
+            chance = learn_pieces(own.column("word").to_pylist(), own.column("n").to_numpy().astype(float), pieces, p)
+            yield pa.RecordBatch.from_arrays([own.column("lang")[:1].combine_chunks(), pa.array([chance.tobytes()], pa.binary())], names=["lang", "chance"])
+
+    counts = sampled(docs, p).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    dealt = counts.repartition("lang").sortWithinPartitions("lang", "word")
+    found = sorted((r["lang"], r["chance"]) for r in dealt.mapInArrow(learn, "lang string, chance binary").collect())  # a row for each language
+    chance = np.array([np.frombuffer(x, float) for _, x in found]).T if found else np.zeros((len(pieces.hashes) + 1, 0))
+    return LangModel([lang for lang, _ in found], pieces, chance, p)
 
 
 def predict(docs: DataFrame, model: LangModel) -> DataFrame:
@@ -217,7 +269,7 @@ def predict(docs: DataFrame, model: LangModel) -> DataFrame:
             while at < len(texts):
                 held, weight = [], 0  # about a megabyte of text at a time
                 while at < len(texts) and weight < 1 << 20:
-                    held.append(_WORD.findall((texts[at] or "").lower()))
+                    held.append(words_of(texts[at]))
                     weight += len(texts[at] or "")
                     at += 1
                 new = {w for words in held for w in words}.difference(memo)
@@ -249,7 +301,8 @@ def identify(docs: DataFrame, p: LangParams) -> DataFrame:
     Learns from text and lang of the documents that aren't held out (crc32 of doc_id modulo 4 is 2)
     and have a lang and a doc_id. lang_pred is ``und`` with score 0 if the text is null or has no letter, or
     if there is nothing to learn from. Of equally likely languages the first in order of name wins.
-    Repeated rows give repeated results; other columns are not read.
+    Texts and words of any length are scored whole; a language without words in its sample gives every piece
+    the same probability. Repeated rows give repeated results; other columns are not read.
     """
     out = held_out(F.col("doc_id"), 4, 2)
     model = train(docs.where(~out), p)
