@@ -10,7 +10,7 @@ from weftline.llm import url_filter
 from weftline.llm.ann import AnnParams, nearest
 from weftline.llm.html_text import extract, main_text
 from weftline.llm.queries import URL_RULES
-from weftline.llm.url_filter import Index, Rule, build, judge
+from weftline.llm.url_filter import Rule, Shard, build, judge
 
 URLS = [
     "http://a.net/x", "https://net/", "http://example.net/en/1", "https://b.Example.NET/en/2?q=/fr/", "http://example.com/de/x#y", "http://xexample.com/de/", "http://z.org/fr/1",
@@ -18,7 +18,7 @@ URLS = [
 ]
 
 
-def brute_verdict(url):
+def brute_verdict(url, rules):
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
@@ -26,18 +26,40 @@ def brute_verdict(url):
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
         path = rest[cut:]
         path = path[: min([i for i in map(path.find, "?#") if i >= 0], default=len(path))]
-    fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    best = max(fits, key=lambda r: len(r.text), default=None)
-    return host, path, best and best.text, best.verdict if best else "allow"
+    fits = [r for r in rules if host and (host == r.host.lower() or host.endswith("." + r.host.lower())) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: (len((r.host + r.path).encode()), len(r.host.encode())), default=None)
+    return host, path, best and best.host.lower() + best.path, best.verdict if best else "allow"
 
 
-@pytest.mark.parametrize("largest", [url_filter.LARGEST_INDEX, 0])
-def test_urls_match_brute_force(spark, monkeypatch, largest):
-    monkeypatch.setattr(url_filter, "LARGEST_INDEX", largest)  # 0: the way for long lists
-    rows = [(k, u) for k, u in enumerate(URLS)] + [(0, URLS[0]), (None, URLS[2])]
+#: Ties of two kinds, other scripts, and rules that fit nothing.
+HARD_RULES = [*URL_RULES, Rule("b.com", "/aaaa", "block"), Rule("a.b.com", "/aa", "allow"), Rule("ünet.net", "/é", "block"), Rule("net.NET", "/é/日", "allow"), Rule("c.d", "", "block"), Rule("x.c.d", "", "allow")]
+HARD_URLS = ["http://a.b.com/aaaa", "http://b.com/aaaa", "http://x.a.b.com/aab", "http://ünet.net/é/日本", "http://net.net/é/日/1", "http://x.c.d", "http://y.c.d?q", "http://c.d/", "http://.c.d/", "http://./", "http://a..net/"]
+
+
+@pytest.mark.parametrize("shard", [url_filter.SHARD_RULES, 2])
+@pytest.mark.parametrize("as_table", [False, True])
+def test_urls_match_brute_force(spark, shard, as_table):
+    rows = [(k, u) for k, u in enumerate(URLS + HARD_URLS)] + [(0, URLS[0]), (None, URLS[2])]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("rule", F.lit(2))
-    got = sorted((r.page_id if r.page_id is not None else -1, r.host, r.path, r.rule or "", r.verdict) for r in judge(pages, URL_RULES).collect())
-    assert got == sorted((u if u is not None else -1, *(x or "" for x in brute_verdict(url))) for u, url in rows)
+    rules = HARD_RULES
+    if as_table:
+        rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in HARD_RULES] + [(None, "/", "block"), ("net", None, "block"), ("net", "/x", None)], "host string, path string, verdict string").withColumn("text", F.lit(1))
+    got = sorted((r.page_id if r.page_id is not None else -1, r.host, r.path, r.rule or "", r.verdict) for r in judge(pages, rules, shard_rules=shard).collect())
+    assert got == sorted((u if u is not None else -1, *(x or "" for x in brute_verdict(url, HARD_RULES))) for u, url in rows)
+
+
+def test_many_rules_in_shards(spark):
+    """A long list as a table, of which every tenth host is asked for."""
+    rules = spark.range(3000).selectExpr("concat('h', id, '.org') as host", "concat('/', id % 7, '/') as path", "if(id % 2 = 0, 'block', 'allow') as verdict")
+    pages = spark.range(0, 3000, 10).selectExpr("id as page_id", "concat('http://www.H', id, '.org/', id % 7, '/page') as url")
+    got = judge(pages, rules, default="none", shard_rules=400).collect()
+    assert len(got) == 300 and all(r.verdict == ("block" if r.page_id % 2 == 0 else "allow") and r.rule == f"h{r.page_id}.org/{r.page_id % 7}/" for r in got)
+
+
+def test_digests_are_those_of_spark(spark):
+    texts = ["", "a", "ünet.net/é", "x" * 31, "y" * 32, "z" * 1000]
+    got = [r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("d")).collect()]
+    assert got == url_filter.digests_of([t.encode() for t in texts]).tolist()
 
 
 def test_url_edges(spark):
@@ -46,12 +68,13 @@ def test_url_edges(spark):
     assert only[0].rule is None and only[0].verdict == "allow"
 
 
-def test_index_confirms_strings(tmp_path, monkeypatch):
+def test_shard_confirms_strings(tmp_path, monkeypatch):
     """All digests collide: only the stored strings tell the rules apart."""
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda _: 7)
-    (tmp_path / "i").write_bytes(build([Rule("a.b", "/", "block"), Rule("c.d", "/x/", "allow")]))
-    index = Index(str(tmp_path / "i"))
-    assert [index.text(k) if k >= 0 else None for k in index.find([b"c.d/x/", b"a.b/", b"e.f/"])] == [b"c.d/x/", b"a.b/", None]
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda *_: 7)
+    (tmp_path / "i").write_bytes(build([(b"a.b/", True), (b"c.d/x/", False)]) + b"\n")
+    shard = Shard(str(tmp_path / "i"))
+    found = shard.find([b"c.d/x/", b"a.b/", b"e.f/"], np.array([7, 7, 7], np.int64))
+    assert [shard.text(k) if k >= 0 else None for k in found] == [b"c.d/x/", b"a.b/", None]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">

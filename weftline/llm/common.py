@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +16,23 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    A session that sets none (tests) uses a folder in its warehouse, never a temporary folder of one machine.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the folder of ``spark.checkpoint.dir``.
+    """The rows of df, written to the shared folder.
 
     Every executor can read them there, so a lost executor costs only its running tasks.
-    A session without that folder (tests) gets a temporary one.
     """
-    session = df.sparkSession
-    if not session.sparkContext.getCheckpointDir():
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
