@@ -1,5 +1,6 @@
 """Operators on pages and vectors, and the pipeline."""
 
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import url_filter
 from weftline.llm.ann import AnnParams, nearest
-from weftline.llm.html_text import extract, main_text
+from weftline.llm.html_text import HtmlParams, extract, lines_of, main_text
 from weftline.llm.queries import URL_RULES
 from weftline.llm.url_filter import Rule, Shard, build, judge
 
@@ -91,6 +92,53 @@ def test_article_text(wrap):
     assert main_text(PAGE.replace("{body}", wrap.format(BODY))) == TEXT
 
 
+@pytest.mark.parametrize("mark", ['div class="layout has-sidebar"', 'div id="page" class="site no-comments"', 'article class="post comment-open"', 'div class="social-history"'])
+@pytest.mark.parametrize("inner", ["<h1>T</h1>{}", "{}", "<article>{}</article>", "<main><h1>T</h1>{}</main>"])
+def test_names_of_wrappers_are_only_hints(mark, inner):
+    lines = [f"Line {k} of an article with <a class='related-term'>words</a> enough, and more." for k in range(9)]
+    body = inner.format("".join(f"<p>{x}</p>" for x in lines))
+    comments = "<section class='comments'><h2>All</h2>" + "<article class='comment'><p>A long comment on this article, longer than its lines are on their own.</p></article>" * 9 + "</section>"
+    page = f"<body><nav>Home</nav><{mark}>{body}<div class='side-menu sidebar'><p>Side text</p></div></{mark.split()[0]}>{comments}<div class='cookie-notice'>We use cookies</div></body>"
+    wanted = ["T"] * ("<h1>" in inner) + [x.replace("<a class='related-term'>", "").replace("</a>", "") for x in lines]
+    assert main_text(page) == "\n".join(wanted)
+
+
+def brute_choice(lines, p=HtmlParams()):
+    """Which lines of a page without articles stay, from their text, tags and path: loops instead of arrays."""
+    ratio = [0.0 if x.dead else len(x.text) / max(1, x.tags) for x in lines]
+    reach, level = max(1, int(3 * p.sigma)), []
+    weight = [math.exp(-0.5 * (d / p.sigma) ** 2) for d in range(-reach, reach + 1)]
+    for k in range(len(ratio)):
+        near = [ratio[min(max(k + d, 0), len(ratio) - 1)] for d in range(-reach, reach + 1)]
+        level.append(sum(a * b for a, b in zip(weight, near, strict=True)) / sum(weight))
+    low, high = min(level), max(level)
+    for _ in range(20):
+        upper = [x for x in level if x >= (low + high) / 2]
+        lower = [x for x in level if x < (low + high) / 2]
+        if not lower:
+            break
+        low, high = sum(lower) / len(lower), sum(upper) / len(upper)
+    border = min((low + high) / 2 if lower else low, max(v for v, x in zip(level, lines, strict=True) if not x.dead))
+    content = [x.path for x, v in zip(lines, level, strict=True) if not x.dead and v >= border - 1e-9]
+    depth = 0
+    while all(len(c) > depth and c[depth] == content[0][depth] for c in content if len(content[0]) > depth) and len(content[0]) > depth:
+        depth += 1
+    return "\n".join(x.text for x in lines if not x.dead and x.path[:depth] == content[0][:depth])
+
+
+def test_region_matches_brute_force():
+    r = random.Random(8)
+    for _ in range(200):
+        blocks = []
+        for _ in range(r.randrange(1, 6)):
+            links = r.random() < 0.5
+            inside = "".join(f"<p>{' '.join(f'<a>w{r.randrange(9)}</a>' if links else 'word' * r.randrange(1, 4) for _ in range(r.randrange(1, 20)))}</p>" for _ in range(r.randrange(1, 6)))
+            blocks.append(f"<div class='{r.choice(['x', 'content', 'sidebar', 'ad'])}'>{inside}</div>")
+        page = f"<body><div>{''.join(blocks)}</div></body>"
+        lines = lines_of(page, HtmlParams())
+        assert main_text(page) == (brute_choice(lines) if any(not x.dead for x in lines) else "")
+
+
 def test_pages_with_nothing():
     for html in (None, "", "   ", "<nav>Menu</nav>", "<script>x</script>", "<p></p>", "<!-- c -->"):
         assert main_text(html) == ""

@@ -1,15 +1,19 @@
 """The main text of web pages, from the event stream of the standard library's HTML parser.
 
 The events of a page become lines: one for each block, with its text and the number of tags in it.
-Lines inside elements that never hold article text (menus, forms, scripts, adverts, comments ...)
-are dead. The text-to-tag ratio of the lines, dead ones counting zero, is smoothed with a Gaussian
-and split by a threshold between its low and its high cluster; the lines of the high cluster say
-which region of the page is content, and all living lines of that region are its text.
+Lines inside elements that never hold article text (menus, forms, scripts ...) are dead. Names of
+classes and ids are only hints (adverts, comments, sidebars ...): an element with such a name is dead too,
+unless it holds most of the page's text and a heading, an article or a main element that has no such
+name itself, as the wrapper of a whole page does (an article or main element counts as its own). The text-to-tag ratio of the lines, dead ones counting zero, is
+smoothed with a Gaussian and split by a threshold between its low and its high cluster; the lines of
+the high cluster say which region of the page is content, and all living lines of that region are its
+text (so headings and short list items of an article aren't lost, whose own ratio is low).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -22,10 +26,14 @@ from pyspark.sql import DataFrame
 @dataclass(frozen=True)
 class HtmlParams:
     """sigma: width of the smoothing, in lines. zone_share: least share of the largest article's
-    content that another article on the page needs. chunk: characters given to the parser at once."""
+    content that another article on the page needs. wrapper: share of the page's text from which a
+    hinted element is a wrapper. alone: characters of a page from which it has content even if all of it
+    stands in hinted elements. chunk: characters given to the parser at once."""
 
     sigma: float = 1.5
     zone_share: float = 0.1
+    wrapper: float = 0.5
+    alone: int = 250
     chunk: int = 1 << 16
 
 
@@ -56,7 +64,9 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 #: What an open element does with its text: a dead block still makes lines, a dead inline element only drops its text.
 DEAD_LINE, MUTE = 1, 2
-_OUTSIDE: tuple[str, int, int, tuple[int, ...]] = ("", 0, 0, ())
+#: What attributes say of an element.
+NOTHING, HINT, CERTAIN = 0, 1, 2
+_OUTSIDE: tuple[str, int, int, tuple[int, ...], tuple[int, ...]] = ("", 0, 0, (), ())
 
 
 @dataclass
@@ -66,26 +76,30 @@ class Line:
     zone: int
     dead: bool
     path: tuple[int, ...]
+    hints: tuple[int, ...]
 
 
 class LineReader(HTMLParser):
-    """Collects lines from parser events; keeps a stack of open elements as (name, dead, zone, path).
+    """Collects lines from parser events; keeps a stack of open elements as (name, dead, zone, path, hints).
 
-    zone numbers the article or main element around, path the sections around, from the outermost on.
+    zone numbers the article or main element around, path the sections around, from the outermost on,
+    and hints the blocks around whose names hint at something else than an article. ``holders`` has the
+    hinted blocks that hold a heading of the first level, an article or a main element without such a name.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
         self.held: list[str] = []
-        self.tags = self.zones = self.sections = 0
+        self.holders: set[int] = set()
+        self.tags = self.zones = self.sections = self.hinted = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            _, dead, zone, path = self.open[-1] if self.open else _OUTSIDE
-            self.lines.append(Line(text, self.tags, zone, bool(dead), path))
+            _, dead, zone, path, hints = self.open[-1] if self.open else _OUTSIDE
+            self.lines.append(Line(text, self.tags, zone, bool(dead), path, hints))
             self.tags = 0
         self.held = []
 
@@ -103,19 +117,27 @@ class LineReader(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        if tag in ("article", "main") and not self.marked(tag, attrs):
+        said = self.marked(tag, attrs)
+        if tag in ("article", "main") and not said:
             while self.open and self.open[-1][1]:  # an element that was never closed
                 self.open.pop()
-        _, dead, zone, path = self.open[-1] if self.open else _OUTSIDE
-        if not dead and (tag in DEAD or (tag == "header" and not zone) or self.marked(tag, attrs)):
+        _, dead, zone, path, hints = self.open[-1] if self.open else _OUTSIDE
+        if tag in ("article", "main", "h1") and not dead and not said:
+            self.holders.update(hints)
+        if not dead and (tag in DEAD or (tag == "header" and not zone) or said == CERTAIN or (said == HINT and tag not in BLOCKS)):
             dead = DEAD_LINE if tag in BLOCKS else MUTE
+        elif said == HINT:
+            self.hinted += 1
+            hints = (*hints, self.hinted)
+            if tag in ("article", "main"):
+                self.holders.add(self.hinted)
         if tag in ("article", "main") and not dead and (tag == "article" or not zone):
             self.zones += 1
             zone = self.zones
         if tag in SECTIONS:
             self.sections += 1
             path = (*path, self.sections)
-        self.open.append((tag, dead, zone, path))
+        self.open.append((tag, dead, zone, path, hints))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -143,28 +165,45 @@ class LineReader(HTMLParser):
             self.held.append(data)
 
     @staticmethod
-    def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether attributes say that this isn't article text."""
+    def marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """Whether attributes say that this isn't article text. A name made of several words is no hint at an inline element."""
         if tag in ("html", "body"):
-            return False
+            return NOTHING
+        found = NOTHING
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and not DEAD_WORDS.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value).lower())):
-                return True
             if name == "role" and value.strip().lower() in DEAD_ROLES:
-                return True
+                return CERTAIN
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value.lower()):
-                return True
-        return False
+                return CERTAIN
+            if name in ("class", "id"):
+                words = _WORDS.findall(_CAMEL.sub(" ", value).lower()) if tag in BLOCKS else value.lower().split()
+                if not DEAD_WORDS.isdisjoint(words):
+                    found = HINT
+        return found
 
 
-def lines_of(html: str, chunk: int) -> list[Line]:
+def lines_of(html: str, p: HtmlParams) -> list[Line]:
     reader = LineReader()
-    for at in range(0, len(html), chunk):
-        reader.feed(html[at : at + chunk])
+    for at in range(0, len(html), p.chunk):
+        reader.feed(html[at : at + p.chunk])
     reader.close()
     reader.flush()
-    return reader.lines
+    lines = reader.lines
+    living = [x for x in lines if not x.dead]
+
+    plain = [x for x in living if reader.holders.issuperset(x.hints)]
+    inside, own = Counter[int](), Counter[tuple[int, ...]]()
+    for x in plain:
+        inside.update(dict.fromkeys(x.hints, len(x.text)))
+    wrappers = {k for k, n in inside.items() if n > p.wrapper * sum(len(x.text) for x in plain)}
+    if all(not wrappers.issuperset(x.hints) for x in living) and sum(len(x.text) for x in living) >= p.alone:
+        for x in living:  # nothing would be left of a page full of text: the names around most of it say nothing
+            own[x.hints] += len(x.text)
+        wrappers = set(max(own, key=lambda hints: (own[hints], hints)))
+    for x in lines:
+        x.dead = x.dead or not wrappers.issuperset(x.hints)
+    return lines
 
 
 def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -190,7 +229,7 @@ def threshold(values: np.ndarray) -> float:
 
 
 def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
-    lines = lines_of(html or "", p.chunk)
+    lines = lines_of(html or "", p)
     if not any(not x.dead for x in lines):
         return ""
     ratio = np.array([0.0 if x.dead else len(x.text) / max(1, x.tags) for x in lines])
@@ -215,7 +254,8 @@ def extract(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
 
     The text has a line for each block, white space inside it turned into single spaces. A null or
     empty page, and one with nothing but menus and the like, gives an empty text. Nulls in page_id
-    and url stay; repeated rows give repeated results; other columns are not read.
+    and url stay; repeated rows give repeated results; other columns are not read. Pages of any length are
+    read whole. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
