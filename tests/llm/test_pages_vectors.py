@@ -191,6 +191,29 @@ def test_recall_and_ties(spark):
         assert [u for u, _ in got[q]] == [u for u, _ in want[q]]
 
 
+@pytest.mark.parametrize("p", [AnnParams(), AnnParams(list_size=16, coarse=256, cell=40, top=5)])
+def test_double_vectors_are_exact(spark, p):
+    """Doubles aren't rounded to floats; lists that are fitted in two levels and split into cells give the same scores."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(900, 8)), np.repeat(r.normal(size=(1, 8)) + 3, 600, axis=0) + r.normal(size=(600, 8)) * 0.01])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0", p).collect()
+    hits = 0
+    for q in range(0, len(x), 20):
+        own = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
+        assert len(own) == p.top and all(score == pytest.approx(float(x[q] @ x[v]), rel=1e-13) for _, v, score in own)
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({v for _, v, _ in own} & set(np.argsort(-s, kind="stable")[: p.top].tolist()))
+    assert hits >= 0.9 * p.top * len(range(0, len(x), 20))
+
+
+def test_double_vector_of_the_round(spark):
+    rows = [(0, [0.1, 0.2]), (1, [0.3, 0.7]), (2, [1e300, 1.0])]
+    got = {(g.query_id, g.vec_id): g.score for g in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0").collect()}
+    assert got == {(0, 1): 0.1 * 0.3 + 0.2 * 0.7, (0, 2): 0.1 * 1e300 + 0.2}
+
+
 def test_vector_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (20, [0.0, -2.0]), (None, [1.0, 1.0]), (5, [1.0]), (6, [None, 1.0]), (40, [float("inf"), 0.0]), (0, [1.0, 0.0])]
     vectors = spark.createDataFrame(rows, VEC).withColumn("score", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("rep", F.lit(1))
