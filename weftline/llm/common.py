@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z; bytes above 127 stay, so UTF-8 stays valid.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -36,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_uneven(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, parts: int = 1000, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and whose column n says how many rows of left have its key.
+
+    Keys with more than a part of all ``total`` rows of left are fewer than ``parts``, so they are broadcast and
+    their rows stay where they are; no other key can fill a task of the shuffle. n is dropped.
+    """
+    hot = F.col(n) * parts > total
+    few, rest = F.broadcast(right.where(hot).drop(n)), right.where(~hot).drop(n)
+    direct = left.join(few, keys)
+    others = left.join(few.select(*keys), keys, "left_anti").join(rest, keys, how)
+    return direct.unionByName(others)
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
 

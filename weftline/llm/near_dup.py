@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, as_bytes, cut, groups, hash_words, mix, rolling
+from weftline.llm.common import LOWER, as_bytes, cut, groups, hash_words, join_uneven, mix, rolling
 
 
 @dataclass(frozen=True)
@@ -158,20 +158,30 @@ def likely(pairs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
     return sides.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, p: NearDupParams) -> DataFrame:
+def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, total: int, p: NearDupParams) -> DataFrame:
     """Links (a, b) between documents of one bucket and different components, enough to join them.
 
-    A bucket is dealt out as blocks of about BLOCK rows, and a task gets two blocks at a time, so
-    neither a task's memory nor the rows that Spark moves grow with the square of a bucket. A first
-    pass over signatures finds the documents in any likely pair, a second one compares their sets.
+    In a bucket one component has most rows, the big one. Its rows are dealt out to blocks of about BLOCK rows
+    and move once for each block of the others; the others are compared with it and with each
+    other, block by block. A bucket with a few strays so moves few rows more than it has, and no task's
+    memory grows with a bucket. A first pass over signatures finds the documents in any likely pair, a
+    second one compares their sets.
     """
     placed = buckets.join(labels, buckets.doc_id == labels.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(mixed, "key").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component")
-    place = ["key", "i", "j"]
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = cut(mixed.selectExpr("key", "top.component as big", f"cast(ceil(top.n / {BLOCK}) as int) as bigs", f"cast(ceil((n - top.n) / {BLOCK}) as int) as others", "n"))
+    dealt = join_uneven(placed, mixed, ["key"], "n", total * p.bands, 1000 * p.bands)
+    part = lambda blocks: F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)")
+    cell = "struct(cast({0} as int) as kind, cast({1} as int) as i, cast({2} as int) as j, cast({3} as int) as own)"
+    with_all = "transform(sequence(0, others - 1), x -> {})".format(cell.format(0, "x", "block", 1))
+    with_big = "transform(sequence(0, bigs - 1), x -> {})".format(cell.format(0, "block", "x", 0))
+    with_each = "transform(sequence(0, others - 1), x -> {})".format(cell.format(1, "least(x, block)", "greatest(x, block)", "block"))
+    dealt = dealt.withColumn("is_big", F.col("component") == F.col("big")).withColumn("block", F.when(F.col("is_big"), part("bigs")).otherwise(part("others")))
+    dealt = dealt.select("key", "doc_id", "component", F.explode(F.expr(f"if(is_big, {with_all}, concat({with_big}, {with_each}))")).alias("_cell"))
+    dealt = dealt.select("key", "_cell.kind", "_cell.i", "_cell.j", "_cell.own", "doc_id", "component")
+    place = ["key", "kind", "i", "j"]
+    order = [*place, "own"]
     k, tests = p.bands * p.rows, _tests(p)
 
     def likely_pairs(part: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -179,8 +189,8 @@ def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: Data
         group, own = (part.column(c).to_numpy() for c in ("component", "own"))
         group = group.copy()
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, k)
-        two_blocks = part.column("i")[0].as_py() != part.column("j")[0].as_py()
-        for r in range(len(group)):
+        two_blocks = part.column("kind")[0].as_py() == 0 or part.column("i")[0].as_py() != part.column("j")[0].as_py()
+        for r in range(int((own == own[0]).sum()) if two_blocks else len(group)):  # the first block comes first
             others = np.flatnonzero(group[r + 1 :] != group[r]) + r + 1
             if two_blocks:
                 others = others[own[others] != own[r]]
@@ -218,10 +228,10 @@ def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: Data
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     sigs = reps.select("doc_id", "sig")
-    schema = "key long, i int, j int, own int, doc_id long, component long"
-    near = cut(dealt.join(sigs, "doc_id").select(*place, "own", "doc_id", "component", "sig").repartition(*place).sortWithinPartitions(*place).mapInArrow(in_any, schema))
+    schema = "key long, kind int, i int, j int, own int, doc_id long, component long"
+    near = cut(dealt.join(sigs, "doc_id").select(*place, "own", "doc_id", "component", "sig").repartition(*place).sortWithinPartitions(*order).mapInArrow(in_any, schema))
     sets = sets_of(docs, _few(near.select("doc_id").distinct()), p)
-    both = near.join(sigs, "doc_id").join(sets, "doc_id").repartition(*place).sortWithinPartitions(*place)
+    both = near.join(sigs, "doc_id").join(sets, "doc_id").repartition(*place).sortWithinPartitions(*order)
     return both.mapInArrow(linked, "a long, b long").distinct()
 
 
@@ -279,23 +289,25 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are runs of characters other than space and U+0009 to U+000D, with A-Z in lower case.
-    Null or empty texts have no shingles and link with nothing. A row whose doc_id is null links
+    Texts of any length are taken whole. Null or empty texts have no shingles and link with nothing. A row whose doc_id is null links
     with nothing either: its component_id is null and kept is true. Repeated rows of one doc_id
     give as many result rows, all in one component if their texts are alike. Other columns are
     not read. An empty table gives an empty result.
     """
     base = cut(sketch(docs, p))
-    slim = base.select("doc_id", "n_shingles", "set_a", "set_b")
+    slim = cut(base.select("doc_id", "n_shingles", "set_a", "set_b"))
+    total = slim.count()
     some = slim.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
-    member = cut(some.join(classes, ["set_a", "set_b"]).select("doc_id", "set_a", "set_b", "class_id"))
+    digest = ["set_a", "set_b"]
+    shared = cut(some.groupBy(*digest).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1"))
+    member = cut(join_uneven(some.select("doc_id", *digest), shared, digest, "n", total, how="left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
     first = member.where("doc_id = class_id").select("doc_id").distinct()
     reps = cut(base.where("n_shingles > 0").join(first, "doc_id", "left_semi").select("doc_id", "sig", "keys"))
 
     # The buckets with at least two representatives, a row for each member.
     flat = reps.select("doc_id", F.explode("keys").alias("key"))
-    centers = flat.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last").select("key", "center")
-    buckets = cut(flat.join(centers, "key").select("key", "doc_id", "center"))
+    centers = flat.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("center < last").select("key", "center", "n")
+    buckets = cut(join_uneven(flat, cut(centers), ["key"], "n", total * p.bands, 1000 * p.bands))
     stars = cut(buckets.where("doc_id <> center").groupBy(F.col("center").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared")))
 
     stars = cut(likely(stars, reps, p).join(stars, ["a", "b"]))
@@ -309,14 +321,13 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     links = links.unionByName(cut(confirmed(rest, sets, p)))
     labels = components(links)
 
-    links = links.unionByName(cut(left_over(buckets, labels, docs, reps, p)))
+    links = links.unionByName(cut(left_over(buckets, labels, docs, reps, total, p)))
     labels = components(links)
 
-    done = member.join(labels, member.class_id == labels.id, "left").select(
-        "doc_id", "set_a", "set_b", F.coalesce("component", "class_id").alias("component_id")
-    )
-    done = done.distinct()
-    rows = slim.join(done, ["doc_id", "set_a", "set_b"], "left")
+    sizes = member.groupBy("class_id").agg(F.count("*").alias("n")).join(labels, F.col("class_id") == labels.id).select("class_id", "component", "n")
+    done = join_uneven(member, cut(sizes), ["class_id"], "n", total, how="left")
+    done = done.select("doc_id", *digest, F.coalesce("component", "class_id").alias("component_id")).distinct()
+    rows = slim.join(done, ["doc_id", *digest], "left")
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
