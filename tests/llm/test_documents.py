@@ -91,6 +91,21 @@ def test_near_duplicates_group_without_a_center(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
 
 
+@pytest.mark.parametrize("block", [3, 7])
+def test_mixed_buckets_in_blocks(spark, monkeypatch, block):
+    """Families without a common center, dealt out in blocks of a few rows."""
+    from weftline.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = []
+    for f in range(4):
+        base = prose(70 + f % 2, 100).split()
+        rows += [(100 * f + k, " ".join(base[:50] + [f"f{f}c{k + j}" for j in range(50)])) for k in range(25)]
+    rows += [(900 + k, prose(70, 100)) for k in range(20)]  # copies
+    got = near_duplicates(spark.createDataFrame(rows, DOC), NearDupParams(shingle=2)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
+
+
 def test_near_duplicates_edges(spark):
     docs = with_clashes(spark.createDataFrame(odd_documents(), DOC))
     got = near_duplicates(docs).collect()
@@ -125,16 +140,20 @@ def brute_removal(rows, window: int):
     return out
 
 
-@pytest.mark.parametrize(("window", "anchor"), [(35, 8), (12, 4), (5, 5)])
-def test_removal_matches_brute_force(spark, window, anchor):
+@pytest.mark.parametrize(("window", "anchor", "hot"), [(35, 8, 2000), (12, 4, 3), (5, 5, 0), (35, 8, 4)])
+def test_removal_matches_brute_force(spark, window, anchor, hot):
     shared = [prose(1000 + k, window + 7 * k) for k in range(5)]
     r = random.Random(3)
     rows = [(k, " ".join([prose(k, r.randrange(0, 80)), shared[k % 5], prose(500 + k, r.randrange(0, 60)), *(shared[(k + 1) % 5].split()[: window + k % 3])])) for k in range(40)]
     rows += [(100, "a b " * 60), (101, "z " * (window + 1)), (102, "q " * window), (103, None), (104, ""), (105, prose(7, window - 1)), (106, prose(7, window - 1))]
     rows += [(107, rows[0][1]), (107, rows[0][1])]
-    got = remove_repeats(with_clashes(spark.createDataFrame(rows, DOC)), SubstringParams(window=window, anchor=anchor, shard=3, held=5))
+    phrase = prose(2000, window - 3)  # stands in many documents, but no window recurs
+    rows += [(200 + k, f"{prose(3000 + k, 20)} {phrase} {prose(4000 + k, 20)}") for k in range(12)]
+    rows += [(None, rows[5][1]), (None, rows[5][1]), (None, prose(5000, 60)), (None, None), (None, "")] + [(None, prose(5001, 50))] * 6
+    got = remove_repeats(with_clashes(spark.createDataFrame(rows, DOC)), SubstringParams(window=window, anchor=anchor, shard=3, hot=hot, held=5))
     found = [(x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in got.collect()]
-    assert sorted(found) == sorted(brute_removal(rows, window))
+    order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(found, key=order) == sorted(brute_removal(rows, window), key=order)
 
 
 def test_removal_edges(spark):

@@ -12,7 +12,10 @@ anchor, the least hash of its runs of ``anchor`` words, and equal windows have e
    through it. All words of all occurrences are found there: a repeated window's segments share its shard.
 4. The places found in a segment go back to every document that has this segment.
 
-A passage that a third of all documents share is one segment in step 3, whatever its number of copies.
+A passage that a third of all documents share is one segment in step 3, whatever its number of copies. An
+anchor that stands in very many documents may still have as many different segments: a phrase of some words
+that many writers use. Such an anchor is no task's work. The windows of its segments are dealt out and counted one
+by one, by 128 bits of their words' hashes, and those that recur are places as in step 3.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import as_bytes, cut, groups, hash_words, rolling
+from weftline.llm.common import as_bytes, cut, groups, hash_words, join_uneven, mix, rolling
 
 
 #: Three joins by document read these columns, no fewer, so that Spark shuffles the texts once for all of them.
@@ -39,12 +42,14 @@ SHUFFLED = ["doc_key", "text", "row"]
 @dataclass(frozen=True)
 class SubstringParams:
     """window: words of a window. anchor: words of an anchor. shard: segments of an automaton, at least
-    (an anchor is never split). held: distinct segments that a task counts before it hands them on.
+    (an anchor is not split). hot: an anchor that stands more often is dealt out by its windows, so an
+    automaton has at most shard + hot segments. held: distinct segments that a task counts before it hands them on.
     untouched: a text that loses nothing is kept as it is, white space and null included."""
 
     window: int = 35
     anchor: int = 8
     shard: int = 8_000
+    hot: int = 2_000
     held: int = 50_000
     untouched: bool = False
 
@@ -112,31 +117,61 @@ def _long_pairs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(halves[:, 0]), pa.array(halves[:, 1])
 
 
+def _distinct_segments(batches: Iterator[pa.RecordBatch], p: SubstringParams) -> Iterator[list[tuple[bytes, int, int, bytes]]]:
+    """Digest, anchor, number and words of the distinct segments in rows (text, anchors), about p.held at a time."""
+    counts: Counter[bytes] = Counter()
+    kept: dict[bytes, tuple[int, bytes]] = {}
+    for batch in batches:
+        for text, anchors in zip(as_bytes(batch.column("text")), batch.column("anchors"), strict=True):
+            for anchor, _, body, digest in _segments(text or b"", _uint64(anchors), p):
+                counts[digest] += 1
+                if digest not in kept:
+                    kept[digest] = anchor, body
+            if len(kept) >= p.held:
+                yield [(d, anchor, counts[d], body) for d, (anchor, body) in kept.items()]
+                counts.clear()
+                kept.clear()
+    yield [(d, anchor, counts[d], body) for d, (anchor, body) in kept.items()]
+
+
 def counted_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
     """Distinct segments of each task with their numbers, from rows (text, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        kept: dict[bytes, tuple[int, bytes]] = {}
+        for found in _distinct_segments(batches, p):
+            a, b = _long_pairs([d for d, *_ in found])
+            columns = [pa.array([x for _, x, _, _ in found], pa.int64()), a, b, pa.array([n for _, _, n, _ in found], pa.int64()), pa.array([x for *_, x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "seg_a", "seg_b", "n", "words"])
 
-        def flush() -> pa.RecordBatch:
-            a, b = _long_pairs(list(kept))
-            columns = [pa.array([x for x, _ in kept.values()], pa.int64()), a, b, pa.array([counts[d] for d in kept], pa.int64()), pa.array([x for _, x in kept.values()], pa.binary())]
-            counts.clear()
-            kept.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["anchor", "seg_a", "seg_b", "n", "words"])
+    return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "anchor long, seg_a long, seg_b long, n long, words binary")
 
-        for batch in batches:
-            for text, anchors in zip(as_bytes(batch.column("text")), batch.column("anchors"), strict=True):
-                for anchor, _, body, digest in _segments(text or b"", _uint64(anchors), p):
-                    counts[digest] += 1
-                    if digest not in kept:
-                        kept[digest] = anchor, body
-                if len(kept) >= p.held:
-                    yield flush()
-        yield flush()
 
-    return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "anchor long, seg_a long, seg_b long, n long, words binary")
+def counted_windows(chosen: DataFrame, p: SubstringParams) -> DataFrame:
+    """The windows of the distinct segments of each task: digest, number, segment and place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _distinct_segments(batches, p):
+            for some in (found[at : at + 2_000] for at in range(0, len(found), 2_000)):
+                hashes = [hash_words(body.split(b" ")) for *_, body in some]
+                sizes = np.array([len(h) - p.window + 1 for h in hashes])
+                owner = np.repeat(np.arange(len(some)), sizes)
+                a, b = _long_pairs([d for d, *_ in some])
+                digests = [pa.array(np.concatenate([rolling(f(h), p.window) for h in hashes]).view(np.int64)) for f in (lambda h: h, mix)]
+                place = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)
+                times = np.array([n for _, _, n, _ in some])[owner]
+                columns = [*digests, pa.array(times), a.take(pa.array(owner)), b.take(pa.array(owner)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, names=["win_a", "win_b", "n", "seg_a", "seg_b", "low"])
+
+    return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "win_a long, win_b long, n long, seg_a long, seg_b long, low int")
+
+
+def located_by_windows(windows: DataFrame, p: SubstringParams) -> DataFrame:
+    """As ``located``, from the windows of segments: those whose digest recurs."""
+    windows = cut(windows)
+    digest = ["win_a", "win_b"]
+    recurring = cut(windows.groupBy(*digest).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n"))
+    found = join_uneven(windows.drop("n"), recurring, digest, "rows", windows.count())
+    return found.select("seg_a", "seg_b", "low", (F.col("low") + p.window).alias("high")).distinct()
 
 
 def _uint64(values: pa.ListScalar) -> np.ndarray:
@@ -239,21 +274,27 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), carr
 
     kept holds the words that stay, joined by one space. Words are runs of characters other than
     space and U+0009 to U+000D, compared as they are. Null and empty texts have no words and an empty
-    kept. Texts of fewer words than a window lose nothing. Repeated rows repeat each other's windows.
-    A null doc_id stays null. Other columns are not read.
+    kept. Texts of fewer words than a window lose nothing, long ones are taken whole. Repeated rows repeat
+    each other's windows. A null doc_id stays null, and any number of rows may have none. Other columns are
+    not read. An empty table gives an empty result.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_key")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_key")  # rows that share one are told apart by their texts
     texts = docs.select(key, "text", F.struct("doc_id", *carry).alias("row"))
     anchors = cut(document_anchors(texts.where("text is not null"), p)).where("size(anchors) > 0")
     flat = anchors.select("doc_key", F.explode("anchors").alias("anchor"))
-    recurring = flat.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = flat.join(recurring, "anchor").groupBy("doc_key").agg(F.collect_set("anchor").alias("anchors"))
-    chosen = texts.join(wanted, "doc_key")
-
-    spans = located(counted_segments(chosen, p), p)
-    places = placed_segments(chosen, p).join(spans, ["seg_a", "seg_b"])
+    recurring = cut(flat.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("many", F.col("n") > p.hot))
+    total = anchors.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
+    own = join_uneven(flat, recurring, ["anchor"], "n", total)
+    some, hot = (F.collect_set(F.when(which, F.col("anchor"))) for which in (~F.col("many"), F.col("many")))
+    wanted = cut(own.groupBy("doc_key").agg(some.alias("anchors"), hot.alias("hot")))
+    chosen = lambda anchors: texts.join(wanted.select("doc_key", F.expr(anchors).alias("anchors")).where("size(anchors) > 0"), "doc_key")
+
+    spans = located(counted_segments(chosen("anchors"), p), p)
+    if not wanted.where("size(hot) > 0").isEmpty():
+        spans = spans.unionByName(located_by_windows(counted_windows(chosen("hot"), p), p))
+    places = placed_segments(chosen("concat(anchors, hot)"), p).join(spans, ["seg_a", "seg_b"])
     stretch = F.struct("own", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    removed = places.groupBy("doc_key").agg(F.collect_list(stretch).alias("spans"))
+    removed = places.groupBy("doc_key").agg(F.collect_set(stretch).alias("spans"))
     joined = texts.join(removed, "doc_key", "left").select(*SHUFFLED, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
