@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.decontaminate import contaminated
 from weftline.llm.lang_id import LangParams, identify
-from weftline.llm.mixing import MixParams, entropy, find_exponent, mix, tempered
+from weftline.llm.mixing import MixParams, entropy, find_exponent, mix, sums_of, tempered
 from weftline.llm.near_dup import NearDupParams, least_matches, near_duplicates
 from weftline.llm.quality import score_quality
 from weftline.llm.substring import SubstringParams, remove_repeats, repeated_spans
@@ -306,15 +306,86 @@ def mixed_documents():
     return [(k, "w " * (1 + k % 17), "hot" if k % 3 == 0 else f"s{k % 5}") for k in range(600)]
 
 
+def exponent_of(tokens, p):
+    total = sum(tokens)
+    return find_exponent(sums_of([t / total for t in tokens]), len(tokens), min(tokens) / total, 1.0 if p.budget is None else p.budget / total, p)
+
+
 def test_exponent_meets_entropy_and_repeats():
     tokens = [10_000, 500, 300, 20]
     shares = [t / sum(tokens) for t in tokens]
     p = MixParams(entropy=0.6, repeats=None)
-    assert entropy(tempered(shares, find_exponent(tokens, p))) == pytest.approx(0.6 * 1.3862943611198906, abs=1e-6)
+    assert entropy(tempered(shares, exponent_of(tokens, p))) == pytest.approx(0.6 * 1.3862943611198906, abs=1e-6)
     q = MixParams(entropy=1.0, repeats=3.0)
-    weights = tempered(shares, find_exponent(tokens, q))
+    weights = tempered(shares, exponent_of(tokens, q))
     assert max(w * sum(tokens) / t for w, t in zip(weights, tokens, strict=True)) == pytest.approx(3.0, abs=1e-6)
-    assert find_exponent([5, 5], MixParams()) == 1.0
+    assert exponent_of([5, 5], MixParams()) == 1.0
+    assert exponent_of(tokens, MixParams(entropy=None, repeats=None)) == 1.0
+
+
+def plain_exponent(tokens, p):
+    """Halving, one exponent at a time."""
+    total = sum(tokens)
+    shares = [t / total for t in tokens]
+    budget = total if p.budget is None else p.budget
+    wide = lambda a: p.entropy is None or entropy(tempered(shares, a)) >= p.entropy * math.log(len(shares)) - 1e-12
+    few = lambda a: p.repeats is None or all(w * budget <= p.repeats * t * (1 + 1e-12) for w, t in zip(tempered(shares, a), tokens, strict=True))
+
+    def search(ok, rising):
+        low, high = 0.0, 1.0
+        if ok(high) and not rising:
+            return high
+        for _ in range(50):
+            middle = (low + high) / 2
+            if ok(middle) != rising:
+                low = middle
+            else:
+                high = middle
+        return high if rising else low
+
+    found = search(wide, False)
+    return found if few(found) else max(found, search(few, True))
+
+
+def brute_mix(spark, rows, p):
+    """doc_id and epoch of every row of the mixture, by loops; only the hashes come from Spark."""
+    words = {u: len(t.split()) for u, t, _ in rows}
+    sources = sorted({x for *_, x in rows})
+    tokens = {x: sum(words[u] for u, _, y in rows if y == x) for x in sources}
+    total = sum(tokens.values())
+    budget = total if p.budget is None else p.budget
+    weights = dict(zip(sources, tempered([tokens[x] / total for x in sources], plain_exponent([tokens[x] for x in sources], p)), strict=True))
+    ids = spark.createDataFrame([(u,) for u in words], "doc_id long")
+    deal = {r.doc_id: (r.a, r.b) for r in ids.selectExpr("doc_id", f"xxhash64(doc_id, {p.seed}L) a", f"xxhash64({p.seed + 1}L, doc_id) b").collect()}
+    out = []
+    for x in sources:
+        own = [u for u, _, y in rows if y == x]
+        quota = int(weights[x] * budget + 1e-6)
+        passes, rest = divmod(quota, tokens[x])
+        blocks = max(1, math.ceil(math.sqrt(len(own) / p.block_docs)))
+        block = {u: deal[u][0] % blocks for u in own}
+        out += [(u, e) for u in own for e in range(passes)]
+        keys = spark.createDataFrame([(f"={x}", k) for k in range(blocks)], "_key string, block long")
+        order = [r.block for r in keys.selectExpr("block", f"xxhash64({p.seed}L, {passes}L, _key, block) h").orderBy("h", "block").collect()]
+        for k in order:
+            members = sorted((u for u in own if block[u] == k), key=lambda u: (deal[u][1], u))
+            for u in members:
+                if sum(words[m] for m in members) <= rest or words[u] <= rest:
+                    out.append((u, passes))
+                    rest -= words[u]
+                else:
+                    rest = 0
+                    break
+            if rest <= 0:
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("p", [MixParams(entropy=0.999, block_docs=8), MixParams(entropy=0.7, block_docs=2, budget=3000), MixParams(entropy=1.0, repeats=1.5, block_docs=1), MixParams(entropy=None, repeats=None, budget=20_000, block_docs=3)])
+def test_mix_matches_brute_force(spark, p):
+    rows = mixed_documents()
+    got = mix(spark.createDataFrame(rows, MIX), p).collect()
+    assert sorted((r.doc_id, r.epoch) for r in got) == brute_mix(spark, rows, p)
 
 
 def test_mix_realises_the_weights(spark):

@@ -13,6 +13,7 @@ as long as they fit the source's tokens.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,13 +27,14 @@ from weftline.llm.common import cut
 class MixParams:
     """entropy: wanted entropy of the weights as a part of the largest one (None: not asked for).
     repeats: most passes over a source (None: any number). budget: tokens to give out (None: as many
-    as there are). block_docs and most_blocks: documents aimed at in a block, and most blocks of a source."""
+    as there are). block_docs: a source of n documents has the root of n / block_docs blocks, so neither the
+    blocks of a source nor the documents of a block grow with n itself. broadcast_rows: rows of a side up
+    to which it is broadcast."""
 
     entropy: float | None = 0.97
     repeats: float | None = 4.0
     budget: int | None = None
     block_docs: int = 64
-    most_blocks: int = 4096
     seed: int = 3
     broadcast_rows: int = 200_000
 
@@ -51,30 +53,40 @@ def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def find_exponent(tokens: list[int], p: MixParams) -> float:
-    """The exponent for sources with these numbers of tokens, all positive."""
-    total = sum(tokens)
-    shares = [t / total for t in tokens]
-    budget = total if p.budget is None else p.budget
-    high_enough = lambda a: p.entropy is None or entropy(tempered(shares, a)) >= p.entropy * math.log(len(shares))
-    few_enough = lambda a: p.repeats is None or all(w * budget <= p.repeats * t * (1 + 1e-12) for w, t in zip(tempered(shares, a), tokens, strict=True))
-    wide = _bisect(high_enough, last=True)
-    return wide if few_enough(wide) else max(wide, _bisect(few_enough, last=False))
+#: For each exponent a the sums over sources of q^a and of q^a ln q.
+Sums = Callable[[list[float]], list[tuple[float, float]]]
+
+
+def sums_of(shares: list[float]) -> Sums:
+    return lambda exponents: [(math.fsum(q**a for q in shares), math.fsum(q**a * math.log(q) for q in shares)) for a in exponents]
+
 
+def find_exponent(sums: Sums, sources: int, smallest: float, turnover: float, p: MixParams) -> float:
+    """The exponent for sources with these sums of shares; smallest: their smallest share, turnover: budget over all tokens.
 
-def _bisect(holds, last: bool) -> float:
-    """The last a in [0, 1] where a falling condition holds, or the first where a rising one does."""
-    if last and holds(1.0) or not last and not holds(1.0):
+    With Z and S for the two sums the weights q^a / Z have the entropy ln Z - a S / Z, and the source that is
+    repeated most is the smallest one, turnover * q^(a - 1) / Z times.
+    """
+    wide = lambda a, z, s: p.entropy is None or math.log(z) - a * s / z >= p.entropy * math.log(sources) - 1e-12
+    few = lambda a, z, s: p.repeats is None or turnover * smallest ** (a - 1) / z <= p.repeats * (1 + 1e-12)
+    found = _bisect(sums, wide, last=True)
+    return found if few(found, *sums([found])[0]) else max(found, _bisect(sums, few, last=False))
+
+
+def _bisect(sums: Sums, holds: Callable[[float, float, float], bool], last: bool) -> float:
+    """The last a in [0, 1] where a falling condition holds, or the first where a rising one does; 64 parts at a time."""
+    at = lambda points: [holds(a, *zs) for a, zs in zip(points, sums(points), strict=True)]
+    first_holds, last_holds = at([0.0, 1.0])
+    if last_holds if last else not last_holds:
         return 1.0
-    if not last and holds(0.0) or last and not holds(0.0):
+    if not first_holds if last else first_holds:
         return 0.0
     low, high = 0.0, 1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        if holds(middle) == last:
-            low = middle
-        else:
-            high = middle
+    for _ in range(8):
+        points = [low + (high - low) * k / 64 for k in range(1, 64)]
+        same = sum(1 for x in at(points) if x == last)  # a run of points like low, then those like high
+        ends = [low, *points, high]
+        low, high = ends[same], ends[same + 1]
     return low if last else high
 
 
@@ -86,27 +98,32 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), carry: tuple[str, ...] = ()
     belong to every pass of their block and cost nothing; a source of only such documents has weight 0
     and is passed once. Rows with a null doc_id are all in one block of their source
     and never taken by a partial pass; repeated rows are taken
-    together. An empty table gives an empty result. Other columns are not read.
+    together, and texts of any length count whole. Blocks and documents whose hashes tie are in order of their number
+    or doc_id. An empty table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
     own = docs.select("doc_id", "source", *carry).columns
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_key")  # never null
     rows = docs.select(*own, n_tokens(F.col("text")).alias("n_tokens"), key)
-    slim = docs.select("doc_id", key, n_tokens(F.col("text")).alias("n_tokens"))
+    slim = cut(docs.select("doc_id", key, n_tokens(F.col("text")).alias("n_tokens")))
     totals = cut(slim.groupBy("_key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
-    listed = totals.orderBy("_key").collect()
-    full = [r for r in listed if r["tokens"]]
-    exponent = find_exponent([r["tokens"] for r in full], p) if full else 1.0
-    total = sum(r["tokens"] for r in full)
-    weights = dict(zip([r["_key"] for r in full], tempered([r["tokens"] / total for r in full], exponent), strict=True)) if full else {}
+    full = totals.where("tokens > 0")
+    total, least, n, n_sources = totals.select(F.coalesce(F.sum("tokens"), F.lit(0)), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))), F.count_if(F.col("tokens") > 0), F.count("*")).first()
     budget = total if p.budget is None else p.budget
-    plan = []
-    for r in listed:
-        quota = int(weights.get(r["_key"], 0.0) * budget + 1e-6)
-        passes, rest = divmod(quota, r["tokens"]) if r["tokens"] else (1, 0)
-        plan.append((r["_key"], weights.get(r["_key"], 0.0), passes, rest, max(1, min(p.most_blocks, -(-r["docs"] // p.block_docs)))))
-    sources = spark.createDataFrame(plan, "_key string, weight double, passes long, rest long, blocks long")
-    sources = F.broadcast(sources) if len(plan) <= p.broadcast_rows else sources
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        share = F.col("tokens") / float(total)
+        tried = full.select(share.alias("q"), F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "a"))
+        found = {r["k"]: (r["z"], r["s"]) for r in tried.groupBy("k").agg(F.sum(F.expr("pow(q, a)")).alias("z"), F.sum(F.expr("pow(q, a) * ln(q)")).alias("s")).collect()}
+        return [found[k] for k in range(len(exponents))]
+
+    exponent = find_exponent(sums, n, least / total, budget / total, p) if n else 1.0
+    whole = sums([exponent])[0][0] if n else 1.0
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / float(total or 1), F.lit(exponent)) / whole).otherwise(0.0)
+    plan = totals.withColumn("weight", weight).withColumn("quota", F.floor(F.col("weight") * budget + 1e-6))
+    passes, rest = F.expr("if(tokens > 0, quota div tokens, 1L)"), F.expr("if(tokens > 0, quota % tokens, 0L)")
+    blocks = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("docs") / p.block_docs))).cast("long")
+    sources = cut(plan.select("_key", "weight", passes.alias("passes"), rest.alias("rest"), blocks.alias("blocks")))
+    sources = F.broadcast(sources) if n_sources <= p.broadcast_rows else sources
     block = F.expr(f"pmod(xxhash64(doc_id, {p.seed}L), blocks)")
     order = lambda epoch: F.expr(f"xxhash64({p.seed}L, {epoch}, _key, block)")
     blocked = lambda df: df.join(sources, "_key").withColumn("block", block)
