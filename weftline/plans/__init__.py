@@ -1,4 +1,4 @@
 """Registered queries and the SQL that says the same."""
 
-from weftline.plans import entities, texts, timeline  # noqa: F401
+from weftline.plans import entities, records, texts, timeline  # noqa: F401
 from weftline.plans.registry import QUERIES, SQL  # noqa: F401
