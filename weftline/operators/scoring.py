@@ -91,8 +91,23 @@ END_WEIGHTS = [
 
 
 def candidate_score(weights: list[tuple[float, str]], t: Column, guess: Column, columns: list[str]) -> Column:
-    """Weighted evidence less the distance from the guess, a point for 90 seconds. Missing columns count nothing."""
-    return weighted([(w, F.col(n)) for w, n in weights if n in columns]) - F.abs(t - guess) / 90
+    """Weighted evidence less the distance from the guess, a point for 90 seconds. Every name needs its column."""
+    absent = [n for _, n in weights if n not in columns]
+    if absent:
+        raise ValueError(f"no columns for {absent}")
+    return weighted([(w, F.col(n)) for w, n in weights]) - F.abs(t - guess) / 90
+
+
+def undragged(seed: Column, moved: Column, dominant: Column, likely: Column) -> Column:
+    """A candidate that was moved back over 10 seconds into song, prayer or notices stays at its seed if the talk seems to begin there."""
+    return F.when((moved < seed - 10) & dominant & likely, seed).otherwise(moved)
+
+
+def with_fallback(t: Column, strong: Column, back: Column, supported: Column, drift: float) -> Column:
+    """Struct (t, chosen): the best candidate if it is strong; else the fallback, if there is one, it is supported and lies within the drift."""
+    near = F.coalesce(F.abs(back - t) <= drift, F.lit(False)) & supported
+    chosen = F.when(strong | back.isNull(), "scored").when(near, "fallback").otherwise("fallback_rejected")
+    return F.struct(F.when(~strong & near, back).otherwise(t).alias("t"), chosen.alias("chosen"))
 
 
 def ending_completeness(tail: Column) -> Column:

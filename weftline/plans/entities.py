@@ -98,16 +98,6 @@ def priority_score(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("id", scoring.priority(c("score"), c("text"), c("still"), c("start"), c("end"), 600.0, 3000.0).alias("priority"))
 
 
-FLAGS = ["music_to_speech", "pause_to_speech", "greeting", "prayer_dominant", "talk_cue"]
-
-
-@query("""SELECT o_orderkey, round(0.0::DOUBLE + 1.25::DOUBLE * (o_orderkey % 2 = 0)::INTEGER + 1.5::DOUBLE * (o_orderkey % 3 = 0)::INTEGER + 1.2::DOUBLE * (o_orderkey % 11)::DOUBLE + 1.6::DOUBLE * (o_orderkey % 5 = 0)::INTEGER + -2.2::DOUBLE * (o_orderkey % 7 = 0)::INTEGER - abs((o_orderkey % 900)::DOUBLE - 450.0::DOUBLE) / 90, 9) AS score FROM orders""")
-def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    rows = orders(spark, d).select("o_orderkey", (k % 2 == 0).alias("music_to_speech"), (k % 3 == 0).alias("pause_to_speech"), (k % 5 == 0).alias("greeting"), (k % 7 == 0).alias("prayer_dominant"), (k % 11).cast("double").alias("talk_cue"), (k % 900).cast("double").alias("t"))
-    return rows.select("o_orderkey", F.round(scoring.candidate_score(scoring.START_WEIGHTS, F.col("t"), F.lit(450.0), rows.columns), 9).alias("score"))
-
-
 @query("""WITH r AS (SELECT o_custkey AS key, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS s, o_orderkey % 4 * 5000000 AS part FROM orders)
     SELECT key, arg_max(o_orderkey, (s, -o_orderkey)) AS winner, arg_max(o_orderkey, (s - part, -o_orderkey)) AS winner_without, arg_max(o_orderkey, (s, -o_orderkey)) <> arg_max(o_orderkey, (s - part, -o_orderkey)) AS changed FROM r GROUP BY key""")
 def counterfactual_argmax(spark: SparkSession, d: str) -> DataFrame:
