@@ -46,3 +46,20 @@ def test_leases(spark, tmp_path):
     rows = [(1, 0, "claim", "a"), (1, 10, "claim", "b"), (1, 20, "heartbeat", "a"), (1, 60, "claim", "b"), (1, 61, "heartbeat", "a"), (1, 62, "complete", "b"), (1, 200, "claim", "c")]
     got = run(spark, tmp_path, rows, "job long, t long, action string, token string", lambda s: ops.leases(s, "job", 30))
     assert [ok for _, _, _, ok in sorted(got)] == [True, False, True, True, False, True, False]
+
+
+def test_rows_of_one_key_are_folded_in_order(spark, tmp_path):
+    """30,000 hits of one key in one micro-batch, the latest first: more than one Arrow frame."""
+    hits = spark.range(30_000).selectExpr("'u' as key", "29999 - id as t").coalesce(1)
+    hits.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in"))
+    query = ops.rate_limit(stream, "key", 5, 100).writeStream.format("memory").queryName("many_hits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert spark.table("many_hits").where("allowed").count() == 1500
+    assert spark.table("many_hits").where("t % 100 < 5 and not allowed").count() == 0
+
+
+def test_tumbling_windows(spark, tmp_path):
+    rows = [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 4.0), ("b", 3, 8.0)]
+    got = run(spark, tmp_path, rows, "key string, sec int, value double", lambda s: ops.tumbling(s.withColumn("ts", F.timestamp_seconds("sec")), ["key"], "ts", "2 seconds", "1 hour", "value"), "complete")
+    assert sorted((k, a.timestamp(), n, v) for k, a, n, v in got) == [("a", 0.0, 2, 3.0), ("a", 2.0, 1, 4.0), ("b", 2.0, 1, 8.0)]

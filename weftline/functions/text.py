@@ -6,6 +6,7 @@ character other than A-Z, a-z, 0-9 and _, whatever the JVM's own notion of a wor
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,15 +59,20 @@ def join_tokens(tokens: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(tokens, " "), r"\s+([,.;:!?)\]}])", "$1"), r"([(\[{])\s+", "$1")
 
 
-# Accented letters and their base letters, for slugs.
-_ACCENTED = "áàäâãåéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
+def _base_letters() -> tuple[str, str]:
+    """Letters that decompose into an ASCII letter or digit and marks, and what they decompose into."""
+    found = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2100)]
+    some = [(c, x[0]) for c, x in found if len(x) > 1 and x[0].isascii() and x[0].isalnum() and all(map(unicodedata.combining, x[1:]))]
+    return "".join(c for c, _ in some), "".join(x for _, x in some)
+
+
+_ACCENTED, _PLAIN = _base_letters()
 
 
 def slug(text: Column, default: str) -> Column:
     """Lower-case words joined by hyphens, accents removed; default if nothing stays."""
-    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _PLAIN))
-    kebab = F.regexp_replace(F.trim(F.regexp_replace(plain, r"[^a-z0-9\s-]", " ")), r"[\s_-]+", "-")
+    bare = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _PLAIN), r"[\u0300-\u036f]", "")
+    kebab = F.regexp_replace(F.trim(F.regexp_replace(F.lower(bare), r"[^a-z0-9\s-]", " ")), r"[\s_-]+", "-")
     kebab = F.regexp_replace(kebab, "^-+|-+$", "")
     return F.when(kebab == "", F.lit(default)).otherwise(kebab)
 
@@ -213,10 +219,12 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 NON_SPEECH_WORDS = ["music", "música", "piano", "silence", "silencio"]
 NON_SPEECH_STARTS = "music|música|piano|instrumental|aplausos|applause|silence|silencio"
 SPEECH_LABELS = ["male", "female", "speech"]
-LYRIC_KEYWORDS = (
-    "dios jesus jesús cristo señor senor alaba alabanza adorar adoración adoracion gloria santo santa espiritu espíritu gracia amor salvador"
-    " aleluya amen amén quiero eres tu tú mi alma corazón corazon cantar cantare cantaré alabarte adorarte sublime nombre"
-).split()
+LYRIC_KEYWORDS = [
+    "dios", "jesus", "jesús", "cristo", "señor", "senor", "alaba", "alabanza", "adorar", "adoración", "adoracion", "gloria",
+    "santo", "santa", "espiritu", "espíritu", "gracia", "amor", "salvador", "aleluya", "amen", "amén", "quiero", "eres",
+    "tu", "tú", "mi", "alma", "corazón", "corazon", "cantar", "cantare", "cantaré", "alabarte", "adorarte", "sublime",
+    "nombre",
+]
 CALL_TO_WORSHIP = r"lleg[oó]\s+el\s+momento\s+de\s+alabar|pong[aá]monos\s+de\s+pie.*(?:alabar|adorar)|les\s+invitamos\s+a\s+alabar|vamos\s+a\s+alabar"
 GREETING = r"buenos d[ií]as[, ]+feliz s[áa]bado|feliz s[áa]bado(?:\s+(?:nuevamente|familia|iglesia|hermanos?|a todos))?"
 PRAYER = r"oremos|oraci[oó]n|inclinemos|inclinar.*rostro|arrodill|te lo pedimos|en el nombre de (tu hijo )?cristo jes[uú]s|(?<![A-Za-z0-9_])am[eé]n(?![A-Za-z0-9_])"
@@ -382,4 +390,4 @@ def pattern_hits(text: Column, patterns: list[str]) -> Column:
 
 def patterns_present(text: Column, patterns: list[str]) -> Column:
     """Number of patterns with any match."""
-    return sum((text.rlike(rx).cast("int") for rx in patterns), F.lit(0))
+    return sum(((F.regexp_count(text, F.lit(rx)) > 0).cast("int") for rx in patterns), F.lit(0))

@@ -10,7 +10,7 @@ from weftline.operators import entity as E
 from weftline.operators import folds, scoring
 from weftline.operators import selection as P
 from weftline.plans.registry import query, table
-from weftline.plans.timeline import HOUR, events, lasting, turns
+from weftline.plans.timeline import HOUR, TL, events, lasting, turns
 
 NOW = 946_684_800_000_000  # 2000-01-01 in microseconds
 
@@ -63,24 +63,24 @@ def topn_coalesce_score(spark: SparkSession, d: str) -> DataFrame:
     return P.top(table(spark, d, "customer"), ["c_nationkey"], [F.desc(score), F.asc("c_custkey")], 5).select("c_nationkey", "c_custkey", "rank")
 
 
-@query("""WITH r AS (SELECT o_custkey % 20 AS key, o_orderkey, o_totalprice, CAST(month(o_orderdate) AS INTEGER) AS bucket FROM orders),
+@query("""WITH r AS (SELECT o_custkey AS key, o_orderkey, o_totalprice, CAST(quarter(o_orderdate) AS INTEGER) AS bucket FROM orders),
     s AS (SELECT *, row_number() OVER (PARTITION BY key, bucket ORDER BY o_totalprice DESC, o_orderkey) AS i, max(o_totalprice) OVER (PARTITION BY key, bucket) AS strength FROM r),
     p AS (SELECT key, o_orderkey, bucket, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN i <= 2 THEN 0 ELSE 1 END, CASE WHEN i <= 2 THEN strength END DESC NULLS LAST, CASE WHEN i <= 2 THEN bucket END NULLS LAST, o_totalprice DESC, o_orderkey) AS pick FROM s)
-    SELECT key, o_orderkey, bucket, pick FROM p WHERE pick <= 30""")
+    SELECT key, o_orderkey, bucket, pick FROM p WHERE pick <= 6""")
 def bucket_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = orders(spark, d).select((F.col("o_custkey") % 20).alias("key"), "o_orderkey", "o_totalprice", F.month("o_orderdate").alias("bucket"))
-    return P.budget(rows, ["key"], "bucket", "o_totalprice", "o_orderkey", 2, 30).select("key", "o_orderkey", "bucket", "pick")
+    rows = orders(spark, d).select(F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice", F.quarter("o_orderdate").alias("bucket"))
+    return P.budget(rows, ["key"], "bucket", "o_totalprice", "o_orderkey", 2, 6).select("key", "o_orderkey", "bucket", "pick")
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Orders as candidates: key, id, start, end, text, still, motion, score."""
     c = F.col("o_orderkey")
-    base = orders(spark, d).select((F.col("o_custkey") % 20).alias("key"), c.alias("id"), (c % 3600).cast("double").alias("start"), ((c % 97) / 97.0).alias("text"), ((c % 53) / 400.0).alias("motion"), (c % 260).cast("double").alias("length"))
+    base = orders(spark, d).select(F.col("o_custkey").alias("key"), c.alias("id"), (c % 3600).cast("double").alias("start"), ((c % 97) / 97.0).alias("text"), ((c % 53) / 400.0).alias("motion"), (c % 260).cast("double").alias("length"))
     return base.withColumn("end", F.col("start") + F.col("length")).withColumn("still", scoring.stillness(F.col("motion"))).withColumn("score", scoring.segment_score(F.col("text"), F.col("motion")))
 
 
 CAND = """cand AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - motion / 0.12::DOUBLE)) AS still, 0.62::DOUBLE * text + 0.38::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - motion / 0.12::DOUBLE)) AS score, start + length AS "end" FROM
-    (SELECT o_custkey % 20 AS key, o_orderkey AS id, (o_orderkey % 3600)::DOUBLE AS start, (o_orderkey % 97) / 97.0::DOUBLE AS text, (o_orderkey % 53) / 400.0::DOUBLE AS motion, (o_orderkey % 260)::DOUBLE AS length FROM orders))"""
+    (SELECT o_custkey AS key, o_orderkey AS id, (o_orderkey % 3600)::DOUBLE AS start, (o_orderkey % 97) / 97.0::DOUBLE AS text, (o_orderkey % 53) / 400.0::DOUBLE AS motion, (o_orderkey % 260)::DOUBLE AS length FROM orders))"""
 
 
 @query(f"""WITH {CAND} SELECT id, length BETWEEN 2.5 AND 220 AND text >= 0.18 AND still >= 0.28 AND score >= 0.32 AS base, length >= 5 AND text >= 0.58 AND score >= 0.42 AS override FROM cand""")
@@ -230,16 +230,22 @@ def fuse_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def identity_clusters(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "embeddings").select((F.col("vec_id") % 16).alias("key"), F.col("vec_id").alias("id"), F.col("vec_id").alias("t"), F.col("embedding").alias("vector"))
+    hits = table(spark, d, "embeddings").select(F.expr("vec_id div 64").alias("key"), F.col("vec_id").alias("id"), F.col("vec_id").alias("t"), F.col("embedding").alias("vector"))
     return folds.online_centroids(hits, ["key"])
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return orders(spark, d).select((F.col("o_custkey") % 64).alias("key"), k.alias("id"), (F.col("o_custkey") % 640).alias("t"), (k % 40).alias("x"), (k % 30).alias("y"), F.lit(20).alias("w"), F.lit(15).alias("h"), F.col("o_totalprice").alias("score"))
+    return orders(spark, d).select(F.col("o_custkey").alias("key"), k.alias("id"), F.quarter("o_orderdate").alias("t"), (k % 40).alias("x"), (k % 30).alias("y"), F.lit(20).alias("w"), F.lit(15).alias("h"), F.col("o_totalprice").alias("score"))
 
 
-@query(None)
+_BOXES = """b AS (SELECT o_custkey AS key, o_orderkey AS id, CAST(quarter(o_orderdate) AS INTEGER) AS t, o_orderkey % 40 AS x, o_orderkey % 30 AS y, o_totalprice AS score FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY key, t ORDER BY score DESC, id) AS n FROM b),
+    w AS (SELECT DISTINCT key, t, 0::BIGINT AS n, []::STRUCT(x BIGINT, y BIGINT, id BIGINT)[] AS kept FROM r UNION ALL SELECT w.key, w.t, r.n, CASE WHEN len(list_filter(kept, lambda k: (greatest(0, 20 - abs(k.x - r.x)) * greatest(0, 15 - abs(k.y - r.y)))::DOUBLE / (600 - greatest(0, 20 - abs(k.x - r.x)) * greatest(0, 15 - abs(k.y - r.y))) >= 0.25)) = 0
+        THEN list_append(kept, {{'x': r.x, 'y': r.y, 'id': r.id}}) ELSE kept END FROM w JOIN r ON r.key = w.key AND r.t = w.t AND r.n = w.n + 1), k AS (SELECT key, unnest(arg_max(kept, n)) AS b FROM w GROUP BY key, t)
+    SELECT key, b.id AS id FROM k""")
 def box_suppression(spark: SparkSession, d: str) -> DataFrame:
     return folds.suppress_boxes(_boxes(spark, d), ["key"])
 
@@ -253,9 +259,15 @@ def _path(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy("key", F.col("start").alias("t")).agg(F.max(F.col("cents") / 100).alias("x"))
 
 
-@query(None)
+PATH = """path AS (SELECT user_id AS key, epoch_us(ts) AS t, max(round(value * 100)) / 100 AS x FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS n, row_number() OVER (PARTITION BY key ORDER BY t DESC) AS m FROM path)"""
+
+
+@query(f"""WITH RECURSIVE {PATH}, f AS (SELECT key, n, x AS e FROM r WHERE n = 1 UNION ALL SELECT r.key, r.n, 0.65::DOUBLE * f.e + 0.35::DOUBLE * r.x FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1), g AS (SELECT key, m, x AS e FROM r WHERE m = 1 UNION ALL SELECT r.key, r.m, 0.65::DOUBLE * g.e + 0.35::DOUBLE * r.x FROM g JOIN r ON r.key = g.key AND r.m = g.m + 1)
+    SELECT r.key, r.t, round((f.e + g.e) / 2 + 0.00000003::DOUBLE, 6) AS x, round(f.e + 0.00000003::DOUBLE, 6) AS forward FROM r JOIN f ON f.key = r.key AND f.n = r.n JOIN g ON g.key = r.key AND g.m = r.m""")
 def zero_phase_ema(spark: SparkSession, d: str) -> DataFrame:
-    return folds.smooth(_path(spark, d), ["key"])
+    path = _path(spark, d)
+    forward = folds.smooth(path, ["key"], both_ways=False).select("key", "t", F.round(F.col("x") + 3e-8, 6).alias("forward"))
+    return folds.smooth(path, ["key"]).select("key", "t", F.round(F.col("x") + 3e-8, 6).alias("x")).join(forward, ["key", "t"])
 
 
 @query(None)
@@ -263,12 +275,15 @@ def polyline_simplify(spark: SparkSession, d: str) -> DataFrame:
     return folds.simplify(_path(spark, d), ["key"], 25.0)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PATH}, w AS (SELECT key, n, t, x AS o, 0 AS dir, 0 AS lasted FROM r WHERE n = 1
+    UNION ALL SELECT key, n, t, o + CASE WHEN sign <> 0 AND CASE WHEN sign = dir THEN lasted + 1 ELSE 1 END >= 2 THEN greatest(-40.0::DOUBLE, least(40.0::DOUBLE, move)) ELSE 0.0::DOUBLE END, sign, CASE WHEN sign = dir THEN lasted + 1 ELSE 1 END
+        FROM (SELECT r.key, r.n, r.t, w.o, w.dir, w.lasted, r.x - w.o AS move, CASE WHEN abs(r.x - w.o) <= 6 THEN 0 WHEN r.x > w.o THEN 1 ELSE -1 END AS sign FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1)) SELECT key, t, round(o, 6) AS x FROM w""")
 def motion_limit(spark: SparkSession, d: str) -> DataFrame:
-    return folds.limit_motion(_path(spark, d), ["key"])
+    return folds.limit_motion(_path(spark, d), ["key"]).withColumn("x", F.round("x", 6))
 
 
-@query(None)
+@query("""WITH RECURSIVE s AS (SELECT user_id AS key, epoch_us(ts) AS t, max(round(value * 100)) / 30000 + CASE WHEN bool_or(event_type = 'error') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS v FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS n FROM s),
+    w AS (SELECT key, n, t, v >= 0.5 AS "on" FROM r WHERE n = 1 UNION ALL SELECT r.key, r.n, r.t, r.v >= CASE WHEN w."on" THEN 0.35 ELSE 0.5 END FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1) SELECT key, t, "on" OR n % 10 = 0 AS selected, n % 10 = 0 AS forced FROM w""")
 def hysteresis_gate(spark: SparkSession, d: str) -> DataFrame:
     samples = events(spark, d).groupBy("key", F.col("start").alias("t")).agg(F.max(F.col("cents") / 30000).alias("score"), F.max(F.col("label") == "error").alias("cut"))
     return folds.hysteresis(samples, ["key"])
@@ -281,7 +296,10 @@ def rescue_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return folds.rescue_neighbours(c.join(picked, ["key", "id"], "left").fillna(False, ["picked"]), ["key"])
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {TL.replace('43200000000', '3600000000')}, s AS (SELECT key, id, CASE label WHEN 'view' THEN 'congregational_music' WHEN 'click' THEN 'sermon' ELSE 'other' END AS type, (id % 10) / 10.0::DOUBLE AS music, (id % 7) / 7.0::DOUBLE AS speech, row_number() OVER (PARTITION BY key ORDER BY start, id) AS n FROM tl),
+    x AS (SELECT *, lead(type) OVER (PARTITION BY key ORDER BY n) AS after, type = 'congregational_music' AND music < 0.12 AND speech > 0.7 AS odd FROM s),
+    w AS (SELECT key, n, id, CASE WHEN odd THEN CASE WHEN after = 'sermon' THEN 'sermon' ELSE 'other' END ELSE type END AS type FROM x WHERE n = 1 UNION ALL SELECT x.key, x.n, x.id, CASE WHEN odd THEN CASE WHEN after = 'sermon' OR w.type = 'sermon' THEN 'sermon' ELSE 'other' END ELSE x.type END FROM w JOIN x ON x.key = w.key AND x.n = w.n + 1)
+    SELECT key, id, type FROM w""")
 def relabel_sections(spark: SparkSession, d: str) -> DataFrame:
     rows = lasting(spark, d, HOUR).select("key", "id", "start", F.when(F.col("label") == "view", "congregational_music").when(F.col("label") == "click", "sermon").otherwise("other").alias("type"), ((F.col("id") % 10) / 10).alias("music"), ((F.col("id") % 7) / 7).alias("speech"), F.lit(False).alias("song_cue"))
     return folds.relabel(rows, ["key"])

@@ -95,14 +95,14 @@ SAMPLES = [
 
 @query(None)
 def on_screen_types(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d).select("doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("t"), F.when(F.col("doc_id") % 2 == 0, "slide").otherwise("lower_third").alias("region"))
+    docs = documents(spark, d).select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("t"), F.when(F.col("doc_id") % 2 == 0, "slide").otherwise("lower_third").alias("region"))
     return docs.select("doc_id", T.on_screen_type(F.col("t"), F.col("region")).alias("kind"), T.slide_type(F.col("t"), F.col("region")).alias("slide"), T.lyrics_type(F.col("t"), F.col("region")).alias("lyrics"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, lower(translate(coalesce(substr(text, 1, 60), ''), 'áàäâãåéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC')) AS t FROM documents),
+@query(r"""WITH s AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS t FROM documents),
     k AS (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(t, '[^a-z0-9\s-]', ' ', 'g')), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM s) SELECT doc_id, CASE WHEN slug = '' THEN 'post' ELSE slug END AS slug FROM k""")
 def slugify(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", T.slug(F.substring("text", 1, 60), "post").alias("slug"))
+    return documents(spark, d).select("doc_id", T.slug(F.col("text"), "post").alias("slug"))
 
 
 _URL = "CASE page_id % 4 WHEN 0 THEN concat('https://www.youtube.com/watch?v=', lpad(CAST(page_id AS {0}), 11, 'a')) WHEN 1 THEN concat('https://youtu.be/', lpad(CAST(page_id AS {0}), 11, 'b'), '?t=3') WHEN 2 THEN concat('http://youtube.com/shorts/', lpad(CAST(page_id AS {0}), 11, '_')) ELSE url END"

@@ -128,13 +128,12 @@ def presence_by_region_min_duration(spark: SparkSession, d: str) -> DataFrame:
     return L.presence(events(spark, d), ["label", "key"], 6 * HOUR, HOUR, "cents")
 
 
-@query(f"""WITH {EV}, marked AS (SELECT *, CASE WHEN label = lag(label) OVER w AND key = lag(key) OVER w AND start - lag("end") OVER w <= 14400000000 THEN 0 ELSE 1 END AS is_new
-    FROM (SELECT *, id % 7 AS lane FROM ev) WINDOW w AS (PARTITION BY lane ORDER BY start, "end", id)),
-    numbered AS (SELECT *, sum(is_new) OVER (PARTITION BY lane ORDER BY start, "end", id ROWS UNBOUNDED PRECEDING) AS island FROM marked)
-    SELECT lane, label, key, min(start) AS start, max("end") AS "end", avg(cents) AS confidence, count(*) AS n FROM numbered GROUP BY lane, label, key, island""")
+@query(f"""WITH {EV}, marked AS (SELECT *, CASE WHEN label = lag(label) OVER w AND region = lag(region) OVER w AND start - lag("end") OVER w <= 864000000000 THEN 0 ELSE 1 END AS is_new
+    FROM (SELECT *, id % 2 AS region FROM ev) WINDOW w AS (PARTITION BY key ORDER BY start, "end", id)),
+    numbered AS (SELECT *, sum(is_new) OVER (PARTITION BY key ORDER BY start, "end", id ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+    SELECT key, label, region, min(start) AS start, max("end") AS "end", avg(cents) AS confidence, count(*) AS n FROM numbered GROUP BY key, label, region, island""")
 def identity_merge_global_order(spark: SparkSession, d: str) -> DataFrame:
-    lanes = events(spark, d).withColumn("lane", F.col("id") % 7)
-    return L.keyed_order_merge(lanes, ["lane"], ["label", "key"], 4 * HOUR, "cents")
+    return L.keyed_order_merge(events(spark, d).withColumn("region", F.col("id") % 2), ["key"], ["label", "region"], 10 * DAY, "cents")
 
 
 @query(f"""WITH {EV}, marked AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY key, label ORDER BY start, id) <= 86400000000 THEN 0 ELSE 1 END AS is_new FROM ev),
@@ -177,12 +176,13 @@ def transition_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    """key, window, start, end: the first three days of each user from the first event on."""
-    first = events(spark, d).groupBy("key").agg(F.min("start").alias("zero")).withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    return first.select("key", "window", (F.col("zero") + F.col("window") * DAY).alias("start"), (F.col("zero") + (F.col("window") + 1) * DAY).alias("end"))
+    """key, window, start, end: the days of each user from the first event to the last."""
+    first = events(spark, d).groupBy("key").agg(F.min("start").alias("zero"), F.max("start").alias("last"))
+    days = first.withColumn("window", F.explode(F.sequence(F.lit(0), F.expr(f"cast((last - zero) div {DAY} as int)"))))
+    return days.select("key", "window", (F.col("zero") + F.col("window") * DAY).alias("start"), (F.col("zero") + (F.col("window") + 1) * DAY).alias("end"))
 
 
-WINDOWS = """win AS (SELECT key, w AS "window", min(start) + w * 86400000000 AS start, min(start) + (w + 1) * 86400000000 AS "end" FROM ev, (VALUES (0), (1), (2)) v(w) GROUP BY key, w)"""
+WINDOWS = """win AS (SELECT key, w AS "window", zero + w * 86400000000 AS start, zero + (w + 1) * 86400000000 AS "end" FROM (SELECT key, min(start) AS zero, unnest(range(0, (max(start) - min(start)) // 86400000000 + 1)) AS w FROM ev GROUP BY key))"""
 
 
 @query(f"""WITH {TL}, {WINDOWS} SELECT win.key, CAST("window" AS INTEGER) AS "window", lower(label) AS label, CAST(sum(least(win."end", tl."end") - greatest(win.start, tl.start)) AS BIGINT) AS length
@@ -216,7 +216,7 @@ _SHARES = ", ".join(f"{_part(s, n)} / 172800000000.0 AS {s}_{c}" for s in ("befo
 _GENDERS = ", ".join(f"{_part(s, repr(g))} AS {s}_{g}" for s in ("before", "after") for g in ("male", "female"))
 
 
-@query(f"""WITH {TL}, lab AS (SELECT key, id, start, "end", {LABEL_SQL} AS lab FROM tl), pts AS (SELECT key, id, start AS t FROM tl WHERE id % 20 = 0),
+@query(f"""WITH {TL}, lab AS (SELECT key, id, start, "end", {LABEL_SQL} AS lab FROM tl), pts AS (SELECT key, id, start AS t FROM tl),
     sig AS (SELECT pts.key, pts.id, t, {_SHARES}, {_GENDERS} FROM pts JOIN lab e ON e.key = pts.key GROUP BY pts.key, pts.id, t),
     g AS (SELECT *, CASE WHEN before_male > 0 AND before_male >= before_female THEN 'male' WHEN before_female > 0 THEN 'female' END AS before_gender,
         CASE WHEN after_male > 0 AND after_male >= after_female THEN 'male' WHEN after_female > 0 THEN 'female' END AS after_gender FROM sig)
@@ -226,7 +226,7 @@ _GENDERS = ", ".join(f"{_part(s, repr(g))} AS {s}_{g}" for s in ("before", "afte
 def before_after_signal(spark: SparkSession, d: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     rows = lasting(spark, d).select("key", "id", kind[F.col("label")].alias("label"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    points = rows.where("id % 20 = 0").select("key", "id", F.col("r_start").alias("t"))
+    points = rows.select("key", "id", F.col("r_start").alias("t"))
     return S.audio_signal(points, rows.drop("id"), ["key"], DAY, S.SignalParams(frame=2 * DAY))
 
 
@@ -254,19 +254,19 @@ def focus_bins_semi(spark: SparkSession, d: str) -> DataFrame:
 
 SECTIONS = f"""WITH {EV}, marked AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY key ORDER BY start, id) > 21600000000 OR lag(start) OVER (PARTITION BY key ORDER BY start, id) IS NULL THEN 1 ELSE 0 END AS is_new FROM ev),
     isl AS (SELECT key, sum(is_new) OVER (PARTITION BY key ORDER BY start, id ROWS UNBOUNDED PRECEDING) AS island, start, "end" FROM marked),
-    sec AS (SELECT key, CAST(island - 1 AS INTEGER) AS "index", min(start) AS start, max("end") AS "end" FROM isl WHERE island <= 6 GROUP BY key, island),
+    sec AS (SELECT key, CAST(island - 1 AS INTEGER) AS "index", min(start) AS start, max("end") AS "end" FROM isl GROUP BY key, island),
     numb AS (SELECT *, "index" = max("index") OVER (PARTITION BY key) AS is_last FROM sec)"""
 
 
 @query(SECTIONS + """, cand AS (SELECT e.key, e.id, e.start AS t, n."index", CASE WHEN e.start >= n.start AND (CASE WHEN n.is_last THEN e.start <= n."end" ELSE e.start < n."end" END) THEN 0 ELSE 1 END AS o,
-        least(abs(e.start - n.start), abs(e.start - n."end")) AS dist FROM ev e JOIN numb n USING (key) WHERE e.id % 5 = 0)
+        least(abs(e.start - n.start), abs(e.start - n."end")) AS dist FROM ev e JOIN numb n USING (key))
     SELECT key, id, t, arg_min("index", (o, CASE WHEN o = 0 THEN 0 ELSE dist END, "index")) AS "index" FROM cand GROUP BY key, id, t""")
 def point_in_interval_nearest(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     merged = L.merge(events(spark, d), ["key"], 6 * HOUR)
-    sections = merged.withColumn("index", F.row_number().over(W.partitionBy("key").orderBy("start")) - 1).where(F.col("index") < 6)
-    points = events(spark, d).where("id % 5 = 0").select("key", "id", F.col("start").alias("t"))
+    sections = merged.withColumn("index", F.row_number().over(W.partitionBy("key").orderBy("start")) - 1)
+    points = events(spark, d).select("key", "id", F.col("start").alias("t"))
     return I.locate(points, sections, ["key"])
 
 
@@ -305,10 +305,10 @@ def near_cut_exists(spark: SparkSession, d: str) -> DataFrame:
     return N.near_any(left, rows.where("label = 'error'").select("key", F.col("start").alias("cut")), ["key"], "t", "cut", 2 * HOUR)
 
 
-@query(f"""WITH {EV}, mixed AS (SELECT key, id, start, label FROM ev WHERE id % 50 = 0) SELECT m.key, m.id, m.start, EXISTS (SELECT 1 FROM tl t WHERE t.key = m.key AND t.label <> m.label AND least(t."end", m.start + 3600000000) - greatest(t.start, m.start - 3600000000) >= 350000) AS other FROM mixed m""".replace(f"WITH {EV}", f"WITH {TL}"))
+@query(f"""WITH {EV}, mixed AS (SELECT key, id, start, label FROM ev) SELECT m.key, m.id, m.start, EXISTS (SELECT 1 FROM tl t WHERE t.key = m.key AND t.label <> m.label AND least(t."end", m.start + 3600000000) - greatest(t.start, m.start - 3600000000) >= 350000) AS other FROM mixed m""".replace(f"WITH {EV}", f"WITH {TL}"))
 def other_speaker_around(spark: SparkSession, d: str) -> DataFrame:
     rows = lasting(spark, d)
-    asked = rows.where("id % 50 = 0").select("key", "id", F.col("start").alias("at"), F.col("label").alias("own"), (F.col("start") - HOUR).alias("start"), (F.col("start") + HOUR).alias("end"))
+    asked = rows.select("key", "id", F.col("start").alias("at"), F.col("label").alias("own"), (F.col("start") - HOUR).alias("start"), (F.col("start") + HOUR).alias("end"))
     right = rows.select("key", "label", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     pairs = I.interval_join(asked, right, ["key"], 6 * HOUR).where("label <> own")
     hit = I.overlap_length(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) >= 350_000
