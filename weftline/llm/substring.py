@@ -42,14 +42,16 @@ SHUFFLED = ["doc_key", "text", "row"]
 @dataclass(frozen=True)
 class SubstringParams:
     """window: words of a window. anchor: words of an anchor. shard: segments of an automaton, at least
-    (an anchor is not split). hot: an anchor that stands more often is dealt out by its windows, so an
-    automaton has at most shard + hot segments. held: distinct segments that a task counts before it hands them on.
+    (an anchor is not split). hot and most_hot: an anchor that stands more than ``hot`` times, and more often than
+    one in ``most_hot`` of all anchors, is dealt out by its windows; so there are at most ``most_hot`` such anchors,
+    which every worker gets (8 bytes each). held: distinct segments that a task counts before it hands them on.
     untouched: a text that loses nothing is kept as it is, white space and null included."""
 
     window: int = 35
     anchor: int = 8
     shard: int = 8_000
     hot: int = 2_000
+    most_hot: int = 1_000_000
     held: int = 50_000
     untouched: bool = False
 
@@ -101,13 +103,14 @@ def document_anchors(docs: DataFrame, p: SubstringParams) -> DataFrame:
 
 
 def _segments(text: bytes, recurring: np.ndarray, p: SubstringParams) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Anchor, start word, words and 128-bit digest of each segment around a recurring anchor."""
-    words = text.split()
+    """Anchor, start word, words and 128-bit digest of each segment around a recurring anchor (sorted)."""
+    words = text.split() if len(recurring) else []
     least, _ = window_anchors(words, p)
     if not len(least):
         return
     first, last = _stretches(least)
-    for k in np.flatnonzero(np.isin(least[first], recurring)):
+    at = np.minimum(np.searchsorted(recurring, least[first]), len(recurring) - 1)
+    for k in np.flatnonzero(recurring[at] == least[first]):
         body = b" ".join(words[first[k] : last[k] + p.window])
         yield int(least[first[k]].view(np.int64)), int(first[k]), body, xxhash.xxh3_128_digest(body)
 
@@ -117,20 +120,19 @@ def _long_pairs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(halves[:, 0]), pa.array(halves[:, 1])
 
 
-def _distinct_segments(batches: Iterator[pa.RecordBatch], p: SubstringParams) -> Iterator[list[tuple[bytes, int, int, bytes]]]:
-    """Digest, anchor, number and words of the distinct segments in rows (text, anchors), about p.held at a time."""
+def _distinct_segments(texts: Iterator[tuple[bytes | None, np.ndarray]], p: SubstringParams) -> Iterator[list[tuple[bytes, int, int, bytes]]]:
+    """Digest, anchor, number and words of the distinct segments of texts around their anchors, about p.held at a time."""
     counts: Counter[bytes] = Counter()
     kept: dict[bytes, tuple[int, bytes]] = {}
-    for batch in batches:
-        for text, anchors in zip(as_bytes(batch.column("text")), batch.column("anchors"), strict=True):
-            for anchor, _, body, digest in _segments(text or b"", _uint64(anchors), p):
-                counts[digest] += 1
-                if digest not in kept:
-                    kept[digest] = anchor, body
-            if len(kept) >= p.held:
-                yield [(d, anchor, counts[d], body) for d, (anchor, body) in kept.items()]
-                counts.clear()
-                kept.clear()
+    for text, anchors in texts:
+        for anchor, _, body, digest in _segments(text or b"", anchors, p):
+            counts[digest] += 1
+            if digest not in kept:
+                kept[digest] = anchor, body
+        if len(kept) >= p.held:
+            yield [(d, anchor, counts[d], body) for d, (anchor, body) in kept.items()]
+            counts.clear()
+            kept.clear()
     yield [(d, anchor, counts[d], body) for d, (anchor, body) in kept.items()]
 
 
@@ -138,7 +140,8 @@ def counted_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
     """Distinct segments of each task with their numbers, from rows (text, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _distinct_segments(batches, p):
+        rows = ((text, _uint64(anchors)) for batch in batches for text, anchors in zip(as_bytes(batch.column("text")), batch.column("anchors"), strict=True))
+        for found in _distinct_segments(rows, p):
             a, b = _long_pairs([d for d, *_ in found])
             columns = [pa.array([x for _, x, _, _ in found], pa.int64()), a, b, pa.array([n for _, _, n, _ in found], pa.int64()), pa.array([x for *_, x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "seg_a", "seg_b", "n", "words"])
@@ -146,11 +149,12 @@ def counted_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
     return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "anchor long, seg_a long, seg_b long, n long, words binary")
 
 
-def counted_windows(chosen: DataFrame, p: SubstringParams) -> DataFrame:
-    """The windows of the distinct segments of each task: digest, number, segment and place in it."""
+def counted_windows(texts: DataFrame, hot: np.ndarray, p: SubstringParams) -> DataFrame:
+    """The windows of the distinct segments of each task around hot anchors (sorted): digest, number, segment and place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _distinct_segments(batches, p):
+        rows = ((text, hot) for batch in batches for text in as_bytes(batch.column("text")))
+        for found in _distinct_segments(rows, p):
             for some in (found[at : at + 2_000] for at in range(0, len(found), 2_000)):
                 hashes = [hash_words(body.split(b" ")) for *_, body in some]
                 sizes = np.array([len(h) - p.window + 1 for h in hashes])
@@ -162,7 +166,7 @@ def counted_windows(chosen: DataFrame, p: SubstringParams) -> DataFrame:
                 columns = [*digests, pa.array(times), a.take(pa.array(owner)), b.take(pa.array(owner)), pa.array(place)]
                 yield pa.RecordBatch.from_arrays(columns, names=["win_a", "win_b", "n", "seg_a", "seg_b", "low"])
 
-    return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "win_a long, win_b long, n long, seg_a long, seg_b long, low int")
+    return texts.select("text").mapInArrow(run, "win_a long, win_b long, n long, seg_a long, seg_b long, low int")
 
 
 def located_by_windows(windows: DataFrame, p: SubstringParams) -> DataFrame:
@@ -175,7 +179,7 @@ def located_by_windows(windows: DataFrame, p: SubstringParams) -> DataFrame:
 
 
 def _uint64(values: pa.ListScalar) -> np.ndarray:
-    return values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.sort(values.values.to_numpy(zero_copy_only=False).view(np.uint64))
 
 
 def placed_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
@@ -282,17 +286,18 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams(), carr
     texts = docs.select(key, "text", F.struct("doc_id", *carry).alias("row"))
     anchors = cut(document_anchors(texts.where("text is not null"), p)).where("size(anchors) > 0")
     flat = anchors.select("doc_key", F.explode("anchors").alias("anchor"))
-    recurring = cut(flat.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("many", F.col("n") > p.hot))
     total = anchors.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
+    recurring = cut(flat.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("many", F.col("n") > max(p.hot, total / p.most_hot)))
     own = join_uneven(flat, recurring, ["anchor"], "n", total)
     some, hot = (F.collect_set(F.when(which, F.col("anchor"))) for which in (~F.col("many"), F.col("many")))
-    wanted = cut(own.groupBy("doc_key").agg(some.alias("anchors"), hot.alias("hot")))
-    chosen = lambda anchors: texts.join(wanted.select("doc_key", F.expr(anchors).alias("anchors")).where("size(anchors) > 0"), "doc_key")
-
-    spans = located(counted_segments(chosen("anchors"), p), p)
-    if not wanted.where("size(hot) > 0").isEmpty():
-        spans = spans.unionByName(located_by_windows(counted_windows(chosen("hot"), p), p))
-    places = placed_segments(chosen("concat(anchors, hot)"), p).join(spans, ["seg_a", "seg_b"])
+    wanted = own.groupBy("doc_key").agg(some.alias("anchors"), hot.alias("hot"))
+    chosen = texts.join(wanted, "doc_key")
+
+    spans = located(counted_segments(chosen.where("size(anchors) > 0"), p), p)
+    frequent = recurring.where("many").select("anchor").toArrow().column("anchor").to_numpy().view(np.uint64)  # at most most_hot
+    if len(frequent):
+        spans = spans.unionByName(located_by_windows(counted_windows(texts, np.sort(frequent), p), p))
+    places = placed_segments(chosen.withColumn("anchors", F.concat("anchors", "hot")), p).join(spans, ["seg_a", "seg_b"])
     stretch = F.struct("own", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     removed = places.groupBy("doc_key").agg(F.collect_set(stretch).alias("spans"))
     joined = texts.join(removed, "doc_key", "left").select(*SHUFFLED, "spans")
