@@ -196,7 +196,5 @@ def test_readers_and_writers(spark, tmp_path):
     assert tuples(readers.read_audio_events(spark, str(tmp_path / "a.json")), "label", "start", "end", "duration") == [("music", 1.0, 4.0, 4.0)]
     deep = spark.createDataFrame([(1, '{"a": [{"start": 1, "end": 2, "text": "x", "n": {"start_time": 3, "end_time": 4, "transcript": "y"}}], "b": {"start": 1}}'), (2, "{bad"), (3, None)], "key int, j string")
     assert tuples(readers.walk_turns(deep, ["key"], "j"), "key", "start", "end", "text") == [(1, 1.0, 2.0, "x"), (1, 3.0, 4.0, "y")]
-    tries = writers.attempts(spark.createDataFrame([(1, 0), (2, 5)], "id int, fails int"), "fails")
-    assert tuples(tries, "id", "attempt", "wait_ms", "ok") == [(1, 1, 0, True), (2, 1, 0, False), (2, 2, 1000, False), (2, 3, 2500, False)]
     sections = spark.createDataFrame([(1, 1, 0.0, 5.0, "A", "x")], "key int, id int, start double, end double, title string, text string")
     assert writers.to_markdown(sections, ["key"]).first().content == "## A (00:00:00 - 00:00:05)\n\nx"

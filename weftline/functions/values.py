@@ -106,12 +106,6 @@ def first_present(json: Column, *paths: str) -> Column:
     return F.coalesce(*[F.get_json_object(json, p) for p in paths])
 
 
-def merged_maps(base: Column, patch: Column) -> Column:
-    """Map entries of base, replaced by those of patch."""
-    kept = F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(patch), k))
-    return F.map_concat(kept, patch)
-
-
 # --- job status -----------------------------------------------------------------------------------
 
 # The part of the whole progress that each stage covers.

@@ -11,6 +11,7 @@ SEGMENTS = "start double, end double, text string"
 WORD = "struct<text: string, start: double, end: double, type: string, speaker_id: string, channel_index: int>"
 SPEECH = f"words array<{WORD}>, transcripts array<struct<channel_index: int, words: array<{WORD}>>>"
 AUDIO = "source string, duration_sec double, events array<struct<label: string, start: double, end: double>>"
+# The prefix and the field names of progress lines.
 PROGRESS_PREFIX = "[ocr-events-progress]"
 PROGRESS_NUMBERS = ["percent", "sampled", "total_samples", "observations", "scene_cuts", "ocr_calls", "roi_candidates", "samples_per_sec", "frames_per_sec", "video_speed_x"]
 PROGRESS_OPTIONAL = ["video_time_sec", "video_duration_sec", "elapsed_sec", "eta_sec"]
@@ -35,9 +36,15 @@ def parse_srt(files: DataFrame, content: str = "content") -> DataFrame:
     return rows.where(line.rlike(times)).select(*rest, "block", second(1).alias("start"), second(5).alias("end"), text.alias("text")).where("text <> ''")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whatever store Spark reads it from."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_transcript(spark: SparkSession, json_path: str | None, srt_path: str | None = None) -> DataFrame:
-    """Segments of a JSON array, or of subtitles where there is no JSON (path None)."""
-    if json_path is not None:
+    """Segments of a JSON array, or of subtitles where there is no such file (or the path is None)."""
+    if json_path is not None and path_exists(spark, json_path):
         return spark.read.schema(SEGMENTS).json(json_path, multiLine=True)
     return parse_srt(whole_files(spark, srt_path)).select("start", "end", "text")
 
@@ -99,6 +106,10 @@ def bounds_of(json: Column) -> tuple[Column, Column]:
 def walk_turns(documents: DataFrame, keys: list[str], json: str) -> DataFrame:
     """keys, start, end, text of every object at any depth of a JSON document that has a start, an end and a text."""
     import json as decoder
+    import math
+    from collections import deque
+
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
 
     def rows(batches):
         import pandas as pd
@@ -108,14 +119,14 @@ def walk_turns(documents: DataFrame, keys: list[str], json: str) -> DataFrame:
             for row in frame.itertuples(index=False):
                 *own, text = row
                 try:
-                    todo = [decoder.loads(text)] if text else []
+                    todo = deque([decoder.loads(text)] if text else [])
                 except ValueError:
-                    todo = []
+                    todo = deque()
                 while todo:
-                    node = todo.pop(0)
+                    node = todo.popleft()
                     if isinstance(node, dict):
                         a, b, t = node.get("start", node.get("start_time")), node.get("end", node.get("end_time")), node.get("text", node.get("transcript"))
-                        if all(isinstance(x, (int, float)) for x in (a, b)) and isinstance(t, str):
+                        if number(a) and number(b) and isinstance(t, str):
                             out.append((*own, float(a), float(b), t))
                         todo += node.values()
                     elif isinstance(node, list):

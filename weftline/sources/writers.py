@@ -46,11 +46,3 @@ def package(events: DataFrame, keys: list[str], flag: str) -> DataFrame:
     rows = events.withColumn("_keep", F.when(some, F.col(flag)).otherwise(F.lit(True)))
     body = F.to_json(F.array_sort(F.collect_list(F.when(F.col("_keep"), F.struct("start", "end", "text")))))
     return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.sum(F.col(flag).cast("int")).alias("flagged"), body.alias("events"))
-
-
-def attempts(items: DataFrame, failures: str, most: int = 3) -> DataFrame:
-    """One row per attempt of each item: attempt, wait_ms before it, ok. ``failures`` says how many attempts fail."""
-    waits = F.array(F.lit(0), F.lit(1000), F.lit(2500))
-    tries = F.sequence(F.lit(1), F.least(F.lit(most), F.col(failures) + 1))
-    rows = items.withColumn("attempt", F.explode(tries))
-    return rows.withColumn("wait_ms", F.element_at(waits, F.least(F.col("attempt"), F.lit(3)))).withColumn("ok", F.col("attempt") > F.col(failures))
