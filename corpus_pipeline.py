@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet before the next one reads it."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet before the next one reads it.
+
+Every stage reads and returns the columns of COLUMNS; others are not kept, whatever their names. Null, empty and
+blank texts pass all stages (the classifier scores them like any text); texts of any length are taken whole; rows that
+repeat an id, or have none, are rows of their own; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +21,8 @@ from weftline.llm.near_dup import NearDupParams, near_duplicates
 from weftline.llm.quality import keep_good
 from weftline.llm.substring import SubstringParams, remove_repeats
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
 #: Ids up to this number are broadcast to drop their documents; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -72,7 +79,7 @@ def _once(keyed: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,27 +87,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id and rows without one take part as rows of their own; a row with an id goes before one without.
     """
-    keyed = _keyed(docs)
+    keyed = _keyed(docs.select(*COLUMNS))
     again = near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), NearDupParams(shingle=5)).where("not kept")
     return _once(_without(keyed, again)).drop("row_key")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words that repeated passages cover; other texts stay as they are."""
-    rest = remove_repeats(docs, SubstringParams(untouched=True), carry=("lang", "source"))
+    rest = remove_repeats(docs.select(*COLUMNS), SubstringParams(untouched=True), carry=("lang", "source"))
     return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, whether or not they have an id."""
-    keyed = _keyed(docs)
+    keyed = _keyed(docs.select(*COLUMNS))
     found = contaminated(keyed.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(keyed, found.where("contaminated")).drop("row_key")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that a document is taken into the mixture, with its text."""
-    return mix(docs, carry=("text", "lang", "n_chars"))
+    return mix(docs.select(*COLUMNS), carry=("text", "lang", "n_chars"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -297,6 +297,29 @@ def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
     assert {r for r in wanted if r[1] and item not in r[1]} <= got and not any(item in (t or "") for _, t in got)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, and every stage on null, empty and blank texts, a very long one and further columns."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    for name, kind in (("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n", "en", "a", 2), (4, prose(6000, 20_000), "en", None, 9), (None, prose(6001, 60), None, "b", 9), (5, prose(6001, 60), "en", "b", 9)]
+    odd = spark.createDataFrame(rows, schema)
+    for name in ("row_key", "n", "kept", "block", "weight", "label", "spans"):
+        odd = odd.withColumn(name, F.lit(1))
+    key = lambda x: (x.doc_id is None, x.doc_id or 0)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = sorted(stage(spark, odd, str(tmp_path)).collect(), key=key)
+        want = [1, 2, 3, 4, 5] if name == "minhash near-dedup" else [1, 2, 3, 4, 5, None]
+        assert [x.doc_id for x in got] == want, name
+    mixed = corpus_pipeline.mixing(spark, odd, str(tmp_path)).select("doc_id", "text").collect()
+    assert {x.doc_id for x in mixed} >= {1, 2, 3}  # those without words cost nothing
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 MIX = "doc_id long, text string, source string"
@@ -432,6 +455,34 @@ def test_quality_separates_classes(spark):
     assert len(held) > 30 and all(r.predicted == int(r.doc_id < 900) for r in held)
 
 
+def test_quality_matches_brute_force(spark):
+    """Class means, shrunk covariances and densities from their definitions, with inverse matrices instead of factors."""
+    import numpy as np
+    import zlib
+
+    from weftline.llm.quality import QualityParams, statistics
+
+    r, p = random.Random(12), QualityParams()
+    rows = [(k, " ".join(r.choice(["Word", "and", "12", "go!", "aa", "the"]) for _ in range(r.randrange(0, 60)))) for k in range(160)] + [(200, None), (201, "x" * 5000)]
+    labels = [(k, int(r.random() < 0.7)) for k in range(160)]
+    got = {x.doc_id: x for x in score_quality(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    x = {k: np.array(statistics(t.encode() if t is not None else None)) for k, t in rows}
+    own = [np.array([x[k] for k, q in labels if q == c and not held(k)]) for c in (0, 1)]
+    covs = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(len(o) * c for o, c in zip(own, covs, strict=True)) / sum(map(len, own))
+    scale = np.sqrt(np.diag(pooled) + 1e-9)
+    shrunk = []
+    for c in covs:
+        c = ((1 - p.pooled) * c + p.pooled * pooled) / np.outer(scale, scale)
+        shrunk.append(((1 - p.ridge) * c + p.ridge * np.trace(c) / len(c) * np.eye(len(c))) * np.outer(scale, scale))
+    odds = min(p.odds, max(1 / p.odds, (len(own[1]) + 1) / (len(own[0]) + 1)))
+    for k, v in x.items():
+        density = [-0.5 * (v - o.mean(axis=0)) @ np.linalg.inv(c) @ (v - o.mean(axis=0)) - 0.5 * np.linalg.slogdet(c)[1] for o, c in zip(own, shrunk, strict=True)]
+        want = 1 / (1 + math.exp(-(density[1] - density[0] + math.log(odds))))
+        assert got[k].score == pytest.approx(want, abs=1e-7) and got[k].held_out == held(k) and got[k].predicted == int(got[k].score >= 0.3)
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = score_quality(spark.createDataFrame([(1, "a"), (2, None)], DOC), none).collect()
