@@ -194,3 +194,13 @@ def lower_quantile(df: DataFrame, keys: list[str], x: str, q: float) -> DataFram
     """keys, quantile: the element at floor(q * (n - 1)) of the ascending values."""
     values = F.array_sort(F.collect_list(x))
     return df.groupBy(*keys).agg(values.alias("_v")).select(*keys, F.element_at("_v", (F.floor(q * (F.size("_v") - 1)) + 1).cast("int")).alias("quantile"))
+
+
+def interval_metrics(spans: DataFrame, samples: DataFrame, keys: list[str], width) -> DataFrame:
+    """keys, window, n, text, still, score of the samples (t, text, motion) in each span (window, start, end), borders included."""
+    from weftline.operators.intervals import interval_join, touches
+
+    points = samples.select(*keys, F.col("t").alias("r_start"), F.col("t").alias("r_end"), "text", "motion")
+    found = interval_join(spans, points, keys, width, touches).groupBy(*keys, "window").agg(F.count("*").alias("n"), F.avg("text").alias("_text"), F.avg("motion").alias("_motion"))
+    made = {"text": F.col("_text"), "still": stillness(F.col("_motion")), "score": segment_score(F.col("_text"), F.col("_motion"))}
+    return found.select(*keys, "window", "n", *(F.round(c, 6).alias(n) for n, c in made.items()))

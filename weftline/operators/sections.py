@@ -6,6 +6,8 @@ Times are seconds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -443,3 +445,27 @@ def speaker_bounds(turns: DataFrame, asked: DataFrame, keys: list[str]) -> DataF
     holds = lambda t: (F.col("start") <= t) & (F.col("end") >= t)
     rank = lambda t, c: F.struct(F.when(holds(t), 0).otherwise(1), F.when(holds(t), F.lit(0.0)).otherwise(F.abs(F.col(c) - t)), "start", "end")
     return rows.groupBy(*asked.columns).agg(F.min_by("start", rank(a, "start")).alias("start"), F.min_by("end", rank(b, "end")).alias("end"))
+
+
+# --- groups and summaries ---------------------------------------------------------------------------
+
+
+def propagated(events: DataFrame, keys: list[str], better: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """Events of a group with the text of its representative (else its first), where that was read anew and is better; adds propagated.
+
+    events have id, representative, applied, text, confidence; better(text, confidence, its text, its confidence).
+    """
+    first = F.min_by(F.struct("id", "applied", "text", "confidence"), F.struct(~F.col("representative"), "id")).alias("_r")
+    rows = events.join(events.groupBy(*keys).agg(first), keys)
+    theirs, sure = T.clean(F.col("_r.text")), F.col("_r.confidence")
+    take = F.col("_r.applied") & (theirs != "") & (F.col("id") != F.col("_r.id")) & ~F.col("applied") & better(F.col("text"), F.col("confidence"), theirs, sure)
+    marked = rows.withColumn("propagated", take).withColumn("confidence", F.when(take, F.round(F.greatest("confidence", sure), 3)).otherwise(F.col("confidence")))
+    return marked.withColumn("text", F.when(take, theirs).otherwise(F.col("text"))).drop("_r")
+
+
+def summary(sections: DataFrame, keys: list[str], weak: float = 0.5) -> DataFrame:
+    """keys, events, kinds, seconds, confidence, weak, last: what a run over a recording found."""
+    length = F.col("end") - F.col("start")
+    return sections.groupBy(*keys).agg(
+        F.count("*").alias("events"), F.countDistinct("type").alias("kinds"), F.sum(length).alias("seconds"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_if(F.col("confidence") < weak).alias("weak"), F.max("end").alias("last")
+    )

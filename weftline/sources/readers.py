@@ -75,13 +75,18 @@ def flatten_words(responses: DataFrame, keys: list[str]) -> DataFrame:
     return responses.select(*keys, F.explode(found).alias("w")).select(*keys, "w.*").where("text is not null and text <> ''")
 
 
+def parse_audio_events(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
+    """keys, source, duration, label, start, end of sound events in JSON documents: rows with finite times, labels in lower case; duration is the header's or the last end."""
+    doc = F.from_json(json, AUDIO)
+    good = F.filter(doc["events"], lambda e: e.isNotNull() & finite(e["start"]) & finite(e["end"]))
+    last = F.array_max(F.transform("_events", lambda e: e["end"]))
+    parsed = rows.select(*keys, doc["source"].alias("source"), doc["duration_sec"].alias("_length"), good.alias("_events")).withColumn("duration", F.coalesce("_length", last))
+    return parsed.select(*keys, "source", "duration", F.explode("_events").alias("e")).select(*keys, "source", "duration", F.lower("e.label").alias("label"), "e.start", "e.end")
+
+
 def read_audio_events(spark: SparkSession, path: str) -> DataFrame:
-    """source, duration, label, start, end: rows with finite times, labels in lower case; duration is the header's or the last end."""
-    raw = spark.read.schema(AUDIO).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_path"))
-    rows = raw.select("_file", "source", "duration_sec", F.explode("events").alias("e")).where(finite(F.col("e.start")) & finite(F.col("e.end")))
-    ends = rows.groupBy("_file").agg(F.max("e.end").alias("_last"))
-    duration = F.coalesce("duration_sec", "_last").alias("duration")
-    return rows.join(ends, "_file").select("source", duration, F.lower("e.label").alias("label"), F.col("e.start").alias("start"), F.col("e.end").alias("end"))
+    """source, duration, label, start, end of files of sound events."""
+    return parse_audio_events(whole_files(spark, path), ["path"], "content").drop("path")
 
 
 def parse_progress(lines: DataFrame, line: str = "value") -> DataFrame:
