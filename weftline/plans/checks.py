@@ -141,12 +141,12 @@ def text_overrides(spark: SparkSession, d: str) -> DataFrame:
     return both.select("key", "id", found.alias("replace"))
 
 
-@query(f"""WITH s AS (SELECT o_custkey AS key, {K} AS id, ({K} % 90)::DOUBLE AS t, ({K} % 97) / 97.0::DOUBLE AS text, ({K} % 53) / 400.0::DOUBLE AS motion FROM orders), b AS (SELECT DISTINCT key, i AS "window", i * 30.0::DOUBLE AS start, i * 30.0::DOUBLE + 30 AS "end" FROM s, (VALUES (0), (1), (2)) v(i)),
+@query(f"""WITH s AS (SELECT o_custkey AS key, {K} AS id, ({K} % 90)::DOUBLE AS t, ({K} % 97) / 97.0::DOUBLE AS text, ({K} % 53) / 397.0::DOUBLE AS motion FROM orders), b AS (SELECT DISTINCT key, i AS "window", i * 30.0::DOUBLE AS start, i * 30.0::DOUBLE + 30 AS "end" FROM s, (VALUES (0), (1), (2)) v(i)),
     m AS (SELECT b.key, b."window", count(*) AS n, avg(text) AS avg_text, avg(motion) AS avg_motion FROM b JOIN s ON s.key = b.key AND s.t BETWEEN b.start AND b."end" GROUP BY ALL)
     SELECT key, "window", n, round(avg_text, 6) AS text, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - avg_motion / 0.12::DOUBLE)), 6) AS still, round(0.62::DOUBLE * avg_text + 0.38::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - avg_motion / 0.12::DOUBLE)), 6) AS score FROM m""")
 def interval_metrics(spark: SparkSession, d: str) -> DataFrame:
     k = F.col(K)
-    samples = orders(spark, d).select(F.col("o_custkey").alias("key"), k.alias("id"), (k % 90).cast("double").alias("t"), (k % 97 / 97.0).alias("text"), (k % 53 / 400.0).alias("motion"))
+    samples = orders(spark, d).select(F.col("o_custkey").alias("key"), k.alias("id"), (k % 90).cast("double").alias("t"), (k % 97 / 97.0).alias("text"), (k % 53 / 397.0).alias("motion"))
     spans = samples.select("key").distinct().withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("key", "window", (F.col("window") * 30.0).alias("start"), (F.col("window") * 30.0 + 30).alias("end"))
     return scoring.interval_metrics(spans, samples, ["key"], 30.0)
 
