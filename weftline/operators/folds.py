@@ -1,35 +1,62 @@
 """Operators whose next step depends on what they have put out so far.
 
-Spark deals the rows out by key and each key's rows are folded in order by a small Python function.
-A key is one recording, so it is small; recordings are many, so the work spreads.
+Spark deals the rows out by key and sorts them; a small Python generator then reads each key's rows one after the
+other and gives its results as it goes. It holds only its state (the open caption, the tracks, the sums), never a
+recording, so a very long one costs time but no memory. Keys must not be null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+#: Result rows that a task gathers before it hands them on.
+CHUNK = 10_000
 
-def per_key(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies the fold to the rows of each key; the keys come first in its result."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = fold(rows)
-        for k, name in enumerate(keys):
-            out.insert(k, name, rows[name].iloc[0])
-        return out
+def per_key(df: DataFrame, keys: list[str], order: list[str | Column], fold: Callable[[Iterator], Iterator[tuple]], schema: str) -> DataFrame:
+    """keys and the results of the fold over the rows of each key in order."""
+    names = [*keys, *(x.split()[0] for x in schema.split(", "))]
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator:
+        for batch in batches:
+            yield from batch.itertuples(index=False)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for key, rows in groupby(rows_of(batches), key=lambda r: tuple(getattr(r, k) for k in keys)):
+            for made in fold(rows):
+                held.append((*key, *made))
+                if len(held) >= CHUNK:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     types = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), schema]))
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), schema]))
 
 
-def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+def ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Ratcliff-Obershelp ratio; a bound below it, if that already says that it is under ``least``."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    match = SequenceMatcher(None, a, b)
+    for bound in (match.real_quick_ratio, match.quick_ratio):
+        if bound() < least:
+            return 0.0
+    return match.ratio()
 
 
 @dataclass(frozen=True)
@@ -43,17 +70,10 @@ class CaptionParams:
 def captions(words: DataFrame, keys: list[str], p: CaptionParams = CaptionParams()) -> DataFrame:
     """keys, start, end, text from words (start, end, text, speaker, kind): a caption ends at a pause, another speaker, when it is long, or at a sound."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[float, float, str]] = []
+    def fold(rows: Iterator) -> Iterator[tuple]:
         text, start, end, speaker = "", None, None, None
-
-        def flush() -> None:
-            nonlocal text, start, end, speaker
-            if text and start is not None:
-                out.append((max(0.0, start), max(start + 0.05, end), " ".join(text.split())))
-            text, start, end, speaker = "", None, None, None
-
-        for r in rows.sort_values(["start", "end"], na_position="last", kind="stable").itertuples():
+        caption = lambda: (max(0.0, start), max(start + 0.05, end), " ".join(text.split()))
+        for r in rows:
             token = (r.text or "").strip()
             if not token:
                 continue
@@ -64,7 +84,8 @@ def captions(words: DataFrame, keys: list[str], p: CaptionParams = CaptionParams
                 long = b is not None and b - start > p.longest and len(text) >= p.least_chars
                 apart = a is not None and a - end > p.gap
                 if apart or (who and speaker and who != speaker) or long or len(text) >= p.most_chars or r.kind == "audio_event":
-                    flush()
+                    yield caption()
+                    start = None
             if start is None:
                 start = a if a is not None else 0.0
                 end = b if b is not None else start
@@ -74,10 +95,10 @@ def captions(words: DataFrame, keys: list[str], p: CaptionParams = CaptionParams
             end = max(end, b) if b is not None else end
             speaker = speaker or who
             text += token if token[0] in ",.;:!?)]}" or text[-1] in "([{" else f" {token}"
-        flush()
-        return pd.DataFrame(out, columns=["start", "end", "text"])
+        if start is not None:
+            yield caption()
 
-    return per_key(words, keys, fold, "start double, end double, text string")
+    return per_key(words, keys, [F.col("start").asc_nulls_last(), F.col("end").asc_nulls_last()], fold, "start double, end double, text string")
 
 
 @dataclass(frozen=True)
@@ -94,25 +115,24 @@ def merge_similar(events: DataFrame, keys: list[str], p: MergeParams = MergePara
     and the text of the surest member.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in rows.sort_values(["start", "end"], kind="stable").itertuples():
-            if out:
-                now = out[-1]
-                near = r.start - now[1] <= p.gap
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        now, number = None, 0  # [start, end, text, hash, confidence, n]
+        for r in rows:
+            if now is not None and r.start - now[1] <= p.gap:
                 bits = bin((int(now[3]) ^ int(r.hash)) & (2**64 - 1)).count("1")
-                if near and (ratio(now[2], r.text) >= p.ratio or bits <= p.bits):
+                if bits <= p.bits or ratio(now[2], r.text, p.ratio) >= p.ratio:
                     now[1] = max(now[1], r.end)
                     if r.confidence > now[4]:
                         now[2], now[4] = r.text, r.confidence
                     now[5] += 1
                     continue
-            out.append([r.start, r.end, r.text, r.hash, r.confidence, 1])
-        made = pd.DataFrame(out, columns=["start", "end", "text", "hash", "confidence", "n"])
-        made.insert(0, "number", range(1, len(made) + 1))
-        return made
+            if now is not None:
+                yield number, *now
+            now, number = [r.start, r.end, r.text, r.hash, r.confidence, 1], number + 1
+        if now is not None:
+            yield number, *now
 
-    return per_key(events, keys, fold, "number int, start double, end double, text string, hash long, confidence double, n int")
+    return per_key(events, keys, ["start", "end"], fold, "number int, start double, end double, text string, hash long, confidence double, n int")
 
 
 @dataclass(frozen=True)
@@ -129,66 +149,61 @@ def duplicate_groups(events: DataFrame, keys: list[str], p: DuplicateParams = Du
     ratio, first on ties. The representative is the surest, then longest, then earliest member.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list = []
-        members: list[list] = []
-        for r in rows.sort_values(["start", "id"], kind="stable").itertuples():
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        leaders: dict[str, list] = {}  # of each type: (number, hash, text, id)
+        made = 0
+        for r in rows:
             best, score = None, -1.0
-            for k, first in enumerate(leaders):
-                if first.type != r.type:
-                    continue
-                bits = bin((int(first.hash) ^ int(r.hash)) & (2**64 - 1)).count("1")
-                if bits > p.near:
+            own = leaders.setdefault(r.type, [])
+            for first in own:
+                bits = bin((first[1] ^ int(r.hash)) & (2**64 - 1)).count("1")
+                if bits > p.near or 64 - bits + 20 <= score:
                     continue
-                alike = ratio(first.text, r.text)
+                alike = ratio(first[2], r.text)
                 if bits <= p.strict or alike >= p.ratio:
                     value = 64 - min(bits, 64) + 20 * alike
                     if value > score:
-                        best, score = k, value
+                        best, score = first, value
             if best is None:
-                leaders.append(r)
-                members.append([r])
-            else:
-                members[best].append(r)
-        out = []
-        for k, group in enumerate(members, 1):
-            top = max(group, key=lambda x: (x.confidence, len(x.text), -x.start))
-            out += [(x.id, leaders[k - 1].id, k, x.id == top.id) for x in group]
-        return pd.DataFrame(out, columns=["id", "leader", "group", "is_representative"])
+                made += 1
+                best = (made, int(r.hash), r.text, r.id)
+                own.append(best)
+            yield r.id, best[3], best[0], r.confidence, len(r.text or ""), float(r.start)
 
-    return per_key(events, keys, fold, "id long, leader long, group int, is_representative boolean")
+    found = per_key(events, keys, ["start", "id"], fold, "id long, leader long, group int, _sure double, _size int, _start double")
+    first = F.row_number().over(W.partitionBy(*keys, "group").orderBy(F.desc("_sure"), F.desc("_size"), "_start", "id")) == 1
+    return found.withColumn("is_representative", first).drop("_sure", "_size", "_start")
 
 
 def fuse(observations: DataFrame, keys: list[str], track: str, least: int = 2, alike: float = 0.84) -> DataFrame:
     """keys, track, text, confidence, n, start, end: the largest cluster of similar texts of each track, its surest text and average confidence."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ordered = rows.sort_values(["start", "end"], kind="stable")
-        for name, seen in ordered.groupby(track, sort=True):
-            if len(seen) < least:
-                continue
-            clusters: list[list] = []
-            for r in seen.itertuples():
-                home = next((c for c in clusters if ratio(c[0].text, r.text) >= alike), None)
-                clusters.append([r]) if home is None else home.append(r)
-            big = max(clusters, key=len)
-            top = max(big, key=lambda x: (x.confidence, len(x.text)))
-            mean = sum(x.confidence for x in big) / len(big)
-            out.append((name, top.text, mean, len(big), min(x.start for x in big), max(x.end for x in big)))
-        return pd.DataFrame(out, columns=[track, "text", "confidence", "n", "start", "end"])
-
-    kind = dict(observations.dtypes)[track]
-    return per_key(observations, keys, fold, f"{track} {kind}, text string, confidence double, n int, start double, end double")
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        clusters: list[list] = []  # first text, text, confidence and size of the surest, sum of confidences, n, start, end
+        seen = 0
+        for r in rows:
+            seen += 1
+            home = next((c for c in clusters if ratio(c[0], r.text, alike) >= alike), None)
+            if home is None:
+                home = [r.text, r.text, (r.confidence, len(r.text)), 0.0, 0, r.start, r.end]
+                clusters.append(home)
+            if (r.confidence, len(r.text)) > home[2]:
+                home[1], home[2] = r.text, (r.confidence, len(r.text))
+            home[3], home[4] = home[3] + r.confidence, home[4] + 1
+            home[5], home[6] = min(home[5], r.start), max(home[6], r.end)
+        if seen >= least:
+            big = max(clusters, key=lambda c: c[4])
+            yield big[1], big[3] / big[4], big[4], big[5], big[6]
+
+    return per_key(observations, [*keys, track], ["start", "end"], fold, "text string, confidence double, n int, start double, end double")
 
 
 def online_centroids(hits: DataFrame, keys: list[str], least: float = 0.48) -> DataFrame:
     """keys, id, cluster: each vector (id, t, vector) in order of time joins the nearest running mean by cosine, or starts one."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: Iterator) -> Iterator[tuple]:
         sums: list[np.ndarray] = []
-        out = []
-        for r in rows.sort_values(["t", "id"], kind="stable").itertuples():
+        for r in rows:
             v = np.asarray(r.vector, float)
             best, score = None, -2.0
             for k, s in enumerate(sums):
@@ -201,10 +216,9 @@ def online_centroids(hits: DataFrame, keys: list[str], least: float = 0.48) -> D
                 best = len(sums) - 1
             else:
                 sums[best] = sums[best] + v
-            out.append((r.id, best))
-        return pd.DataFrame(out, columns=["id", "cluster"])
+            yield r.id, best
 
-    return per_key(hits, keys, fold, "id long, cluster int")
+    return per_key(hits, keys, ["t", "id"], fold, "id long, cluster int")
 
 
 def _iou(a, b) -> float:
@@ -217,25 +231,25 @@ def _iou(a, b) -> float:
 def suppress_boxes(boxes: DataFrame, keys: list[str], most: float = 0.25) -> DataFrame:
     """keys, id: boxes (id, t, x, y, w, h, score) kept from the best of their time down if they overlap none kept by ``most`` or more."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: dict = {}
-        for r in rows.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            mine = kept.setdefault(r.t, [])
-            if all(_iou((r.x, r.y, r.w, r.h), (k.x, k.y, k.w, k.h)) < most for k in mine):
-                mine.append(r)
-        return pd.DataFrame([(k.id,) for boxes in kept.values() for k in boxes], columns=["id"])
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        for _, boxes_ in groupby(rows, key=lambda r: r.t):
+            kept: list = []
+            for r in boxes_:
+                if all(_iou((r.x, r.y, r.w, r.h), k) < most for k in kept):
+                    kept.append((r.x, r.y, r.w, r.h))
+                    yield (r.id,)
 
-    return per_key(boxes, keys, fold, "id long")
+    return per_key(boxes, keys, ["t", F.desc("score"), "id"], fold, "id long")
 
 
 def track_boxes(boxes: DataFrame, keys: list[str], least: float = 0.35, misses: int = 3, old: float = 0.6) -> DataFrame:
     """keys, id, track, hits: boxes of each time match open tracks greedily by overlap; a track ends after more than ``misses`` misses."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: Iterator) -> Iterator[tuple]:
         tracks: dict[int, list] = {}  # number: [box, hits, misses]
-        made, out = 0, []
-        for _, frame in rows.sort_values(["t", "id"], kind="stable").groupby("t", sort=True):
-            found = [(r.id, np.array([r.x, r.y, r.w, r.h], float)) for r in frame.itertuples()]
+        made = 0
+        for _, frame in groupby(rows, key=lambda r: r.t):
+            found = [(r.id, np.array([r.x, r.y, r.w, r.h], float)) for r in frame]
             pairs = sorted(((_iou(b, s[0]), -n, -k) for k, (_, b) in enumerate(found) for n, s in tracks.items()), reverse=True)
             used: dict[int, int] = {}
             for value, n, k in pairs:
@@ -253,32 +267,34 @@ def track_boxes(boxes: DataFrame, keys: list[str], least: float = 0.35, misses:
                     made += 1
                     used[k] = made
                     tracks[made] = [box, 1, 0]
-                out.append((unique, used[k], tracks[used[k]][1]))
-        return pd.DataFrame(out, columns=["id", "track", "hits"])
+                yield unique, used[k], tracks[used[k]][1]
 
-    return per_key(boxes, keys, fold, "id long, track int, hits int")
+    return per_key(boxes, keys, ["t", "id"], fold, "id long, track int, hits int")
 
 
 def smooth(points: DataFrame, keys: list[str], alpha: float = 0.35, both_ways: bool = True) -> DataFrame:
-    """keys, t, x: exponential average of points (t, x) seeded with the first; both ways: averaged with the same from the end."""
+    """keys, t, x: exponential average of points (t, x; one for each t) seeded with the first; both ways: averaged with the same from the end."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        x = rows["x"].astype(float)
-        out = x.ewm(alpha=alpha, adjust=False).mean()
-        if both_ways:
-            out = (out + x[::-1].ewm(alpha=alpha, adjust=False).mean()[::-1]) / 2
-        return pd.DataFrame({"t": rows["t"].to_numpy(), "x": out.to_numpy()})
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        x = None
+        for r in rows:
+            x = float(r.x) if x is None else (1 - alpha) * x + alpha * float(r.x)
+            yield r.t, x
 
-    return per_key(points, keys, fold, f"t {dict(points.dtypes)['t']}, x double")
+    schema = f"t {dict(points.dtypes)['t']}, x double"
+    ahead = per_key(points, keys, ["t"], fold, schema)
+    if not both_ways:
+        return ahead
+    back = per_key(points, keys, [F.desc("t")], fold, schema).withColumnRenamed("x", "_back")
+    return ahead.join(back, [*keys, "t"]).withColumn("x", (F.col("x") + F.col("_back")) / 2).drop("_back")
 
 
 def simplify(points: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """keys, t, x: the points of a line that it needs to stay within ``tolerance`` (Ramer-Douglas-Peucker)."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        t, x = rows["t"].to_numpy(float), rows["x"].to_numpy(float)
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        own = [(r.t, float(r.x)) for r in rows]  # the farthest point of a whole stretch decides, so this one needs the path
+        t, x = np.array([a for a, _ in own], float), np.array([b for _, b in own])
         keep, spans = {0, len(t) - 1}, [(0, len(t) - 1)]
         while spans:
             a, b = spans.pop()
@@ -290,10 +306,10 @@ def simplify(points: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
             if off[k - a - 1] > tolerance:
                 keep.add(k)
                 spans += [(a, k), (k, b)]
-        order = sorted(keep)
-        return pd.DataFrame({"t": rows["t"].to_numpy()[order], "x": x[order]})
+        for k in sorted(keep):
+            yield own[k]
 
-    return per_key(points, keys, fold, f"t {dict(points.dtypes)['t']}, x double")
+    return per_key(points, keys, ["t"], fold, f"t {dict(points.dtypes)['t']}, x double")
 
 
 @dataclass(frozen=True)
@@ -308,23 +324,20 @@ class MotionParams:
 def limit_motion(points: DataFrame, keys: list[str], p: MotionParams = MotionParams()) -> DataFrame:
     """keys, t, x: a follower of points (t, x) with a dead band, a direction that has to last, and a largest step."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        out: list[float] = []
-        direction, lasted = 0, 0
-        for x in rows["x"].astype(float):
-            if not out:
-                out.append(x)
-                continue
-            move = x - out[-1]
-            sign = 0 if abs(move) <= p.dead else (1 if move > 0 else -1)
-            lasted = lasted + 1 if sign == direction else 1
-            direction = sign
-            go = sign != 0 and lasted >= p.hold
-            out.append(out[-1] + (max(-p.step, min(p.step, move)) if go else 0.0))
-        return pd.DataFrame({"t": rows["t"].to_numpy(), "x": out})
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        at, direction, lasted = None, 0, 0
+        for r in rows:
+            if at is None:
+                at = float(r.x)
+            else:
+                move = float(r.x) - at
+                sign = 0 if abs(move) <= p.dead else (1 if move > 0 else -1)
+                lasted = lasted + 1 if sign == direction else 1
+                direction = sign
+                at += max(-p.step, min(p.step, move)) if sign != 0 and lasted >= p.hold else 0.0
+            yield r.t, at
 
-    return per_key(points, keys, fold, f"t {dict(points.dtypes)['t']}, x double")
+    return per_key(points, keys, ["t"], fold, f"t {dict(points.dtypes)['t']}, x double")
 
 
 @dataclass(frozen=True)
@@ -338,17 +351,15 @@ class GateParams:
 def hysteresis(samples: DataFrame, keys: list[str], p: GateParams = GateParams()) -> DataFrame:
     """keys, t, selected, forced: samples (t, score, cut) are taken above a threshold that is lower while the last one was taken; every n-th is forced."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        out, on = [], False
-        for k, r in enumerate(rows.itertuples(), 1):
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        on = False
+        for k, r in enumerate(rows, 1):
             value = r.score + (p.cut_boost if r.cut else 0.0)
             forced = k % p.probe_every == 0
             on = value >= (p.stay if on else p.enter)
-            out.append((r.t, on or forced, forced))
-        return pd.DataFrame(out, columns=["t", "selected", "forced"])
+            yield r.t, bool(on or forced), forced
 
-    return per_key(samples, keys, fold, f"t {dict(samples.dtypes)['t']}, selected boolean, forced boolean")
+    return per_key(samples, keys, ["t"], fold, f"t {dict(samples.dtypes)['t']}, selected boolean, forced boolean")
 
 
 @dataclass(frozen=True)
@@ -367,17 +378,22 @@ def rescue_neighbours(candidates: DataFrame, keys: list[str], p: RescueParams =
     Candidates have id, start, end, score, text_score, priority, picked.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(bucket=(rows["start"].clip(lower=0) // p.bucket).astype(int)).sort_values(["start", "id"])
-        taken: list[int] = []
-        free = rows[~rows["picked"] & (rows["score"] >= p.score) & (rows["text_score"] >= p.text)]
-        for a in rows[rows["picked"]].itertuples():
-            near = free[(free["bucket"] == a.bucket) & (free["start"] >= a.end) & (free["start"] - a.end <= p.window) & ~free["id"].isin(taken)]
-            near = near.sort_values(["text_score", "score", "priority", "start"], ascending=[False, False, False, True])
-            taken += near["id"].head(p.per_anchor).tolist()
-        return pd.DataFrame({"id": taken[: p.most]}, dtype="int64")
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        taken = 0
+        for _, bucket in groupby(rows, key=lambda r: int(max(r.start, 0.0) // p.bucket)):
+            own = list(bucket)
+            free = {r.id: r for r in own if not r.picked and r.score >= p.score and r.text_score >= p.text}
+            for a in (r for r in own if r.picked):
+                near = [r for r in free.values() if a.end <= r.start <= a.end + p.window]
+                near.sort(key=lambda r: (-r.text_score, -r.score, -r.priority, r.start))
+                for r in near[: p.per_anchor]:
+                    del free[r.id]
+                    taken += 1
+                    if taken > p.most:
+                        return
+                    yield (r.id,)
 
-    return per_key(candidates, keys, fold, "id long")
+    return per_key(candidates, keys, ["start", "id"], fold, "id long")
 
 
 def relabel(sections: DataFrame, keys: list[str]) -> DataFrame:
@@ -386,13 +402,13 @@ def relabel(sections: DataFrame, keys: list[str]) -> DataFrame:
     Sections have id, start, type, music, speech, song_cue.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "id"], kind="stable")
-        kinds = rows["type"].tolist()
-        for k, r in enumerate(rows.itertuples()):
-            if kinds[k] == "congregational_music" and r.music < 0.12 and r.speech > 0.7 and not r.song_cue:
-                beside = kinds[k - 1 : k] + kinds[k + 1 : k + 2]
-                kinds[k] = "sermon" if "sermon" in beside else "other"
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "type": kinds})
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        before, now = None, next(rows, None)
+        while now is not None:
+            after, kind = next(rows, None), now.type
+            if kind == "congregational_music" and now.music < 0.12 and now.speech > 0.7 and not now.song_cue:
+                kind = "sermon" if before == "sermon" or (after is not None and after.type == "sermon") else "other"
+            yield now.id, kind
+            before, now = kind, after
 
-    return per_key(sections, keys, fold, "id long, type string")
+    return per_key(sections, keys, ["start", "id"], fold, "id long, type string")
