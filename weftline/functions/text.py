@@ -93,7 +93,7 @@ def references(text: Column) -> Column:
 
 def _ratio(text: Column, kept: str) -> Column:
     """Share of characters that the negated class ``kept`` leaves."""
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, kept, "")) / F.length(text))
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, kept + "+", "")) / F.length(text))
 
 
 def alpha_ratio(text: Column) -> Column:
@@ -126,7 +126,7 @@ def word_shapes(text: Column) -> tuple[Column, Column, Column]:
 
 
 def alpha_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
 def _unit(x: Column) -> Column:

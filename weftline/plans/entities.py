@@ -291,8 +291,9 @@ def hysteresis_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def rescue_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    c = candidates(spark, d).withColumn("priority", F.col("score")).withColumn("text_score", F.col("text"))
-    picked = P.budget(c.withColumn("bucket", F.floor(F.col("start") / 300)), ["key"], "bucket", "priority", "id", 4, 120).select("key", "id").withColumn("picked", F.lit(True))
+    start = (F.col("id") * 37 % 280).cast("double")
+    c = candidates(spark, d).withColumns({"priority": F.col("score"), "text_score": F.col("text"), "start": start, "end": start + 5.0})
+    picked = P.budget(c.withColumn("bucket", F.floor(F.col("start") / 100)), ["key"], "bucket", "priority", "id", 1, 2).select("key", "id").withColumn("picked", F.lit(True))
     return folds.rescue_neighbours(c.join(picked, ["key", "id"], "left").fillna(False, ["picked"]), ["key"])
 
 
