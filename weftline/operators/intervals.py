@@ -82,18 +82,21 @@ def semi(left: DataFrame, right: DataFrame, keys: list[str], width, unique: str,
 def locate(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``index`` to points (keys, id, t): the interval (keys, index, start, end) that holds t, else the nearest; null without any.
 
-    The intervals of a key don't overlap and are numbered in order, so only the last one that starts at or before t
+    The intervals of a key don't overlap, start at different times and are numbered in order, so only the last one that starts at or before t
     and the first one after it can be meant: two as-of joins, no pairs. Distance is to the nearer border; ties go to
     the smaller index. The last interval is closed, the others are half-open.
     """
     from weftline.operators.nearest import as_of
 
     order = W.partitionBy(*keys).orderBy("index")
-    numbered = intervals.select(*keys, "index", "start", "end", F.lead("index").over(order).isNull().alias("is_last"))
-    before = as_of(points, numbered, keys, "t", "start", ["index", "start", "end", "is_last"], prefix="_b_", unique="index")
+    # An empty interval at the end of the one before is as near as that one, which has the smaller index.
+    meets = (F.lag("end").over(order) == F.col("start")) & (F.col("start") == F.col("end"))
+    first = F.when(meets, F.lag("index").over(order)).otherwise(F.col("index")).alias("first")
+    numbered = intervals.select(*keys, "index", "start", "end", first, F.lead("index").over(order).isNull().alias("is_last"))
+    before = as_of(points, numbered, keys, "t", "start", ["index", "start", "end", "first", "is_last"], prefix="_b_", unique="index")
     both = as_of(before, numbered.select(*keys, "index", "start"), keys, "t", "start", ["index", "start"], forward=True, prefix="_a_", unique="index")
     t, a, b = F.col("t"), F.col("_b_start"), F.col("_b_end")
     inside = holds_point(a, b, t, F.col("_b_is_last"))
     nearer = F.least(t - a, F.abs(t - b)) <= F.coalesce(F.col("_a_start") - t, F.least(t - a, F.abs(t - b)))
-    found = F.when(F.col("_b_index").isNull(), F.col("_a_index")).when(inside | nearer, F.col("_b_index")).otherwise(F.col("_a_index"))
+    found = F.when(F.col("_b_index").isNull(), F.col("_a_index")).when(inside, F.col("_b_index")).when(nearer, F.col("_b_first")).otherwise(F.col("_a_index"))
     return both.select(*points.columns, found.alias("index"))
