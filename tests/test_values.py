@@ -183,6 +183,13 @@ def test_rescue_neighbours(spark):
     assert sorted(x.id for x in got.collect()) == [3, 4]
 
 
+def test_chains_from_a_guess(spark):
+    turns = [(1, 1, "A", 0.0, 5.0), (1, 2, "A", 6.0, 10.0), (1, 3, "B", 12.0, 13.0), (1, 4, "A", 14.0, 20.0), (1, 5, "A", 21.4, 25.0), (2, 1, "A", 0.0, 5.0), (2, 2, "B", 5.1, 5.9), (2, 3, "A", 6.0, 10.0), (3, 1, "B", 0.0, 1.0)]
+    asked = [(1, "A", 8.0), (1, "A", 12.0), (1, "A", 22.0), (1, "A", 900.0), (2, "A", 8.0), (3, "A", 4.0)]
+    got = O.chain_starts(spark.createDataFrame(turns, "key int, id long, speaker string, start double, end double"), spark.createDataFrame(asked, "key int, speaker string, guess double"), ["key"])
+    assert {(r.key, r.guess): r.start for r in got.collect()} == {(1, 8.0): 0.0, (1, 12.0): 14.0, (1, 22.0): 14.0, (1, 900.0): 900.0, (2, 8.0): 6.0, (3, 4.0): 4.0}
+
+
 def test_section_borders(spark):
     a, b = (F.lit(x) for x in (10.0, 20.0))
     df = spark.range(1)

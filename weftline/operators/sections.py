@@ -447,6 +447,36 @@ def speaker_bounds(turns: DataFrame, asked: DataFrame, keys: list[str]) -> DataF
     return rows.groupBy(*asked.columns).agg(F.min_by("start", rank(a, "start")).alias("start"), F.min_by("end", rank(b, "end")).alias("end"))
 
 
+def chains(turns: DataFrame, keys: list[str], gap: float = 1.5, pad: float = 0.2, least: float = 0.35, width: float = 30.0) -> DataFrame:
+    """turns with ``chain``: a new one for each speaker after a pause over ``gap``, or where another one speaks for ``least`` about the pause."""
+    order = W.partitionBy(*keys, "speaker").orderBy("start", "id")
+    rows = turns.withColumn("_was", F.lag("end").over(order))
+    about = rows.where("_was is not null").select(*keys, F.col("id").alias("tid"), F.col("speaker").alias("_own"), (F.least("_was", "start") - pad).alias("start"), (F.greatest("_was", "start") + pad).alias("end"))
+    others = turns.select(*keys, F.col("speaker").alias("_other"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    cut = F.least("end", "r_end") - F.greatest("start", "r_start") >= least
+    between = interval_join(about, others, keys, width).where((F.col("_own") != F.col("_other")) & cut).select(*keys, F.col("tid").alias("id")).distinct().withColumn("_other", F.lit(True))
+    new = F.col("_was").isNull() | (F.col("start") - F.col("_was") > gap) | F.coalesce("_other", F.lit(False))
+    marked = rows.join(between, [*keys, "id"], "left").withColumn("_new", new.cast("int"))
+    return marked.withColumn("chain", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_was", "_other", "_new")
+
+
+def chain_starts(turns: DataFrame, asked: DataFrame, keys: list[str], back: float = 120.0, ahead: float = 25.0, width: float = 150.0) -> DataFrame:
+    """asked (keys, speaker, guess) with ``start``: that of the chain that leads to the speaker's turn at the guess, else to the next or the last one near it.
+
+    Only turns from ``back`` before the guess to ``ahead`` after it count; without any the guess stays.
+    """
+    own = [*keys, "speaker"]
+    frames = asked.select(*own, "guess", (F.col("guess") - back).alias("start"), (F.col("guess") + ahead).alias("end"))
+    right = chains(turns, keys).select(*own, F.col("start").alias("r_start"), F.col("end").alias("r_end"), "chain")
+    pairs = interval_join(frames, right, own, width, touches)
+    g, a, b = F.col("guess"), F.col("r_start"), F.col("r_end")
+    kind = F.when((a <= g) & (b >= g), 0).when(a >= g, 1).otherwise(2)
+    anchor = F.min(F.struct(kind.alias("kind"), F.when(kind < 2, a).otherwise(-a).alias("order"), a.alias("at"), F.col("chain").alias("chain")))
+    near = pairs.groupBy(*own, "guess").agg(anchor.alias("_a"), F.collect_list(F.struct(a.alias("at"), "chain")).alias("_near"))
+    walked = F.array_min(F.transform(F.filter("_near", lambda x: (x["chain"] == F.col("_a.chain")) & (x["at"] <= F.col("_a.at"))), lambda x: x["at"]))
+    return asked.join(near.select(*own, "guess", walked.alias("start")), [*own, "guess"], "left").withColumn("start", F.coalesce("start", "guess"))
+
+
 # --- groups and summaries ---------------------------------------------------------------------------
 
 

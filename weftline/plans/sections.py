@@ -473,3 +473,15 @@ def speaker_bounds(spark: SparkSession, d: str) -> DataFrame:
     rows = spoken(spark, d)
     asked = rows.groupBy("key", "speaker").agg((F.max("end") * 0.3).alias("around_start"), (F.max("end") * 0.7).alias("around_end"))
     return O.speaker_bounds(rows, asked, ["key"])
+
+
+@query(f"""WITH {SPOKEN}, g AS (SELECT *, row_number() OVER (PARTITION BY key, speaker ORDER BY start, id) AS nth, lag("end") OVER (PARTITION BY key, speaker ORDER BY start, id) AS was FROM spoken),
+    n AS (SELECT key, speaker, id, start, "end", was IS NULL OR start - was > 1.5 OR EXISTS (SELECT 1 FROM spoken o WHERE o.key = g.key AND o.speaker <> g.speaker AND least(o."end", greatest(was, g.start) + 0.2::DOUBLE) - greatest(o.start, least(was, g.start) - 0.2::DOUBLE) >= 0.35) AS new FROM g),
+    c AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY key, speaker ORDER BY start, id ROWS UNBOUNDED PRECEDING) AS chain FROM n), a AS (SELECT key, speaker, max("end") * 0.5::DOUBLE AS guess FROM spoken GROUP BY key, speaker),
+    p AS (SELECT a.key, a.speaker, guess, c.start, c.chain, CASE WHEN c.start <= guess AND c."end" >= guess THEN 0 WHEN c.start >= guess THEN 1 ELSE 2 END AS kind FROM a JOIN c ON c.key = a.key AND c.speaker = a.speaker AND c."end" >= guess - 120 AND c.start <= guess + 25),
+    h AS (SELECT key, speaker, guess, arg_min({{'at': start, 'chain': chain}}, (kind, CASE WHEN kind < 2 THEN start ELSE -start END)) AS x FROM p GROUP BY ALL), w AS (SELECT h.key, h.speaker, min(p.start) AS start FROM h JOIN p ON p.key = h.key AND p.speaker = h.speaker AND p.chain = h.x.chain AND p.start <= h.x.at GROUP BY ALL)
+    SELECT a.key, a.speaker, a.guess, coalesce(w.start, a.guess) AS start FROM a LEFT JOIN w ON w.key = a.key AND w.speaker = a.speaker""")
+def anchored_chains(spark: SparkSession, d: str) -> DataFrame:
+    rows = spoken(spark, d)
+    asked = rows.groupBy("key", "speaker").agg((F.max("end") * 0.5).alias("guess"))
+    return O.chain_starts(rows, asked, ["key"])
