@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,12 +171,15 @@ def counted_windows(texts: DataFrame, hot: np.ndarray, p: SubstringParams) -> Da
 
 
 def located_by_windows(windows: DataFrame, p: SubstringParams) -> DataFrame:
-    """As ``located``, from the windows of segments: those whose digest recurs."""
+    """As ``located``, from the windows of segments: those whose digest recurs, joined where they overlap."""
     windows = cut(windows)
     digest = ["win_a", "win_b"]
     recurring = cut(windows.groupBy(*digest).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n"))
     found = join_uneven(windows.drop("n"), recurring, digest, "rows", windows.count())
-    return found.select("seg_a", "seg_b", "low", (F.col("low") + p.window).alias("high")).distinct()
+    order = W.partitionBy("seg_a", "seg_b").orderBy("low")
+    apart = F.coalesce(F.col("low") - F.lag("low").over(order) > p.window, F.lit(True)).cast("int")
+    marked = found.select("seg_a", "seg_b", "low").distinct().withColumn("_new", apart).withColumn("_part", F.sum("_new").over(order))
+    return marked.groupBy("seg_a", "seg_b", "_part").agg(F.min("low").alias("low"), (F.max("low") + p.window).alias("high")).drop("_part")
 
 
 def _uint64(values: pa.ListScalar) -> np.ndarray:
