@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.ann import nearest
 from weftline.llm.common import tables
+from weftline.llm.conversation_trie import rebuilt, trie
 from weftline.llm.decontaminate import contaminated
 from weftline.llm.html_text import extract
 from weftline.llm.lang_id import LangParams, identify
@@ -78,6 +79,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, TokenCountParams(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (conversations,) = tables(spark, sf_dir, "conversations")
+    return trie(rebuilt(conversations)).drop("key", "turn")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_quality_classifier,
         op10_token_counts,
+        op11_conversation_trie,
     )
 }
 
@@ -154,4 +161,38 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN stays USING (doc_id)
     """,
+    "op11_conversation_trie": r"""
+        WITH own AS (
+            SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS w
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), hashed AS (
+            SELECT conv_id, w, xor(list_reduce(
+                       list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+            FROM own
+        ), rebuilt AS (
+            SELECT a.conv_id AS c, coalesce(b.w[1 : h], []) || a.w[h + 1 :] AS p
+            FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+        ), members AS (
+            SELECT c, CAST(d AS BIGINT) AS d, len(p) = d AS ended, CASE WHEN d > 0 THEN length(p[d].x) ELSE 0 END AS chars,
+                   sha256(array_to_string(list_transform(p[1 : d], lambda t: length(t.r) || ':' || length(t.x) || ':' || t.r || t.x), '')) AS k
+            FROM rebuilt, unnest(range(0, len(p) + 1)) u(d)
+        ), nodes AS (
+            SELECT d, k, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+                   sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE ended), '')) AS ends
+            FROM members GROUP BY d, k
+        ), edges AS (
+            SELECT DISTINCT a.d, a.k, b.k AS parent FROM members a JOIN members b ON a.c = b.c AND a.d = b.d + 1
+        ), fans AS (
+            SELECT d - 1 AS d, parent AS k, count(*) AS n_children FROM edges GROUP BY ALL
+        ), below AS (
+            SELECT DISTINCT a.d, a.k, b.d AS bd, b.k AS bk FROM members a JOIN members b ON a.c = b.c AND b.d >= a.d
+        ), sums AS (
+            SELECT below.d, below.k, count(*) FILTER (WHERE fans.k IS NULL) AS n_leaves, CAST(sum((nodes.n - 1) * nodes.chars) AS BIGINT) AS saved_tokens
+            FROM below JOIN nodes ON nodes.d = bd AND nodes.k = bk LEFT JOIN fans ON fans.d = bd AND fans.k = bk GROUP BY ALL
+        )
+        SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, x.ends AS ends_sha256
+        FROM nodes x JOIN sums USING (d, k) LEFT JOIN fans USING (d, k)
+        LEFT JOIN edges e ON e.d = x.d AND e.k = x.k LEFT JOIN nodes up ON up.d = e.d - 1 AND up.k = e.parent
+    """,
 }
