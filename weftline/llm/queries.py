@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.ann import nearest
+from weftline.llm.collocations import collocations
 from weftline.llm.common import tables
 from weftline.llm.conversation_trie import rebuilt, trie
 from weftline.llm.decontaminate import contaminated
@@ -84,6 +85,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(rebuilt(conversations)).drop("key", "turn")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return collocations(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_classifier,
         op10_token_counts,
         op11_conversation_trie,
+        op12_phrase_collocations,
     )
 }
 
@@ -195,4 +202,32 @@ ORACLE_SQL: dict[str, str] = {
         FROM nodes x JOIN sums USING (d, k) LEFT JOIN fans USING (d, k)
         LEFT JOIN edges e ON e.d = x.d AND e.k = x.k LEFT JOIN nodes up ON up.d = e.d - 1 AND up.k = e.parent
     """,
+    "op12_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+        ), frequent AS (
+            SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a
+            FROM pieces, unnest(range(1, 6)) t(k), unnest(range(1, len(w) - k + 2)) u(i) GROUP BY ALL HAVING count(*) >= 100
+        ), candidates AS (
+            SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM frequent WHERE contains(phrase, ' ')
+        ), covers AS (
+            SELECT lang, array_to_string(w[i : j], ' ') AS phrase, max(a) AS longer
+            FROM candidates, unnest(range(1, len(w))) s(i), unnest(range(i + 1, len(w) + 1)) e(j) WHERE j - i + 1 < len(w) GROUP BY ALL
+        ), kept AS (
+            SELECT c.* FROM candidates c LEFT JOIN covers USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * c.a
+        ), cuts AS (
+            SELECT kept.lang, kept.phrase, kept.a, k, l.a AS l, r.a AS r, n, 1000::HUGEINT * kept.a * n // (l.a::HUGEINT * r.a) AS score
+            FROM kept, unnest(range(1, len(w))) t(k), frequent l, frequent r, totals
+            WHERE l.lang = kept.lang AND l.phrase = array_to_string(w[1 : k], ' ') AND r.lang = kept.lang AND r.phrase = array_to_string(w[k + 1 :], ' ')
+              AND totals.lang = kept.lang
+        ), best AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM best QUALIFY rank <= 2000
+    """,
 }
