@@ -17,6 +17,7 @@ from weftline.llm.html_text import extract
 from weftline.llm.lang_id import LangParams, identify
 from weftline.llm.mixing import mix
 from weftline.llm.near_dup import NearDupParams, near_duplicates
+from weftline.llm.packing import PackingParams, pack
 from weftline.llm.quality import score_quality
 from weftline.llm.substring import remove_repeats
 from weftline.llm.token_counts import TokenCountParams, count_tokens
@@ -90,6 +91,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(docs)
 
 
+def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return pack(docs, PackingParams(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
         op11_conversation_trie,
         op12_phrase_collocations,
+        op13_bestfit_packing,
     )
 }
 
