@@ -110,6 +110,10 @@ class Passed:
     cells: int  # log2
     shift: int
 
+    def parts(self) -> tuple:
+        """What is broadcast: arrays and numbers, which executors read without this package."""
+        return self.bits, self.cells, self.shift
+
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         ok = np.ones(len(hashes), bool)
         for r, bits in enumerate(self.bits):
@@ -153,7 +157,7 @@ def survivors(grams: Grams, longest: int, pairs: Passed | None, longer: Passed |
 def _sketch(docs: DataFrame, p: CollocationParams, cells: int, pairs: Passed | None) -> Passed:
     """Sketches words and pairs or, if ``pairs`` is given, longer n-grams of which all pairs pass."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(pairs)
+    known = spark.sparkContext.broadcast(pairs and pairs.parts())
     shift = max(0, cells - p.most_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +174,9 @@ def _sketch(docs: DataFrame, p: CollocationParams, cells: int, pairs: Passed | N
                 packed = [(a.tobytes(), c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes()) for a, c in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), row, np.int32)), pa.array(blocks.astype(np.int64)), pa.array([a for a, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["row", "block", "cells", "counts"])
 
+        passed = Passed(*known.value) if known.value else None
         for lang, data in slices(batches, p.slice_bytes):
-            for _, _, hashes in survivors(Grams(lang, data), p.longest, known.value, None):
+            for _, _, hashes in survivors(Grams(lang, data), p.longest, passed, None):
                 held.append(hashes)
                 size += len(hashes)
             if size >= 1 << 22:
@@ -215,7 +220,7 @@ def frequent(docs: DataFrame, p: CollocationParams = CollocationParams()) -> Dat
     cells = min(32, max(_BLOCK, (size // p.cell_bytes).bit_length()))
     pairs = _sketch(docs, p, cells, None)
     longer = _sketch(docs, p, cells, pairs) if p.longest > 2 else pairs
-    known = docs.sparkSession.sparkContext.broadcast((pairs, longer))
+    known = docs.sparkSession.sparkContext.broadcast((pairs.parts(), longer.parts()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, bytes], int] = defaultdict(int)
@@ -224,11 +229,12 @@ def frequent(docs: DataFrame, p: CollocationParams = CollocationParams()) -> Dat
             columns = [pa.array([k for k, _ in counts]), pa.array([x for _, x in counts], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
+        passed = [Passed(*x) for x in known.value]
         for lang, data in slices(batches, p.slice_bytes):
             grams = Grams(lang, data)
             if grams.n:
                 counts[lang, b""] += grams.n
-            for k, at, hashes in survivors(grams, p.longest, *known.value):
+            for k, at, hashes in survivors(grams, p.longest, *passed):
                 _, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 for i, x in zip(at[first].tolist(), n.tolist(), strict=True):
                     counts[lang, b" ".join(grams.words[i : i + k])] += x

@@ -335,6 +335,10 @@ class Plan:
     base: np.ndarray
     sequences: int
 
+    def parts(self) -> tuple:
+        """What is broadcast: arrays and a number, which executors read without this package."""
+        return self.lengths, self.first, self.each, self.offset, self.base, self.sequences
+
     def places(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of the piece with this rank (from 0) of this length."""
         at = np.searchsorted(self.lengths << 48 | self.first, length << 48 | rank, "right") - 1
@@ -369,7 +373,7 @@ def pack(docs: DataFrame, p: PackingParams, keep_ids: bool = False) -> DataFrame
     made = cut(pieces(docs, p, keep_ids))
     by_task = made.groupBy("part", "length").count()
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``size`` rows
-    known = docs.sparkSession.sparkContext.broadcast(plan(counts, p.size, p.most_tests))
+    known = docs.sparkSession.sparkContext.broadcast(plan(counts, p.size, p.most_tests).parts())
     before = F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = by_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("_before"))
     order = F.row_number().over(W.partitionBy("part", "length").orderBy("doc_id", "piece", "start", "ids_crc32"))
@@ -377,9 +381,10 @@ def pack(docs: DataFrame, p: PackingParams, keep_ids: bool = False) -> DataFrame
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Plan(*known.value)
         for batch in batches:
             if batch.num_rows:
-                sequence, offset = known.value.places(batch.column("length").to_numpy(), batch.column("_rank").to_numpy())
+                sequence, offset = found.places(batch.column("length").to_numpy(), batch.column("_rank").to_numpy())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long"
