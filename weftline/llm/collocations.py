@@ -3,7 +3,7 @@
 Texts are read where they lie, never shuffled. A first pass sketches words and pairs: a task adds up its own cells, cells are
 dealt out in blocks of 65,536, and blocks of all tasks are merged by addition. A cell never counts too little, so an n-gram with a cell
 below ``least`` in either row of the sketch isn't frequent. A second sketch does the same for longer n-grams whose pairs all
-passed (an n-gram is at most as frequent as its rarest pair). The last pass counts only survivors, by their words. So nothing
+passed (an n-gram is at most as frequent as its rarest pair). The last pass counts only survivors, by their words, and adds them up in the same blocks. So nothing
 frequent is lost, whatever the width; the width, which follows the bytes of all texts, only decides how much is counted in vain.
 What is broadcast is a bit for each cell, at most ``2 ** most_bits`` bits a row: wider sketches share bits among neighbours.
 Within a slice of a megabyte n-grams are told apart by 64 bits of hashes (about 1e-9 for two in one slice to be taken for one).
@@ -223,29 +223,53 @@ def frequent(docs: DataFrame, p: CollocationParams = CollocationParams()) -> Dat
     known = docs.sparkSession.sparkContext.broadcast((pairs.parts(), longer.parts()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, bytes], int] = defaultdict(int)
+        counts: dict[tuple[int, str], dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array([k for k, _ in counts]), pa.array([x for _, x in counts], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+            columns = [pa.array([b for b, _ in counts], pa.int64()), pa.array([k for _, k in counts], pa.string())]
+            columns += [pa.array([b"\n".join(x) for x in counts.values()], pa.binary()), pa.array([np.array(list(x.values()), np.int64).tobytes() for x in counts.values()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "lang", "phrases", "counts"])
 
-        passed = [Passed(*x) for x in known.value]
+        passed, size = [Passed(*x) for x in known.value], 0
         for lang, data in slices(batches, p.slice_bytes):
             grams = Grams(lang, data)
             if grams.n:
-                counts[lang, b""] += grams.n
+                counts[0, lang][b""] += grams.n
             for k, at, hashes in survivors(grams, p.longest, *passed):
-                _, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                for i, x in zip(at[first].tolist(), n.tolist(), strict=True):
-                    counts[lang, b" ".join(grams.words[i : i + k])] += x
-            if len(counts) >= 1 << 18:
+                each, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                blocks = _cells(each, 0, cells) >> np.uint64(_BLOCK)
+                for block, i, x in zip(blocks.tolist(), at[first].tolist(), n.tolist(), strict=True):
+                    own = counts[block, lang]
+                    phrase = b" ".join(grams.words[i : i + k])
+                    size += phrase not in own
+                    own[phrase] += x
+            if size >= 1 << 19:
                 yield out()
                 counts.clear()
+                size = 0
         if counts:
             yield out()
 
-    summed = docs.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return summed.where((F.col("phrase") == "") | (F.col("n") >= p.least))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, defaultdict(int)
+
+        def out() -> pa.RecordBatch:
+            kept = [(x, n) for x, n in total.items() if n >= p.least or not x]
+            return pa.RecordBatch.from_arrays([pa.array([now[1]] * len(kept), pa.string()), pa.array([x for x, _ in kept], pa.binary()).cast(pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for block, lang, phrases, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (block, lang):
+                    if now is not None:
+                        yield out()
+                    now, total = (block, lang), defaultdict(int)
+                for x, k in zip(phrases.split(b"\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                    total[x] += k
+        if now is not None:
+            yield out()
+
+    dealt = docs.mapInArrow(count, "block long, lang string, phrases binary, counts binary").repartition("block", "lang")
+    return dealt.sortWithinPartitions("block", "lang").mapInArrow(add, "lang string, phrase string, n long")
 
 
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
