@@ -10,13 +10,17 @@ exchange helps. Pieces then find their place by their length and their rank amon
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,22 +47,52 @@ class PackingParams:
 # Letters, digits and marks for which the byte-level pattern is plain; "<" may begin a special token.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _MARKS = re.escape("!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~")
-_PLAIN = re.compile(rf"[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*")
-_ATOM = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
+_PART = rf"[{_LETTERS}0-9{_MARKS}]++(?:\n[{_LETTERS}0-9{_MARKS}]++)*+"
+_PLAIN = re.compile(_PART)
+_PLAIN_TEXT = re.compile(rf"{_PART}(?: {_PART})*+")
+_ATOM = re.compile(rf" ?[{_LETTERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[{_MARKS}]++| ?[0-9]++|\n")
 
 
-def _byte_chars() -> dict[int, str]:
-    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others behind 255 in order."""
+def _byte_chars() -> str:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others behind 255 in
+    order. Byte 0 is a space here: it parts what is encoded together, and plain text doesn't hold it."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
-    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+    return " " + "".join(chr(b if b in printable else next(others)) for b in range(256))[1:]
+
+
+class _Numbers(dict):
+    """Numbers strings in the order in which they come first."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: str):
+        self.room, self.n = np.empty(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.empty(max(self.n, len(values)), self.room.dtype)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
 
 class Encoder:
-    """Ids of texts as the tokenizer of a file gives them, without added special tokens, as little-endian unsigned 32-bit numbers.
+    """Ids of texts as the tokenizer of a file gives them, without added special tokens.
 
-    For byte-level tokenizers a text is cut at single spaces between two characters that are no white space: a token never reaches
-    over such a space, and always begins with it. The ids of what lies between are remembered (``most`` of them).
+    A byte-level tokenizer parts a text before its merges. Parts of plain text (letters, digits, marks, single spaces and
+    line ends between them) are encoded once and remembered. All else is given to the library in stretches between single spaces that
+    stand between two characters that are no white space: no token reaches over such a space, and one begins with it.
     """
 
     def __init__(self, path: str, most: int = 3 << 18):
@@ -74,75 +108,66 @@ class Encoder:
         plain_model = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec["model"].get("end_of_word_suffix") and not spec["model"].get("continuing_subword_prefix")
         apart = all("<" in t["content"] and " " not in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"])
         self.fast = bool(level and plain_model and apart)
-        self.words = tokenizers.Tokenizer(self.whole.model)
-        self.words.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
         self.chars = _byte_chars()
         self.most = most
-        self.inner: dict[str, bytes | None] = {}  # ids of a space and what follows it; None: its ends are not plain
-        self.atoms: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_atoms(self, atoms: list[str]) -> None:
-        for k in range(0, len(atoms), 4096):
-            part = atoms[k : k + 4096]
-            line = " ".join(a.encode().decode("latin-1").translate(self.chars) for a in part)
-            found = self.words.encode(line, add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            ends = np.searchsorted(of, np.arange(len(part)), side="right")
-            for a, b, atom in zip([0, *ends[:-1]], ends, part, strict=True):
-                self.atoms[atom] = ids[a:b].tobytes()
-
-    def _known(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of texts that hold only plain characters."""
-        split = [_ATOM.findall(t) for t in texts]
-        if len(self.atoms) > self.most:
-            self.atoms = {}
-        self._learn_atoms(list(set().union(*split) - self.atoms.keys()))
-        return [b"".join(map(self.atoms.__getitem__, s)) for s in split]
-
-    def _learn(self, parts: set[str]) -> None:
-        plain = [p for p in parts if _PLAIN.fullmatch(p)]
-        self.inner.update(zip(plain, self._known(" " + p for p in plain), strict=True))
-        rest = list(parts.difference(plain))
-        edges = [p for p in rest if p and _firm(p[0]) and _firm(p[-1])]
-        self.inner.update(dict.fromkeys(rest))
-        self.inner.update(zip(edges, self._library([" " + p for p in edges]), strict=True))
-
-    def _odd(self, parts: list[str]) -> bytes:
-        """Ids of a text with other spaces than single ones between firm characters: its parts are joined over those."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.weight = _Numbers(), 0
+        self.ids, self.starts, self.lengths = _Grown("<u4"), _Grown("i8"), _Grown("i8")
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Ids of the strings numbered since the last time."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        plain = [x for x in fresh if _ATOM.fullmatch(x)]
+        known = iter(codecs.charmap_decode("\0".join(plain).encode(), "strict", self.chars)[0].split(" "))
+        odd = iter(self._library([x for x in fresh if not _ATOM.fullmatch(x)]) if len(plain) < len(fresh) else ())
+        tokenize = self.whole.model.tokenize
+        found = [[t.id for t in tokenize(next(known))] if _ATOM.fullmatch(x) else next(odd).tolist() for x in fresh]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts.add(self.ids.n + np.cumsum(lengths) - lengths)
+        self.lengths.add(lengths)
+        self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
+        self.weight += sum(map(len, fresh))
+
+    def _parts(self, text: str) -> list[str]:
+        """A text that isn't plain, as strings that are encoded on their own."""
+        parts = text.split(" ")
         joined = [parts[0]]
         for before, part in zip(parts, parts[1:]):
             if before and part and _firm(before[-1]) and _firm(part[0]):
                 joined.append(" " + part)
             else:
                 joined[-1] += " " + part
-        known = [self.inner.get(j[1:]) if k and " " not in j[1:] else None for k, j in enumerate(joined)]
-        asked = iter(self._library([j for j, x in zip(joined, known, strict=True) if x is None]))
-        return b"".join(next(asked) if x is None else x for x in known)
+        out: list[str] = []
+        for j in joined:
+            out.extend(_ATOM.findall(j) if _PLAIN.fullmatch(j, int(j[:1] == " ")) else [j])
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.fast:
             return self._library(texts)
-        split = [t.split(" ") for t in texts]
-        if len(self.inner) > self.most:
-            self.inner = {}
-        fresh = set().union(*(s[1:] for s in split)) - self.inner.keys()
-        if fresh:
-            self._learn(fresh)
-        heads = [s[0] for s in split]
-        plain = iter(self._known(h for h in heads if _PLAIN.fullmatch(h)))
-        out = []
-        for s in split:
-            head = next(plain) if _PLAIN.fullmatch(s[0]) else None
-            if head is None and (len(s) == 1 or s[0] and _firm(s[0][-1])):
-                head = self._library([s[0]])[0]
-            try:
-                out.append(b"".join([head, *map(self.inner.__getitem__, s[1:])]))
-            except TypeError:  # a part without ids of its own
-                out.append(self._odd(s))
-        return out
+        if len(self.numbers) > self.most or self.weight > 64 * self.most:
+            self._forget()
+        split = [_ATOM.findall(t) if _PLAIN_TEXT.fullmatch(t) else self._parts(t) for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        self._learn()
+        lengths, starts = self.lengths.room[numbers], self.starts.room[numbers]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids.room[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum(sizes)[:-1]])
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a file: what one task has learnt serves the next on the same worker."""
+    held = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _firm(c: str) -> bool:
@@ -161,21 +186,21 @@ def pieces(docs: DataFrame, p: PackingParams, keep_ids: bool = False) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(p.path), TaskContext.get().partitionId()
-        end = np.array([p.end], "<u4").tobytes()
+        encode, part = encoder(p.path), TaskContext.get().partitionId()
+        end = np.array([p.end], "<u4")
         names = [*(x.split()[0] for x in _PIECES.split(", ")), *["ids"] * keep_ids]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * keep_ids]
 
         def cut_up(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
             rows = []
             for doc, found in zip(ids, encode(texts), strict=True):
-                found += end
-                n = len(found) // 4
+                found = np.concatenate([found, end])
+                n = len(found)
                 first = (n - 1) % p.size + 1
                 for k, a in enumerate([0, *range(first, n, p.size)]):
                     b = first if k == 0 else a + p.size
-                    own = found[4 * a : 4 * b]
-                    rows.append((doc, k, a, b - a, zlib.crc32(own), part, *[own] * keep_ids))
+                    own = found[a:b]
+                    rows.append((doc, k, a, b - a, zlib.crc32(own), part, *[own.tobytes()] * keep_ids))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
