@@ -2,7 +2,7 @@
 
 Spark deals the rows out by key and sorts them; a small Python generator then reads each key's rows one after the
 other and gives its results as it goes. It holds only its state (the open caption, the tracks, the sums), never a
-recording, so a very long one costs time but no memory. Keys must not be null.
+recording, so a very long one costs time but no memory. Values are Python's: a null is None, a long stays a whole number.
 """
 
 from __future__ import annotations
@@ -11,39 +11,54 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Result rows that a task gathers before it hands them on.
 CHUNK = 10_000
 
 
+def _row_type(names: list[str]) -> type:
+    """A tuple whose values have the names of the columns."""
+    return type("Row", (tuple,), {"__slots__": (), **{n: property(itemgetter(k)) for k, n in enumerate(names)}})
+
+
 def per_key(df: DataFrame, keys: list[str], order: list[str | Column], fold: Callable[[Iterator], Iterator[tuple]], schema: str) -> DataFrame:
-    """keys and the results of the fold over the rows of each key in order."""
-    names = [*keys, *(x.split()[0] for x in schema.split(", "))]
+    """keys and the results of the fold over the rows of each key in order. Rows with a null in a key are a group like others."""
+    types = dict(df.dtypes)
+    result = ", ".join([*(f"`{k}` {types[k]}" for k in keys), schema])
+    kinds = to_arrow_schema(StructType.fromDDL(result))
+    places = [df.columns.index(k) for k in keys]
 
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator:
         for batch in batches:
-            yield from batch.itertuples(index=False)
+            made = _row_type(batch.schema.names)
+            yield from map(made, zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for key, rows in groupby(rows_of(batches), key=lambda r: tuple(getattr(r, k) for k in keys)):
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=kinds.names)
+
+        for key, rows in groupby(rows_of(batches), key=lambda r: tuple(r[k] for k in places)):
             for made in fold(rows):
                 held.append((*key, *made))
                 if len(held) >= CHUNK:
-                    yield pd.DataFrame(held, columns=names)
+                    yield out()
                     held = []
         if held:
-            yield pd.DataFrame(held, columns=names)
+            yield out()
 
-    types = dict(df.dtypes)
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), schema]))
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, result)
 
 
 def ratio(a: str, b: str, least: float = 0.0) -> float:
@@ -59,6 +74,35 @@ def ratio(a: str, b: str, least: float = 0.0) -> float:
     return match.ratio()
 
 
+def spaced(df: DataFrame, keys: list[str], t: str, least, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, t and ``more``: the first row of each key and then every row at least ``least`` after the last one kept. Holds one time a key."""
+    types = dict(df.dtypes)
+
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        last = None
+        for r in rows:
+            now = getattr(r, t)
+            if last is None or now - last >= least:
+                last = now
+                yield (now, *(getattr(r, c) for c in more))
+
+    return per_key(df.select(*keys, t, *more), keys, [t], fold, ", ".join(f"{c} {types[c]}" for c in (t, *more)))
+
+
+def disjoint(df: DataFrame, keys: list[str], pad, unique: str) -> DataFrame:
+    """keys, start, end: intervals in order of (start, end, unique), each if it begins ``pad`` or more after the end of the last one kept."""
+    types = dict(df.dtypes)
+
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        reach = None
+        for r in rows:
+            if reach is None or r.start >= reach + pad:
+                reach = r.end
+                yield r.start, r.end
+
+    return per_key(df.select(*keys, "start", "end", unique), keys, ["start", "end", unique], fold, f"start {types['start']}, end {types['end']}")
+
+
 @dataclass(frozen=True)
 class CaptionParams:
     gap: float = 0.55

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.values import SECOND, micros
+from weftline.operators import folds
 from weftline.operators import intervals as I
 from weftline.operators import islands as L
 from weftline.operators import nearest as N
@@ -340,16 +341,14 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
     SELECT key, t FROM kept WHERE t IS NOT NULL""")
 def greedy_min_spacing(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).where("label = 'click'").select("key", "start").distinct()
-    return P.spaced(rows, ["key"], "start", ["start"], DAY, 1_000_000).select("key", F.explode("kept").alias("t"))
+    return folds.spaced(rows, ["key"], "start", DAY).select("key", F.col("start").alias("t"))
 
 
 @query(f"""WITH RECURSIVE {TL}, r AS (SELECT key, start, "end", row_number() OVER (PARTITION BY key ORDER BY start, "end", id) AS n FROM tl),
     kept AS (SELECT key, n, start, "end" FROM r WHERE n = 1 UNION ALL SELECT x.key, x.n, x.start, x."end" FROM kept k JOIN r x ON x.key = k.key AND x.n = (SELECT min(y.n) FROM r y WHERE y.key = k.key AND y.n > k.n AND y.start >= k."end" + 2000000))
     SELECT key, start, "end" FROM kept""")
 def greedy_nonoverlap(spark: SparkSession, d: str) -> DataFrame:
-    rows = lasting(spark, d).withColumn("o_start", F.col("start")).withColumn("o_end", F.col("end"))
-    kept = P.disjoint(rows, ["key"], ["o_start", "o_end", "id"], 2 * SECOND, 1_000_000)
-    return kept.select("key", F.explode("kept").alias("k")).select("key", "k.start", "k.end")
+    return folds.disjoint(lasting(spark, d), ["key"], 2 * SECOND, "id")
 
 
 @query(f"""WITH {EV}, c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, id) - 1 AS nth, count(*) OVER (PARTITION BY key) AS n FROM ev)
