@@ -140,7 +140,7 @@ def test_greedy_folds(spark):
     rnd = random.Random(2)
     rows = [(k, rnd.randint(0, 300), rnd.randint(0, 30), i) for i, k in enumerate(rnd.choices(range(3), k=200))]
     df = spark.createDataFrame(rows, "key int, start long, n long, id long").withColumn("end", F.col("start") + F.col("n"))
-    spaced = sorted(tuple(r) for r in folds.spaced(df, ["key"], "start", 20, ["key"]).select("key", "start").collect())
+    spaced = sorted(tuple(r) for r in folds.spaced(df, ["key"], "start", 20).collect())
     disjoint = sorted(tuple(r) for r in folds.disjoint(df, ["key"], 2, "id").collect())
     for key in range(3):
         last, want, kept = None, [], []

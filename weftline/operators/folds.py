@@ -186,33 +186,60 @@ class DuplicateParams:
     ratio: float = 0.88
 
 
+class _Blocks:
+    """Finds the 64-bit hashes within ``near`` bits of one: cut into one block more than that, they agree in a block at least."""
+
+    def __init__(self, near: int):
+        edges = [64 * k // (near + 1) for k in range(near + 2)]
+        self.blocks = [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+        self.found: dict[tuple[int, int], list[int]] = {}
+        self.hashes: list[int] = []
+
+    def add(self, hash_: int) -> int:
+        """The number of a new hash."""
+        n = len(self.hashes)
+        self.hashes.append(hash_)
+        for k, (a, mask) in enumerate(self.blocks):
+            self.found.setdefault((k, hash_ >> a & mask), []).append(n)
+        return n
+
+    def sharing(self, hash_: int) -> list[int]:
+        """Numbers of the hashes that share a block, in order."""
+        return sorted({n for k, (a, mask) in enumerate(self.blocks) for n in self.found.get((k, hash_ >> a & mask), ())})
+
+
 def duplicate_groups(events: DataFrame, keys: list[str], p: DuplicateParams = DuplicateParams()) -> DataFrame:
     """keys, id, leader, group, is_representative: each event joins the best earlier group of its type whose first member is near.
 
     Near: hash within ``strict`` bits, or within ``near`` bits with similar texts. Best: 64 - bits + 20 *
-    ratio, first on ties. The representative is the surest, then longest, then earliest member.
+    ratio, first on ties. The representative is the surest, then longest, then earliest member. Only first members that share a
+    block of the hash are looked at; the widest distance leaves no other near. An event without a hash has hash 0.
     """
 
     def fold(rows: Iterator) -> Iterator[tuple]:
-        leaders: dict[str, list] = {}  # of each type: (number, hash, text, id)
+        widest = max(p.near, p.strict)
+        types: dict[str | None, tuple[_Blocks, list]] = {}  # of each type: the first members' hashes, and (group, text, id)
         made = 0
         for r in rows:
             best, score = None, -1.0
-            own = leaders.setdefault(r.type, [])
-            for first in own:
-                bits = bin((first[1] ^ int(r.hash)) & (2**64 - 1)).count("1")
-                if bits > p.near or 64 - bits + 20 <= score:
+            if r.type not in types:
+                types[r.type] = _Blocks(widest), []
+            blocks, firsts = types[r.type]
+            hash_ = int(r.hash or 0) & (2**64 - 1)
+            for n in blocks.sharing(hash_):
+                bits = (blocks.hashes[n] ^ hash_).bit_count()
+                if bits > widest or 64 - bits + 20 <= score:
                     continue
-                alike = ratio(first[2], r.text)
-                if bits <= p.strict or alike >= p.ratio:
-                    value = 64 - min(bits, 64) + 20 * alike
-                    if value > score:
-                        best, score = first, value
+                least = 0.0 if bits <= p.strict else p.ratio
+                alike = ratio(firsts[n][1], r.text, max(least, (score - 64 + bits) / 20))
+                if (bits <= p.strict or bits <= p.near and alike >= p.ratio) and 64 - bits + 20 * alike > score:
+                    best, score = firsts[n], 64 - bits + 20 * alike
             if best is None:
                 made += 1
-                best = (made, int(r.hash), r.text, r.id)
-                own.append(best)
-            yield r.id, best[3], best[0], r.confidence, len(r.text or ""), float(r.start)
+                best = (made, r.text, r.id)
+                firsts.append(best)
+                blocks.add(hash_)
+            yield r.id, best[2], best[0], r.confidence, len(r.text or ""), float(r.start)
 
     found = per_key(events, keys, ["start", "id"], fold, "id long, leader long, group int, _sure double, _size int, _start double")
     first = F.row_number().over(W.partitionBy(*keys, "group").orderBy(F.desc("_sure"), F.desc("_size"), "_start", "id")) == 1
