@@ -313,32 +313,46 @@ def suppress_boxes(boxes: DataFrame, keys: list[str], most: float = 0.25) -> Dat
     return per_key(boxes, keys, ["t", F.desc("score"), "id"], fold, "id long")
 
 
+class BoxTracks:
+    """Open tracks of boxes, by number: [box, hits, misses]. Boxes of a time match them greedily by overlap."""
+
+    def __init__(self, least: float = 0.35, misses: int = 3, old: float = 0.6):
+        self.least, self.most, self.old = least, misses, old
+        self.tracks: dict[int, list] = {}
+        self.made = 0
+
+    def step(self, found: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        """id, track, hits of the boxes (id, box) of one time, in order; track, hits of the tracks that end with it."""
+        pairs = sorted(((_iou(b, s[0]), -n, -k) for k, (_, b) in enumerate(found) for n, s in self.tracks.items()), reverse=True)
+        used: dict[int, int] = {}
+        for value, n, k in pairs:
+            if value >= self.least and -k not in used and -n not in used.values():
+                used[-k] = -n
+        ended = []
+        for n in [n for n in self.tracks if n not in used.values()]:
+            self.tracks[n][2] += 1
+            if self.tracks[n][2] > self.most:
+                ended.append((n, self.tracks.pop(n)[1]))
+        rows = []
+        for k, (unique, box) in enumerate(found):
+            if k in used:
+                s = self.tracks[used[k]]
+                s[0], s[1], s[2] = self.old * s[0] + (1 - self.old) * box, s[1] + 1, 0
+            else:
+                self.made += 1
+                used[k] = self.made
+                self.tracks[self.made] = [box, 1, 0]
+            rows.append((unique, used[k], self.tracks[used[k]][1]))
+        return rows, ended
+
+
 def track_boxes(boxes: DataFrame, keys: list[str], least: float = 0.35, misses: int = 3, old: float = 0.6) -> DataFrame:
     """keys, id, track, hits: boxes of each time match open tracks greedily by overlap; a track ends after more than ``misses`` misses."""
 
     def fold(rows: Iterator) -> Iterator[tuple]:
-        tracks: dict[int, list] = {}  # number: [box, hits, misses]
-        made = 0
+        tracks = BoxTracks(least, misses, old)
         for _, frame in groupby(rows, key=lambda r: r.t):
-            found = [(r.id, np.array([r.x, r.y, r.w, r.h], float)) for r in frame]
-            pairs = sorted(((_iou(b, s[0]), -n, -k) for k, (_, b) in enumerate(found) for n, s in tracks.items()), reverse=True)
-            used: dict[int, int] = {}
-            for value, n, k in pairs:
-                if value >= least and -k not in used and -n not in used.values():
-                    used[-k] = -n
-            for n in [n for n in tracks if n not in used.values()]:
-                tracks[n][2] += 1
-                if tracks[n][2] > misses:
-                    del tracks[n]
-            for k, (unique, box) in enumerate(found):
-                if k in used:
-                    s = tracks[used[k]]
-                    s[0], s[1], s[2] = old * s[0] + (1 - old) * box, s[1] + 1, 0
-                else:
-                    made += 1
-                    used[k] = made
-                    tracks[made] = [box, 1, 0]
-                yield unique, used[k], tracks[used[k]][1]
+            yield from tracks.step([(r.id, np.array([r.x, r.y, r.w, r.h], float)) for r in frame])[0]
 
     return per_key(boxes, keys, ["t", "id"], fold, "id long, track int, hits int")
 

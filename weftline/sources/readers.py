@@ -89,12 +89,12 @@ def read_audio_events(spark: SparkSession, path: str) -> DataFrame:
     return parse_audio_events(whole_files(spark, path), ["path"], "content").drop("path")
 
 
-def parse_progress(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Progress events of log lines: the JSON after the prefix. Lines with a missing or wrong field are dropped. Works on streams."""
+def parse_progress(lines: DataFrame, line: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and progress events of log lines: the JSON after the prefix. Lines with a missing or wrong field are dropped. Works on streams."""
     at = F.expr(f"locate('{PROGRESS_PREFIX}', {line})")
     body = F.trim(F.expr(f"substring({line}, locate('{PROGRESS_PREFIX}', {line}) + {len(PROGRESS_PREFIX)})"))
     schema = "type string, targeted boolean, " + ", ".join(f"{n} double" for n in PROGRESS_NUMBERS + PROGRESS_OPTIONAL)
-    parsed = lines.where(at > 0).select(body.alias("_body")).where(F.col("_body").startswith("{")).select(F.from_json("_body", schema, {"mode": "PERMISSIVE"}).alias("e")).select("e.*")
+    parsed = lines.where(at > 0).select(*keys, body.alias("_body")).where(F.col("_body").startswith("{")).select(*keys, F.from_json("_body", schema, {"mode": "PERMISSIVE"}).alias("e")).select(*keys, "e.*")
     complete = (F.col("type") == "ocr_progress") & F.col("targeted").isNotNull()
     for n in PROGRESS_NUMBERS:
         complete = complete & finite(F.col(n))
