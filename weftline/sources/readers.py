@@ -108,38 +108,87 @@ def bounds_of(json: Column) -> tuple[Column, Column]:
     return start, end
 
 
-def walk_turns(documents: DataFrame, keys: list[str], json: str) -> DataFrame:
-    """keys, start, end, text of every object at any depth of a JSON document that has a start, an end and a text."""
+#: Names of a turn's fields, the first that is set counts.
+TURN_START = ["start", "start_sec", "from", "begin", "start_time"]
+TURN_END = ["end", "end_sec", "to", "finish", "end_time"]
+TURN_TEXT = ["text", "transcript"]
+
+
+def _children(node: Column) -> Column:
+    """The values in an object or array, none in anything else."""
+    in_object = F.map_values(F.try_variant_get(node, "$", "map<string,variant>"))
+    return F.coalesce(in_object, F.try_variant_get(node, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _field(node: Column, names: list[str]) -> Column:
+    """The first of the fields that is there and not null."""
+    values = [F.try_variant_get(node, f"$.{n}", "variant") for n in names]
+    return F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in values])
+
+
+def _number(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) != "BOOLEAN", F.try_variant_get(value, "$", "double"))
+
+
+def walk_turns(documents: DataFrame, keys: list[str], json: str, depth: int = 12) -> DataFrame:
+    """keys, start, end, text of every object at any depth of a JSON document that has a start, a later end and a text.
+
+    Start and end are finite numbers, or texts of such; the text is trimmed and not empty. Levels down to ``depth`` are opened
+    as VARIANT values by column functions; only documents that are deeper, or that Spark can't parse (such as those
+    with a field twice), go through Python, whole. What no one can parse has no turns, nor has a null.
+    """
+    parsed = documents.select(*keys, F.col(json).alias("_json"), F.try_parse_json(json).alias("_root"))
+    levels = [F.when(F.col("_root").isNull(), F.array().cast("array<variant>")).otherwise(F.array("_root"))]
+    leveled = parsed.withColumn("_0", levels[0])
+    for k in range(depth + 1):
+        leveled = leveled.withColumn(f"_{k + 1}", F.flatten(F.transform(f"_{k}", _children)))
+    hard = (F.col("_root").isNull() & F.col("_json").isNotNull()) | F.exists(f"_{depth + 1}", lambda v: F.size(_children(v)) > 0)
+    nodes = leveled.where(~hard).select(*keys, F.explode(F.concat(*[F.col(f"_{k}") for k in range(depth + 2)])).alias("_node"))
+    text = F.trim(F.regexp_replace(F.when(F.schema_of_variant(_field(F.col("_node"), TURN_TEXT)) == "STRING", F.try_variant_get(_field(F.col("_node"), TURN_TEXT), "$", "string")), r"^\s+|\s+$", ""))
+    found = nodes.select(*keys, _number(_field(F.col("_node"), TURN_START)).alias("start"), _number(_field(F.col("_node"), TURN_END)).alias("end"), text.alias("text"))
+    found = found.where(finite(F.col("start")) & finite(F.col("end")) & (F.col("end") > F.col("start")) & (F.col("text") != ""))
+    types = dict(documents.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), SEGMENTS])
+    return found.unionByName(leveled.where(hard).select(*keys, "_json").mapInPandas(_walk_in_python(keys), schema))
+
+
+def _walk_in_python(keys: list[str]):
+    """The same for documents that column functions don't reach."""
     import json as decoder
     import math
     from collections import deque
 
-    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+    import pandas as pd
 
-    def rows(batches):
-        import pandas as pd
+    def number(x) -> float:
+        if isinstance(x, bool) or not isinstance(x, (int, float, str)):
+            return math.nan
+        try:
+            return float(x)
+        except ValueError:
+            return math.nan
 
+    def rows(batches):
         for frame in batches:
             out = []
-            for row in frame.itertuples(index=False):
-                *own, text = row
+            for *own, text in frame.itertuples(index=False):
                 try:
-                    todo = deque([decoder.loads(text)] if text else [])
-                except ValueError:
+                    todo = deque([decoder.loads(text)])
+                except (ValueError, RecursionError):
                     todo = deque()
                 while todo:
                     node = todo.popleft()
                     if isinstance(node, dict):
-                        a, b, t = node.get("start", node.get("start_time")), node.get("end", node.get("end_time")), node.get("text", node.get("transcript"))
-                        if number(a) and number(b) and isinstance(t, str):
-                            out.append((*own, float(a), float(b), t))
+                        a, b, t = (next((node[n] for n in names if node.get(n) is not None), None) for names in (TURN_START, TURN_END, TURN_TEXT))
+                        a, b, t = number(a), number(b), t.strip() if isinstance(t, str) else ""
+                        if math.isfinite(a) and math.isfinite(b) and b > a and t:
+                            out.append((*own, a, b, t))
                         todo += node.values()
                     elif isinstance(node, list):
                         todo += node
             yield pd.DataFrame(out, columns=[*keys, "start", "end", "text"])
 
-    types = dict(documents.dtypes)
-    return documents.select(*keys, json).mapInPandas(rows, ", ".join([*(f"{k} {types[k]}" for k in keys), SEGMENTS]))
+    return rows
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
