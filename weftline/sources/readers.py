@@ -120,14 +120,9 @@ def _children(node: Column) -> Column:
     return F.coalesce(in_object, F.try_variant_get(node, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _field(node: Column, names: list[str]) -> Column:
+def _field(node: Column, names: list[str], kind: str) -> Column:
     """The first of the fields that is there and not null."""
-    values = [F.try_variant_get(node, f"$.{n}", "variant") for n in names]
-    return F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in values])
-
-
-def _number(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value) != "BOOLEAN", F.try_variant_get(value, "$", "double"))
+    return F.coalesce(*[F.try_variant_get(node, f"$.{n}", kind) for n in names])
 
 
 def walk_turns(documents: DataFrame, keys: list[str], json: str, depth: int = 12) -> DataFrame:
@@ -138,15 +133,17 @@ def walk_turns(documents: DataFrame, keys: list[str], json: str, depth: int = 12
     with a field twice), go through Python, whole. What no one can parse has no turns, nor has a null.
     """
     parsed = documents.select(*keys, F.col(json).alias("_json"), F.try_parse_json(json).alias("_root"))
-    levels = [F.when(F.col("_root").isNull(), F.array().cast("array<variant>")).otherwise(F.array("_root"))]
-    leveled = parsed.withColumn("_0", levels[0])
-    for k in range(depth + 1):
-        leveled = leveled.withColumn(f"_{k + 1}", F.flatten(F.transform(f"_{k}", _children)))
-    hard = (F.col("_root").isNull() & F.col("_json").isNotNull()) | F.exists(f"_{depth + 1}", lambda v: F.size(_children(v)) > 0)
-    nodes = leveled.where(~hard).select(*keys, F.explode(F.concat(*[F.col(f"_{k}") for k in range(depth + 2)])).alias("_node"))
-    text = F.trim(F.regexp_replace(F.when(F.schema_of_variant(_field(F.col("_node"), TURN_TEXT)) == "STRING", F.try_variant_get(_field(F.col("_node"), TURN_TEXT), "$", "string")), r"^\s+|\s+$", ""))
-    found = nodes.select(*keys, _number(_field(F.col("_node"), TURN_START)).alias("start"), _number(_field(F.col("_node"), TURN_END)).alias("end"), text.alias("text"))
-    found = found.where(finite(F.col("start")) & finite(F.col("end")) & (F.col("end") > F.col("start")) & (F.col("text") != ""))
+    top = F.when(F.col("_root").isNull(), F.array().cast("array<variant>")).otherwise(F.array("_root"))
+    below = lambda levels, _: F.array_append(levels, F.flatten(F.transform(F.element_at(levels, -1), _children)))
+    leveled = parsed.withColumn("_levels", F.aggregate(F.sequence(F.lit(0), F.lit(depth)), F.array(top), below))
+    hard = (F.col("_root").isNull() & F.col("_json").isNotNull()) | F.exists(F.element_at("_levels", -1), lambda v: F.size(_children(v)) > 0)
+    number = lambda v, names: _field(v, names, "string").try_cast("double")  # noqa: E731  a truth value is no number as a text
+    objects = F.filter(F.flatten("_levels"), lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
+    spans = F.transform(objects, lambda v: F.struct(number(v, TURN_START).alias("start"), number(v, TURN_END).alias("end"), v.alias("node")))
+    timed = leveled.where(~hard).select(*keys, F.explode(spans).alias("_turn")).select(*keys, "_turn.*").where(finite(F.col("start")) & finite(F.col("end")) & (F.col("end") > F.col("start")))
+    said = F.filter(F.array(*[F.try_variant_get("node", f"$.{n}", "variant") for n in TURN_TEXT]), lambda v: v.isNotNull() & ~F.is_variant_null(v))
+    texts = F.transform(said, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    found = timed.select(*keys, "start", "end", F.regexp_replace(F.get(texts, 0), r"^\s+|\s+$", "").alias("text")).where("text <> ''")
     types = dict(documents.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), SEGMENTS])
     return found.unionByName(leveled.where(hard).select(*keys, "_json").mapInPandas(_walk_in_python(keys), schema))
