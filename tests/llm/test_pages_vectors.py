@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import url_filter
 from weftline.llm.ann import AnnParams, nearest
+from weftline.llm import html_text
 from weftline.llm.html_text import HtmlParams, extract, lines_of, main_text
 from weftline.llm.queries import URL_RULES
 from weftline.llm.url_filter import Rule, Shard, build, judge
@@ -139,6 +140,103 @@ def test_region_matches_brute_force():
         assert main_text(page) == (brute_choice(lines) if any(not x.dead for x in lines) else "")
 
 
+PROSE = [f"Sentence {k} of an article that goes on for a while, with words enough to be read as one, and some more." for k in range(6)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<body><nav><a>Home</a></nav><form id='form1'><div><h1>T</h1>{}</div></form></body>", ["T", *PROSE]),
+        ("<body><form><input name='a'><div>{}<label>Mail</label><button>Go</button></div></form></body>", PROSE),
+        ("<body><h1>Title</h1><div id='content'>{}</div></body>", ["Title", *PROSE]),
+        ("<body><div class='post'><header><h1>Title</h1></header>{}</div></body>", ["Title", *PROSE]),
+        ("<body><header><h1>Site</h1></header><div class='post'><header><h1>Title</h1><p><a>By</a> <a>Me</a></p></header>{}</div></body>", ["Title", *PROSE]),
+        ("<body><article><h1>T</h1>{}<section class='discussion'><h2>Discussion</h2>{}</section></article></body>", ["T", *PROSE, "Discussion", *PROSE]),
+        ("<body><article>{}<div class='related-work'><h2>Related work</h2>{}</div></article></body>", [*PROSE, "Related work", *PROSE]),
+        ("<body><article>{}<div class='related'><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul></div></article></body>", PROSE),
+        ("<body><article>{}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article></body>", [*PROSE, "Let x=2 here."]),
+        ("<body><article>{}</article><article><p>A short one, but an article.</p></article></body>", [*PROSE, "A short one, but an article."]),
+        ("<body><article>{}</article><section class='comments'><article class='comment'><p>A comment that is as long as the lines of the article, if not longer than them.</p></article></section></body>", PROSE),
+        ("<body><aside>{}</aside><div>{}{}</div></body>", PROSE * 2),
+        ("<body><div class='banner'><p>One sentence.</p></div></body>", ["One sentence."]),
+        ("<body><div class='no-sidebar'><p>One sentence.</p></div></body>", ["One sentence."]),
+        ("<body><div>{}<form class='newsletter'><p>Leave us your mail address, we write each week and never more often.</p><input><button>Go</button></form></div></body>", PROSE),
+    ],
+)
+def test_no_name_or_length_loses_an_article(page, wanted):
+    assert main_text(page.replace("{}", PARAGRAPHS)) == "\n".join(wanted)
+
+
+def plain_extract(html):
+    """The whole extraction of well-formed pages once more: a tree, then loops over its blocks."""
+    import xml.etree.ElementTree as ET
+
+    lines = []
+
+    def walk(node, path, zone, marks, dead, title):
+        words = set((node.get("class") or "").split())
+        dead = dead or node.tag in {"nav", "footer", "script", "button", "label"} or node.tag == "header" and zone == 0 and len(path) < 2
+        if node.tag == "aside" or words & {"ad", "sidebar", "comments"}:
+            marks = (*marks, ("named", id(node)))
+        elif words & {"related", "notice"} or node.tag == "form" or node.tag == "header" and zone == 0:
+            marks = (*marks, ("doubt", id(node)))
+        if node.tag in {"article", "main"} and not dead and (node.tag == "article" or not zone):
+            zone = id(node)
+        path = (*path, id(node)) if node.tag in {"body", "div", "section", "article", "main"} else path
+        title = title or node.tag == "h1"
+        state["tags"] += node.tag != "html"
+        take(node.text, path, zone, marks, dead, title)
+        for child in node:
+            block = child.tag not in {"a", "b"}
+            if block:
+                end()
+            walk(child, path, zone, marks, dead, title)
+            if block:
+                end()
+            state["tags"] += 1
+            take(child.tail, path, zone, marks, dead, title)
+
+    state = {"tags": 0, "text": "", "where": None}
+
+    def take(text, *where):
+        state["text"] += text or ""
+        state["where"] = where
+
+    def end():
+        text = " ".join(state["text"].split())
+        if text:
+            lines.append([text, state["tags"], *state["where"]])
+            state["tags"] = 0
+        state["text"] = ""
+
+    walk(ET.fromstring(html), (), 0, (), False, False)
+    end()
+    return lines
+
+
+def test_lines_match_a_tree():
+    """Texts, tags and titles of the lines of random well-formed pages, against a walk over their tree."""
+    r = random.Random(3)
+
+    def block(depth):
+        kind = r.choice(["p", "p", "h1", "h2", "li"] if depth == 0 else ["div", "section", "article", "main", "form", "aside", "header", "nav", "p", "ul"])
+        mark = r.choice(["", "", " class='ad'", " class='x y'", " class='related'"])
+        if kind in ("p", "h1", "h2", "li") or depth == 0:
+            return f"<{kind}{mark}>{' '.join(r.choice(['word', '<a>link</a>', '<b>bold</b> end', 'more  words']) for _ in range(r.randrange(1, 8)))}</{kind}>"
+        return f"<{kind}{mark}>{''.join(block(depth - 1) for _ in range(r.randrange(1, 4)))}</{kind}>"
+
+    for _ in range(200):
+        page = f"<html><body>{''.join(block(r.randrange(0, 4)) for _ in range(r.randrange(1, 6)))}</body></html>"
+        reader = html_text.LineReader()
+        reader.feed(page)
+        reader.close()
+        reader.flush()
+        want = plain_extract(page)
+        assert [x.text for x in reader.lines] == [x[0] for x in want]
+        assert [x.title for x in reader.lines] == [x[6] for x in want]
+
+
 def test_pages_with_nothing():
     for html in (None, "", "   ", "<nav>Menu</nav>", "<script>x</script>", "<p></p>", "<!-- c -->"):
         assert main_text(html) == ""

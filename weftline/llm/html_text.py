@@ -1,13 +1,16 @@
 """The main text of web pages, from the event stream of the standard library's HTML parser.
 
-The events of a page become lines: one for each block, with its text and the number of tags in it.
-Lines inside elements that never hold article text (menus, forms, scripts ...) are dead. Names of
-classes and ids are only hints (adverts, comments, sidebars ...): an element with such a name is dead too,
-unless it holds most of the page's text and a heading, an article or a main element that has no such
-name itself, as the wrapper of a whole page does (an article or main element counts as its own). The text-to-tag ratio of the lines, dead ones counting zero, is
-smoothed with a Gaussian and split by a threshold between its low and its high cluster; the lines of
-the high cluster say which region of the page is content, and all living lines of that region are its
-text (so headings and short list items of an article aren't lost, whose own ratio is low).
+The events of a page become lines: one for each block, with its text and the number of tags in it. Lines inside elements that never
+hold article text (menus, scripts, controls of forms ...) are dead. The text-to-tag ratio of the lines, dead ones counting zero, is
+smoothed with a Gaussian and split by a threshold between its low and its high cluster; the lines of the high cluster say which
+region of the page is content, and all living lines of that region are its text (so headings and short list items of an article
+aren't lost, whose own ratio is low). The heading of the first level nearest above belongs to a region that has none.
+
+Names of classes and ids, and forms and headers around text, are hints; the ratio decides. A doubtful block (a form, a header, a notice,
+related or shared things) lives if its own ratio reaches the threshold of the page or if it holds most of the high cluster. A block whose name
+says what it is (adverts, comments, sidebars ...) is dead, unless it wraps the page: it holds most of the text and a heading of the
+first level, an article or a main element without such a name. If nothing would be left of a page, the names around most
+of its text say nothing. No length decides whether text stays.
 """
 
 from __future__ import annotations
@@ -25,38 +28,42 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class HtmlParams:
-    """sigma: width of the smoothing, in lines. zone_share: least share of the largest article's
-    content that another article on the page needs. wrapper: share of the page's text from which a
-    hinted element is a wrapper. alone: characters of a page from which it has content even if all of it
-    stands in hinted elements. chunk: characters given to the parser at once."""
+    """sigma: width of the smoothing, in lines. chunk: characters given to the parser at once."""
 
     sigma: float = 1.5
-    zone_share: float = 0.1
-    wrapper: float = 0.5
-    alone: int = 250
     chunk: int = 1 << 16
 
 
 # Names of HTML elements and attributes, and words that mark what isn't article text.
-BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template tfoot th thead"
-    " title tr ul".split()
-)
-SECTIONS = frozenset("article body div main section table td".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DEAD = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend math menu nav noscript object optgroup option"
-    " script select style svg template textarea title video".split()
-)
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div",
+    "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
+    "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "noscript",
+    "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "template",
+    "tfoot", "th", "thead", "title", "tr", "ul",
+}
+SECTIONS = {"article", "body", "div", "main", "section", "table", "td"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+DEAD = {
+    "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "head", "iframe", "input", "label", "legend",
+    "menu", "nav", "noscript", "object", "optgroup", "option", "script", "select", "style", "svg", "template", "textarea",
+    "title", "video",
+}
+#: Elements that may hold an article or not.
+DOUBTFUL = {"fieldset", "form", "header"}
 CLOSES_P = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
-DEAD_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr nav navbar"
-    " navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus discussion replies reply respond newsletter subscribe"
-    " subscription signup login share sharing social related recommended recommendations popup modal overlay notice notices alert alerts widget pagination pager toolbar"
-    " skip skiplink paywall rail".split()
-)
-DEAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Words that say what a block is, and words that an article may use of itself.
+NAMED = {
+    "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
+    "cookie", "cookies", "consent", "gdpr", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer",
+    "masthead", "comment", "comments", "disqus", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "pagination",
+    "pager", "skip", "skiplink", "paywall",
+}
+DOUBTFUL_WORDS = {
+    "banner", "discussion", "replies", "reply", "respond", "share", "sharing", "social", "related", "recommended", "recommendations", "overlay",
+    "notice", "notices", "alert", "alerts", "widget", "toolbar", "rail",
+}
+DEAD_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "menu", "menubar", "navigation", "search"}
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -64,8 +71,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 #: What an open element does with its text: a dead block still makes lines, a dead inline element only drops its text.
 DEAD_LINE, MUTE = 1, 2
-#: What attributes say of an element.
-NOTHING, HINT, CERTAIN = 0, 1, 2
+#: What is said of an element.
+NOTHING, DOUBT, HINT, CERTAIN = 0, 1, 2, 3
 _OUTSIDE: tuple[str, int, int, tuple[int, ...], tuple[int, ...]] = ("", 0, 0, (), ())
 
 
@@ -77,14 +84,16 @@ class Line:
     dead: bool
     path: tuple[int, ...]
     hints: tuple[int, ...]
+    title: bool = False
 
 
 class LineReader(HTMLParser):
     """Collects lines from parser events; keeps a stack of open elements as (name, dead, zone, path, hints).
 
     zone numbers the article or main element around, path the sections around, from the outermost on,
-    and hints the blocks around whose names hint at something else than an article. ``holders`` has the
-    hinted blocks that hold a heading of the first level, an article or a main element without such a name.
+    and hints the blocks around that may be something else than an article. ``doubtful`` has those of which the ratio decides,
+    ``holders`` those that hold a heading of the first level, an article or a main element without such a name. ``around`` has the path
+    around each zone.
     """
 
     def __init__(self) -> None:
@@ -93,13 +102,15 @@ class LineReader(HTMLParser):
         self.open: list[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]] = []
         self.held: list[str] = []
         self.holders: set[int] = set()
+        self.doubtful: set[int] = set()
+        self.around: dict[int, tuple[int, ...]] = {}
         self.tags = self.zones = self.sections = self.hinted = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
             _, dead, zone, path, hints = self.open[-1] if self.open else _OUTSIDE
-            self.lines.append(Line(text, self.tags, zone, bool(dead), path, hints))
+            self.lines.append(Line(text, self.tags, zone, bool(dead), path, hints, any(x[0] == "h1" for x in self.open)))
             self.tags = 0
         self.held = []
 
@@ -118,22 +129,26 @@ class LineReader(HTMLParser):
         if tag in VOID:
             return
         said = self.marked(tag, attrs)
-        if tag in ("article", "main") and not said:
+        if tag in ("article", "main") and said < HINT:
             while self.open and self.open[-1][1]:  # an element that was never closed
                 self.open.pop()
         _, dead, zone, path, hints = self.open[-1] if self.open else _OUTSIDE
-        if tag in ("article", "main", "h1") and not dead and not said:
+        if tag in ("article", "main", "h1") and not dead and said < HINT:
             self.holders.update(hints)
-        if not dead and (tag in DEAD or (tag == "header" and not zone) or said == CERTAIN or (said == HINT and tag not in BLOCKS)):
+        page_header = tag == "header" and not zone and len(path) < 2
+        if not dead and (tag in DEAD or page_header or said == CERTAIN or (said == HINT and tag not in BLOCKS)):
             dead = DEAD_LINE if tag in BLOCKS else MUTE
-        elif said == HINT:
+        elif said == HINT or tag in BLOCKS and (said == DOUBT or tag in DOUBTFUL and not (tag == "header" and zone)):
             self.hinted += 1
             hints = (*hints, self.hinted)
+            if said < HINT:
+                self.doubtful.add(self.hinted)
             if tag in ("article", "main"):
                 self.holders.add(self.hinted)
         if tag in ("article", "main") and not dead and (tag == "article" or not zone):
             self.zones += 1
             zone = self.zones
+            self.around[zone] = path
         if tag in SECTIONS:
             self.sections += 1
             path = (*path, self.sections)
@@ -169,7 +184,7 @@ class LineReader(HTMLParser):
         """Whether attributes say that this isn't article text. A name made of several words is no hint at an inline element."""
         if tag in ("html", "body"):
             return NOTHING
-        found = NOTHING
+        found = HINT if tag == "aside" else NOTHING
         for name, value in attrs:
             value = value or ""
             if name == "role" and value.strip().lower() in DEAD_ROLES:
@@ -178,12 +193,20 @@ class LineReader(HTMLParser):
                 return CERTAIN
             if name in ("class", "id"):
                 words = _WORDS.findall(_CAMEL.sub(" ", value).lower()) if tag in BLOCKS else value.lower().split()
-                if not DEAD_WORDS.isdisjoint(words):
+                if not NAMED.isdisjoint(words):
                     found = HINT
+                elif not DOUBTFUL_WORDS.isdisjoint(words):
+                    found = max(found, DOUBT)
         return found
 
 
 def lines_of(html: str, p: HtmlParams) -> list[Line]:
+    """The lines of a page, of which those that can't be text are dead."""
+    return read(html, p)[0]
+
+
+def read(html: str, p: HtmlParams) -> tuple[list[Line], dict[int, tuple[int, ...]]]:
+    """The lines, and the path around each article or main element."""
     reader = LineReader()
     for at in range(0, len(html), p.chunk):
         reader.feed(html[at : at + p.chunk])
@@ -191,19 +214,40 @@ def lines_of(html: str, p: HtmlParams) -> list[Line]:
     reader.flush()
     lines = reader.lines
     living = [x for x in lines if not x.dead]
+    named = lambda x: [k for k in x.hints if k not in reader.doubtful]
 
-    plain = [x for x in living if reader.holders.issuperset(x.hints)]
-    inside, own = Counter[int](), Counter[tuple[int, ...]]()
+    plain = [x for x in living if reader.holders.issuperset(named(x))]
+    inside = Counter[int]()
     for x in plain:
-        inside.update(dict.fromkeys(x.hints, len(x.text)))
-    wrappers = {k for k, n in inside.items() if n > p.wrapper * sum(len(x.text) for x in plain)}
-    if all(not wrappers.issuperset(x.hints) for x in living) and sum(len(x.text) for x in living) >= p.alone:
-        for x in living:  # nothing would be left of a page full of text: the names around most of it say nothing
-            own[x.hints] += len(x.text)
+        inside.update(dict.fromkeys(named(x), len(x.text)))
+    wrappers = {k for k, n in inside.items() if 2 * n > sum(len(x.text) for x in plain)}
+    if living and all(not wrappers.issuperset(named(x)) for x in living):
+        own = Counter[tuple[int, ...]]()
+        for x in living:  # nothing would be left of the page: the names around most of it say nothing
+            own[tuple(named(x))] += len(x.text)
         wrappers = set(max(own, key=lambda hints: (own[hints], hints)))
     for x in lines:
-        x.dead = x.dead or not wrappers.issuperset(x.hints)
-    return lines
+        x.dead = x.dead or not wrappers.issuperset(named(x))
+
+    doubtful = {k for x in lines if not x.dead for k in x.hints} & reader.doubtful
+    if doubtful:
+        level, border = levels(lines, p)
+        high = [x for x, v in zip(lines, level, strict=True) if not x.dead and v >= border]
+        for k in doubtful:
+            own = [x for x in lines if not x.dead and k in x.hints]
+            ratio = sum(len(x.text) for x in own) / max(1, sum(x.tags for x in own))
+            if ratio >= border or 2 * sum(len(x.text) for x in high if k in x.hints) > sum(len(x.text) for x in high):
+                doubtful = doubtful - {k}
+        for x in lines:
+            x.dead = x.dead or not x.title and not doubtful.isdisjoint(x.hints)
+    return lines, reader.around
+
+
+def levels(lines: list[Line], p: HtmlParams) -> tuple[np.ndarray, float]:
+    """The smoothed ratio of each line, and where the high cluster begins (at most at the highest living line)."""
+    ratio = np.array([0.0 if x.dead else len(x.text) / max(1, x.tags) for x in lines])
+    level = smooth(ratio, p.sigma)
+    return level, min(threshold(level), level[[not x.dead for x in lines]].max())
 
 
 def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
@@ -229,30 +273,33 @@ def threshold(values: np.ndarray) -> float:
 
 
 def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
-    lines = lines_of(html or "", p)
+    lines, around = read(html or "", p)
     if not any(not x.dead for x in lines):
         return ""
-    ratio = np.array([0.0 if x.dead else len(x.text) / max(1, x.tags) for x in lines])
-    level = smooth(ratio, p.sigma)
+    level, border = levels(lines, p)
     alive = np.array([not x.dead for x in lines])
-    content = alive & (level >= min(threshold(level), level[alive].max()))
-    size = np.array([len(x.text) for x in lines])
+    content = alive & (level >= border)
     zone = np.array([x.zone for x in lines])
-    zones = {z: int(size[alive & (zone == z)].sum()) for z in set(zone[content]) if z}
-    if zones:
-        least = p.zone_share * max(zones.values())
-        keep = alive & np.isin(zone, [z for z, n in zones.items() if n >= least])
+    zones = {z for z in zone[content] if z}
+    if zones:  # and the articles beside them
+        beside = {around[z] for z in zones}
+        zones = {z for z, path in around.items() if path in beside}
+        keep = alive & np.isin(zone, list(zones))
     else:
         paths = [lines[k].path for k in np.flatnonzero(content)]
         depth = next((k for k, ids in enumerate(zip(*paths, strict=False)) if len(set(ids)) > 1), min(map(len, paths)))
         keep = alive & np.array([x.path[:depth] == paths[0][:depth] for x in lines])
+    titles = np.array([x.title for x in lines])
+    if not (keep & titles).any():  # the nearest heading above
+        keep[np.flatnonzero(alive & titles & (np.arange(len(lines)) < keep.argmax()))[-1:]] = True
     return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
-    The text has a line for each block, white space inside it turned into single spaces. A null or
+    Controls of forms, labels and buttons are never text; a form around prose is. Of blocks with equally much text the later one
+    counts as the larger. The text has a line for each block, white space inside it turned into single spaces. A null or
     empty page, and one with nothing but menus and the like, gives an empty text. Nulls in page_id
     and url stay; repeated rows give repeated results; other columns are not read. Pages of any length are
     read whole. An empty table gives an empty result.
