@@ -447,6 +447,37 @@ def hysteresis(samples: DataFrame, keys: list[str], p: GateParams = GateParams()
     return per_key(samples, keys, ["t"], fold, f"t {dict(samples.dtypes)['t']}, selected boolean, forced boolean")
 
 
+@dataclass(frozen=True)
+class RegionParams:
+    """threshold: least score of a region, less ``cut_boost`` in a sample with a cut and times ``relax`` if it was taken in the sample before.
+    probe_every: each n-th sample takes its best region if it would take none. most: regions of a sample."""
+
+    threshold: float = 0.5
+    cut_boost: float = 0.1
+    relax: float = 0.7
+    probe_every: int = 10
+    most: int = 2
+
+
+def region_gate(samples: DataFrame, keys: list[str], p: RegionParams = RegionParams()) -> DataFrame:
+    """keys, t, region, forced of the regions taken from each sample (t, region, score, cut): the best ones above a threshold that is lower while
+    a region is taken. Of equal scores the first region by name goes first."""
+
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        before: set[str] = set()
+        for k, (t, frame) in enumerate(groupby(rows, key=lambda r: r.t), 1):
+            regions = list(frame)
+            least = max(0.0, p.threshold - (p.cut_boost if any(r.cut for r in regions) else 0.0))
+            taken = [r for r in regions if r.score >= (least * p.relax if r.region in before else least)]
+            forced = not taken and k % p.probe_every == 0
+            taken = sorted(regions if forced else taken, key=lambda r: (-r.score, r.region))[: 1 if forced else p.most]
+            before = {r.region for r in taken}
+            for r in sorted(taken, key=lambda r: r.region):
+                yield t, r.region, forced
+
+    return per_key(samples, keys, ["t", "region"], fold, f"t {dict(samples.dtypes)['t']}, region string, forced boolean")
+
+
 @dataclass(frozen=True)
 class RescueParams:
     bucket: float = 300.0

@@ -7,6 +7,7 @@ Times are seconds.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.values import clamp, finite
-from weftline.operators.intervals import around, interval_join, label_seconds, touches
+from weftline.operators.intervals import around, interval_join, label_seconds, locate, touches
 from weftline.operators.selection import spaced
 
 # Section types, older names of them, words in titles, and patterns of cues with their weights.
@@ -477,6 +478,57 @@ def chain_starts(turns: DataFrame, asked: DataFrame, keys: list[str], back: floa
     return asked.join(near.select(*own, "guess", walked.alias("start")), [*own, "guess"], "left").withColumn("start", F.coalesce("start", "guess"))
 
 
+def chain_ends(turns: DataFrame, asked: DataFrame, keys: list[str], back: float = 40.0, ahead: float = 120.0, width: float = 160.0) -> DataFrame:
+    """asked (keys, speaker, guess) with ``end``: that of the chain that leads on from the speaker's turn at the guess, else from the last one that
+    ends before it, else from the first one near it.
+
+    Only turns from ``back`` before the guess to ``ahead`` after it count; without any the guess stays.
+    """
+    own = [*keys, "speaker"]
+    frames = asked.select(*own, "guess", (F.col("guess") - back).alias("start"), (F.col("guess") + ahead).alias("end"))
+    right = chains(turns, keys).select(*own, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("id").alias("_rid"), "chain")
+    pairs = interval_join(frames, right, own, width, touches)
+    g, a, b = F.col("guess"), F.col("r_start"), F.col("r_end")
+    kind = F.when((a <= g) & (b >= g), 0).when(b <= g, 1).otherwise(2)
+    anchor = F.min(F.struct(kind.alias("kind"), F.when(kind == 1, -a).otherwise(a).alias("order"), F.when(kind == 1, -F.col("_rid")).otherwise(F.col("_rid")).alias("tie"), a.alias("at"), F.col("chain").alias("chain")))
+    near = pairs.groupBy(*own, "guess").agg(anchor.alias("_a"), F.collect_list(F.struct(a.alias("at"), F.col("_rid").alias("rid"), b.alias("end"), "chain")).alias("_near"))
+    walked = F.array_max(F.filter("_near", lambda x: (x["chain"] == F.col("_a.chain")) & (x["at"] >= F.col("_a.at"))))
+    return asked.join(near.select(*own, "guess", walked["end"].alias("end")), [*own, "guess"], "left").withColumn("end", F.coalesce("end", "guess"))
+
+
+def paragraph_sections(paragraphs: DataFrame, sections: DataFrame, keys: list[str], none: str = "Sin capítulo") -> DataFrame:
+    """paragraphs (keys, island, start, ...) with section (the index of the one that holds their start, else of the nearest) and its title.
+
+    sections have keys, index, start, end, title and don't overlap; a key without any has no section and the title ``none``.
+    """
+    points = paragraphs.select(*keys, F.col("island").alias("id"), F.col("start").alias("t"))
+    found = locate(points, sections, keys).select(*keys, F.col("id").alias("island"), F.col("index").alias("section"))
+    titles = sections.select(*keys, F.col("index").alias("section"), F.col("title").alias("section_title"))
+    return paragraphs.join(found, [*keys, "island"], "left").join(titles, [*keys, "section"], "left").withColumn("section_title", F.coalesce("section_title", F.lit(none)))
+
+
+@dataclass(frozen=True)
+class TextGates:
+    """Least shares of letters, of letters and digits, most of symbols; least confidence and number of samples, and a confidence that needs no more."""
+
+    alpha: float = 0.5
+    alnum: float = 0.6
+    symbols: float = 0.2
+    confidence: float = 0.5
+    samples: int = 2
+    sure: float = 0.8
+
+
+def fused_segments(tracks: DataFrame, fused: DataFrame, keys: list[str], p: TextGates = TextGates()) -> DataFrame:
+    """keys, track_key, region, start, end, text, type, confidence of the tracks (keys, track_key, region, start, end) whose fused text (keys, track_key,
+    text, confidence, n, start, end) passes the gates; a segment reaches as far as track and text both do."""
+    right = fused.select(*keys, "track_key", T.tidy(F.col("text")).alias("text"), "confidence", "n", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    text, sure = F.col("text"), F.col("confidence") >= p.sure
+    clear = (T.alpha_ratio(text) >= p.alpha) & (T.alnum_ratio(text) >= p.alnum) & (T.symbol_ratio(text) <= p.symbols)
+    rows = tracks.join(right, [*keys, "track_key"]).where((text != "") & clear & ((F.col("n") >= p.samples) | sure) & ((F.col("confidence") >= p.confidence) | sure))
+    return rows.select(*keys, "track_key", "region", F.greatest("start", "_start").alias("start"), F.least("end", "_end").alias("end"), "text", T.on_screen_type(text, F.col("region")).alias("type"), "confidence")
+
+
 # --- groups and summaries ---------------------------------------------------------------------------
 
 

@@ -12,6 +12,13 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def head_and_tail(df: DataFrame, keys: list[str], order: list[str], head: int, tail: int) -> DataFrame:
+    """The first ``head`` and the last ``tail`` rows of each key in the order (which ends with a unique column), each once; adds ``place``, from 1."""
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    last = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return df.withColumn("place", first).withColumn("_last", last).where((F.col("place") <= head) | (F.col("_last") <= tail)).drop("_last")
+
+
 def budget(df: DataFrame, keys: list[str], bucket: str, priority: str, unique: str, per_bucket: int, most: int) -> DataFrame:
     """At most ``most`` rows per key: the best ``per_bucket`` of each bucket first, strongest buckets first, then the best of the rest.
 

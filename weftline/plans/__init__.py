@@ -1,4 +1,4 @@
 """Registered queries and the SQL that says the same."""
 
-from weftline.plans import camera, checks, entities, records, sections, texts, timeline  # noqa: F401
+from weftline.plans import camera, checks, entities, passages, records, sections, texts, timeline  # noqa: F401
 from weftline.plans.registry import QUERIES, SQL  # noqa: F401
