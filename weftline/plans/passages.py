@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators import bounds as B
 from weftline.operators import folds
 from weftline.operators import islands as L
 from weftline.operators import sections as O
@@ -137,3 +139,20 @@ def best_identities(spark: SparkSession, d: str) -> DataFrame:
     kept = P.top(faces, ["key", "frame"], [F.desc("cents"), F.asc("id")], 3)
     scores = kept.groupBy("key", "identity").agg(F.sum("cents").alias("score"), F.count("*").alias("n"))
     return P.top(scores, ["key"], [F.desc("score"), F.asc("identity")], 3)
+
+
+@query(None)
+def talk_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """From segments to bounds: conversations as recordings, their roles as voices, what they say as sounds and slides."""
+    rows = spoken(spark, d)
+    text = F.lower("text")
+    sings = text.rlike("cantar|himno|alabar")
+    voice = F.when(sings, "music").when(F.col("speaker") == "user", "male").otherwise("female")
+    sounds = rows.select("key", voice.alias("label"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    next_start = F.lead("start").over(W.partitionBy("key").orderBy("start", "id"))
+    pauses = rows.select("key", F.lit("noenergy").alias("label"), F.col("end").alias("r_start"), next_start.alias("r_end")).where("r_end > r_start")
+    sounds = sounds.unionByName(pauses)
+    kind = F.when(sings, "song_lyric").when(text.rlike("mensaje|tema"), "sermon_title").when(text.contains("biblias"), "bible_verse").otherwise("on_screen_text")
+    slides = rows.select("key", kind.alias("type"), "text", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    ends = rows.groupBy("key").agg((F.max("end") * 0.3).alias("guess_start"), (F.max("end") * 0.8).alias("guess_end"), F.max_by("speaker", "start").alias("start_speaker"), F.min_by("speaker", "start").alias("end_speaker"))
+    return B.talk_bounds(rows, sounds, slides, rows.select("key", "id", "start", "end", "speaker"), ends, ["key"])
