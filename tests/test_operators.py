@@ -198,3 +198,25 @@ def test_readers_and_writers(spark, tmp_path):
     assert tuples(readers.walk_turns(deep, ["key"], "j"), "key", "start", "end", "text") == [(1, 1.0, 2.0, "x"), (1, 3.0, 4.0, "y")]
     sections = spark.createDataFrame([(1, 1, 0.0, 5.0, "A", "x")], "key int, id int, start double, end double, title string, text string")
     assert writers.to_markdown(sections, ["key"]).first().content == "## A (00:00:00 - 00:00:05)\n\nx"
+
+
+def test_speaker_bounds_match_a_full_comparison(spark):
+    """Turns of one speaker that overlap, enclose each other or tie."""
+    import random
+
+    from weftline.operators import sections
+
+    rnd = random.Random(6)
+    turns = [(k, s, float(a), float(a + rnd.choice([0, 1, 5, 30]))) for k in range(3) for s in "ab" for a in rnd.sample(range(100), 12)]
+    asked = [(k, s, float(rnd.randint(-5, 140)), float(rnd.randint(-5, 140))) for k in range(4) for s in "abc" for _ in range(10)]
+    asked = sorted(set(asked))
+    df = spark.createDataFrame(turns, "key int, speaker string, start double, end double")
+    got = sections.speaker_bounds(df, spark.createDataFrame(asked, "key int, speaker string, around_start double, around_end double"), ["key"]).collect()
+    want = set()
+    for k, s, a, b in asked:
+        own = [(x, y) for q, w, x, y in turns if (q, w) == (k, s)]
+        if own:
+            start = min(own, key=lambda t: (not t[0] <= a <= t[1], 0.0 if t[0] <= a <= t[1] else abs(t[0] - a), t))[0]
+            end = min(own, key=lambda t: (not t[0] <= b <= t[1], 0.0 if t[0] <= b <= t[1] else abs(t[1] - b), t))[1]
+            want.add((k, s, a, b, start, end))
+    assert {(r.key, r.speaker, r.around_start, r.around_end, r.start, r.end) for r in got} == want and len(got) == len(want)

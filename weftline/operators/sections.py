@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.functions.values import clamp, finite
 from weftline.operators.intervals import around, interval_join, label_seconds, locate, touches
+from weftline.operators.nearest import as_of, nearest
 from weftline.operators.selection import spaced
 
 # Section types, older names of them, words in titles, and patterns of cues with their weights.
@@ -440,12 +441,23 @@ def pick_faces(faces: DataFrame, keys: list[str], t: str, margin: float = 0.06,
 
 
 def speaker_bounds(turns: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """asked (keys, speaker, around_start, around_end) with start and end of the speaker's turns that hold those times, else of the nearest ones."""
-    a, b = F.col("around_start"), F.col("around_end")
-    rows = turns.select(*keys, "speaker", "start", "end").join(asked, [*keys, "speaker"])
-    holds = lambda t: (F.col("start") <= t) & (F.col("end") >= t)
-    rank = lambda t, c: F.struct(F.when(holds(t), 0).otherwise(1), F.when(holds(t), F.lit(0.0)).otherwise(F.abs(F.col(c) - t)), "start", "end")
-    return rows.groupBy(*asked.columns).agg(F.min_by("start", rank(a, "start")).alias("start"), F.min_by("end", rank(b, "end")).alias("end"))
+    """asked (keys, speaker, around_start, around_end) with start and end of the speaker's turns that hold those times, else of the nearest ones.
+
+    Of turns that hold a time the earliest counts: the first one in order of its end among those that end later than all before them. So
+    as-of joins do, and no question meets all turns of its speaker.
+    """
+    own = [*keys, "speaker"]
+    rows = turns.select(*own, "start", "end")
+    order = W.partitionBy(*own).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    latest = rows.withColumn("_reach", reach).where("_reach is null or end > _reach").select(*own, F.col("start").alias("held_start"), F.col("end").alias("held_end"))
+    out = asked
+    for name, side in (("around_start", "start"), ("around_end", "end")):
+        out = as_of(out, latest, own, name, "held_end", ["held_start", "held_end"], forward=True, prefix="_")
+        out = nearest(out, rows.select(*own, F.col(side).alias("_side")), own, name, "_side", "_near")
+        held = F.col("_held_start") <= F.col(name)
+        out = out.withColumn(side, F.when(held, F.col(f"_held_{side}")).otherwise(F.col("_near"))).drop("_held_start", "_held_end", "_near")
+    return out.where("start is not null")
 
 
 def chains(turns: DataFrame, keys: list[str], gap: float = 1.5, pad: float = 0.2, least: float = 0.35, width: float = 30.0) -> DataFrame:
