@@ -220,3 +220,23 @@ def test_speaker_bounds_match_a_full_comparison(spark):
             end = min(own, key=lambda t: (not t[0] <= b <= t[1], 0.0 if t[0] <= b <= t[1] else abs(t[1] - b), t))[1]
             want.add((k, s, a, b, start, end))
     assert {(r.key, r.speaker, r.around_start, r.around_end, r.start, r.end) for r in got} == want and len(got) == len(want)
+
+
+def test_fingerprints_of_files(spark, tmp_path):
+    import os
+
+    from weftline.sources import readers
+
+    (tmp_path / "a b.bin").write_bytes(b"x" * 17)
+    os.utime(tmp_path / "a b.bin", (1_700_000_000.9, 1_700_000_000.9))
+    (row,) = readers.file_fingerprints(spark, str(tmp_path)).collect()
+    assert row.fingerprint.endswith(":17:1700000000") and row.fingerprint.split(":")[0] in ("a b.bin", "a%20b.bin")
+
+
+def test_regions_are_forced_and_relaxed(spark):
+    from weftline.operators import folds
+
+    p = folds.RegionParams(threshold=0.5, cut_boost=0.1, relax=0.5, probe_every=3, most=1)
+    rows = [(1, 1, "a", 0.6, False), (1, 1, "b", 0.7, False), (1, 2, "a", 0.3, False), (1, 2, "b", 0.3, False), (1, 3, "a", 0.1, False), (1, 3, "b", 0.1, False), (1, 4, "a", 0.45, True), (1, 5, "a", 0.1, False), (1, 6, "a", 0.2, False)]
+    got = folds.region_gate(spark.createDataFrame(rows, "key int, t int, region string, score double, cut boolean"), ["key"], p).orderBy("t").collect()
+    assert [(r.t, r.region, r.forced) for r in got] == [(1, "b", False), (2, "b", False), (3, "a", True), (4, "a", False), (6, "a", True)]
