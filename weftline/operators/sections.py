@@ -379,6 +379,64 @@ def split_before_sermon(sections: DataFrame, segments: DataFrame, keys: list[str
     return _parts(df, F.when(here & fits, two).when(here & whole, F.array(intro(c("start")))).otherwise(same)).drop("cut", "noted")
 
 
+#: What begins a sermon, and what is prayer and song before it.
+PRELUDE_INTRO = r"abran? (?:sus )?biblias|mensaje de hoy|tema de hoy|hoy quiero|quiero compartir|la biblia|vers[íi]culo|cap[íi]tulo"
+PRELUDE_PRAYER = r"oremos|oraci[oó]n|inclinemos|inclinar.*rostro|arrodill|en el nombre de (?:tu hijo )?cristo jes[uú]s|te lo pedimos|am[eé]n"
+PRELUDE_WORSHIP = r"vamos a cantar|cantemos|equipo de alabanza|alabemos|worship|himno|coro|reproclamamos|en lo alto est[aá]s"
+
+
+def split_prelude(sections: DataFrame, segments: DataFrame, keys: list[str], width: float = 120.0) -> DataFrame:
+    """Sermons that begin with song or prayer become two at the first text that begins the sermon.
+
+    That is for sermons of 120 seconds and six texts or more, with 25 seconds before and 90 after the cut, two texts or more before it and
+    a quarter of them (a text that is both counts twice) song or prayer.
+    """
+    c = F.col
+    right = segments.select(*keys, c("start").alias("r_start"), c("end").alias("r_end"), T.clean(c("text")).alias("_t"))
+    sermons = sections.where("type = 'sermon'").select(*keys, c("id").alias("sid"), "start", "end")
+    pairs = interval_join(sermons, right, keys, width, touches)
+    has = lambda rx: c("_t").rlike(T.anywhere(rx))
+    one = W.partitionBy(*keys, "sid")
+    first = F.min(F.when(has(PRELUDE_INTRO), c("r_start"))).over(one)
+    marked = pairs.withColumn("_cut", first).withColumn("_at", clamp(c("_cut"), c("start"), c("end")))
+    early = lambda what: F.count_if((c("r_start") < c("_at")) & what)
+    found = marked.groupBy(*keys, c("sid").alias("id")).agg(F.max("_at").alias("_at"), F.count("*").alias("_n"), early(F.lit(True)).alias("_pre"), early(has(PRELUDE_PRAYER)).alias("_prayers"), early(has(PRELUDE_WORSHIP)).alias("_songs"))
+    df = sections.join(found, [*keys, "id"], "left")
+    fits = (c("_n") >= 6) & (c("end") - c("start") >= 120) & (c("_at") - c("start") >= 25) & (c("end") - c("_at") >= 90)
+    liturgy = (c("_pre") >= 2) & (c("_prayers") + c("_songs") >= 1) & ((c("_prayers") + c("_songs")) / c("_pre") >= 0.25)
+    song = c("_songs") > c("_prayers")
+    title = F.when(song, "Alabanza congregacional").when(c("_songs") > 0, "Oración y transición de adoración").otherwise("Oración congregacional")
+    prelude = _part(c("start"), c("_at"), title, F.when(song, "congregational_music").otherwise("prayer"), F.round(F.greatest(F.lit(0.72), c("confidence") - 0.08), 2))
+    sermon = _part(c("_at"), c("end"), F.when(c("title").rlike("(?i)sermon"), c("title")).otherwise("Sermón principal"), F.lit("sermon"), c("confidence"))
+    same = F.array(_part(c("start"), c("end"), c("title"), c("type"), c("confidence")))
+    return _parts(df, F.when(F.coalesce(fits & liturgy, F.lit(False)), F.array(prelude, sermon)).otherwise(same)).drop("_at", "_n", "_pre", "_prayers", "_songs")
+
+
+def split_at_greeting(sections: DataFrame, segments: DataFrame, keys: list[str], lead: float = 20.0, tail: float = 40.0, context: float = 90.0, width: float = 120.0) -> DataFrame:
+    """Sections become two at a greeting in them (``lead`` after their start, ``tail`` before their end) if what is said before and after it differs in
+    kind, or what is before is prayer, song, notices or offering. Only sections of two texts or more, 20 seconds longer than both margins."""
+    c = F.col
+    right = segments.select(*keys, c("start").alias("r_start"), c("end").alias("r_end"), c("id").alias("_rid"), T.clean(c("text")).alias("_t"))
+    pairs = interval_join(sections.select(*keys, c("id").alias("sid"), "start", "end"), right, keys, width, touches)
+    one = W.partitionBy(*keys, "sid")
+    here = c("_t").rlike(T.anywhere(T.GREETING)) & (c("r_start") >= c("start") + lead) & (c("r_end") <= c("end") - tail)
+    marked = pairs.withColumn("_cut", F.min(F.when(here, c("r_start"))).over(one)).withColumn("_n", F.count("*").over(one))
+    said = lambda near: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(near, F.struct("r_start", "_rid", "_t")))), lambda x: x["_t"]), " ")
+    before = said((c("r_end") >= c("_cut") - context) & (c("r_start") < c("_cut")))
+    after = said((c("r_start") <= c("_cut") + context) & (c("r_end") > c("_cut")))
+    found = marked.where("_cut is not null and _n >= 2").groupBy(*keys, c("sid").alias("id")).agg(F.max("_cut").alias("_at"), before.alias("_before"), after.alias("_after"))
+    df = sections.join(found, [*keys, "id"], "left").withColumns({"_first": T.section_type(c("_before"), c("type")), "_second": T.section_type(c("_after"), c("type"))})
+    split = c("_at").isNotNull() & (c("end") - c("start") >= lead + tail + 20) & (c("end") - c("_at") >= tail)
+    turn = (c("_first") != c("_second")) | c("_first").isin("prayer", "congregational_music", "announcement", "offering")
+    first = F.when(c("_first") == c("_second"), c("type")).otherwise(c("_first"))
+    parts = F.array(
+        _part(c("start"), c("_at"), F.when(first == c("type"), c("title")).otherwise(T.title_of(first)), first, c("confidence")),
+        _part(c("_at"), c("end"), F.when(c("_second") == c("type"), F.concat("title", F.lit(" (reinicio)"))).otherwise(T.title_of(c("_second"))), c("_second"), F.round(F.greatest(F.lit(0.72), c("confidence")), 2)),
+    )
+    same = F.array(_part(c("start"), c("end"), c("title"), c("type"), c("confidence")))
+    return _parts(df, F.when(F.coalesce(split & turn, F.lit(False)), parts).otherwise(same)).drop("_at", "_before", "_after", "_first", "_second")
+
+
 def titles_by_neighbours(sections: DataFrame, keys: list[str], least: float = 0.78) -> DataFrame:
     """Titles of sections with little confidence, from their type and those next to them; other titles stay."""
     order = W.partitionBy(*keys).orderBy("start", "id")

@@ -156,3 +156,43 @@ def talk_bounds(spark: SparkSession, d: str) -> DataFrame:
     slides = rows.select("key", kind.alias("type"), "text", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     ends = rows.groupBy("key").agg((F.max("end") * 0.3).alias("guess_start"), (F.max("end") * 0.8).alias("guess_end"), F.max_by("speaker", "start").alias("start_speaker"), F.min_by("speaker", "start").alias("end_speaker"))
     return B.talk_bounds(rows, sounds, slides, rows.select("key", "id", "start", "end", "speaker"), ends, ["key"])
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Two sections for each conversation: all but its last 50 seconds, and those."""
+    ends = spoken(spark, d).groupBy("key").agg(F.max("end").alias("e"))
+    part = lambda n, a, b, kind: F.struct(F.lit(n).alias("id"), a.alias("start"), b.alias("end"), F.lit("Part").alias("title"), F.lit(kind).alias("type"), F.lit(0.8).alias("confidence"))
+    e = F.col("e")
+    return ends.where("e > 60").select("key", F.explode(F.array(part(1, F.lit(0.0), e - 50, "sermon"), part(2, e - 50, e, "sermon"))).alias("s")).select("key", "s.*")
+
+
+@query(f"""
+    WITH {SPOKEN}, sec AS (
+        SELECT key, id, CASE id WHEN 1 THEN 0::DOUBLE ELSE e - 50 END AS start, CASE id WHEN 1 THEN e - 50 ELSE e END AS "end"
+        FROM (SELECT key, max("end") AS e FROM spoken GROUP BY key), (VALUES (1), (2)) v(id) WHERE e > 60
+    ), p AS (
+        SELECT sec.key, sec.id, sec.start, sec."end", s.start AS s, s.text,
+               min(CASE WHEN regexp_matches(s.text, '(?i)(?:{O.PRELUDE_INTRO})') THEN s.start END) OVER (PARTITION BY sec.key, sec.id) AS cut
+        FROM sec JOIN spoken s ON s.key = sec.key AND s."end" >= sec.start AND s.start <= sec."end"
+    ), f AS (
+        SELECT key, id, max(greatest(start, least("end", cut))) AS t, count(*) AS n, count(*) FILTER (WHERE s < greatest(start, least("end", cut))) AS pre,
+               count(*) FILTER (WHERE s < greatest(start, least("end", cut)) AND regexp_matches(text, '(?i)(?:{O.PRELUDE_PRAYER})')) AS pr,
+               count(*) FILTER (WHERE s < greatest(start, least("end", cut)) AND regexp_matches(text, '(?i)(?:{O.PRELUDE_WORSHIP})')) AS wo
+        FROM p GROUP BY key, id
+    ), x AS (
+        SELECT sec.*, t, pr, wo, coalesce(cut_ok AND n >= 6 AND "end" - start >= 120 AND t - start >= 25 AND "end" - t >= 90 AND pre >= 2 AND pr + wo >= 1 AND (pr + wo) / pre >= 0.25, false) AS two
+        FROM sec LEFT JOIN (SELECT *, t IS NOT NULL AND EXISTS (SELECT 1 FROM p WHERE p.key = f.key AND p.id = f.id AND cut IS NOT NULL) AS cut_ok FROM f) USING (key, id)
+    )
+    SELECT key, id, start, "end", 'Part' AS title, 'sermon' AS type, 0.8::DOUBLE AS confidence FROM x WHERE NOT two
+    UNION ALL
+    SELECT key, id, start, t, CASE WHEN wo > pr THEN 'Alabanza congregacional' WHEN wo > 0 THEN 'Oración y transición de adoración' ELSE 'Oración congregacional' END,
+           CASE WHEN wo > pr THEN 'congregational_music' ELSE 'prayer' END, 0.72::DOUBLE FROM x WHERE two
+    UNION ALL
+    SELECT key, id, t, "end", 'Sermón principal', 'sermon', 0.8::DOUBLE FROM x WHERE two""")
+def prelude_splits(spark: SparkSession, d: str) -> DataFrame:
+    return O.split_prelude(_spans(spark, d), spoken(spark, d), ["key"])
+
+
+@query(None)
+def greeting_splits(spark: SparkSession, d: str) -> DataFrame:
+    return O.split_at_greeting(_spans(spark, d), spoken(spark, d), ["key"])
