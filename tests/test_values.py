@@ -197,3 +197,9 @@ def test_section_borders(spark):
     texts = ["Feliz sábado", "feliz sabados", "xfeliz sábado", "amén.", "amén.ya", "amén"]
     found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", F.lower("t").rlike(O.ascii_borders(O.GREETING)).alias("g"), O.hits(F.lower("t"), [O.CUES["closing"][0]]).alias("n"))
     assert [(r.g, r.n) for r in found.orderBy("k").collect()] == [(True, 0), (False, 0), (False, 0), (False, 0), (False, 1), (False, 1)]
+
+
+def test_clock_from_a_hundred_hours_on(spark):
+    rows = spark.createDataFrame([(1, 360_003.0), (2, 3_600_000.0), (3, 59.9), (4, 359_999.0)], "id int, s double")
+    got = {r.id: r.c for r in rows.select("id", V.clock(F.col("s")).alias("c")).collect()}
+    assert got == {1: "100:00:03", 2: "1000:00:00", 3: "00:00:59", 4: "99:59:59"}

@@ -65,11 +65,13 @@ def clock_seconds(text: Column) -> Column:
 
 
 def _two(x: Column) -> Column:
-    return F.lpad(x.cast("string"), 2, "0")
+    """At least two digits; lpad alone would cut longer numbers."""
+    digits = x.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(2), F.length(digits)), F.lit("0"))
 
 
 def clock(seconds: Column) -> Column:
-    """HH:MM:SS, rounded down."""
+    """HH:MM:SS, rounded down; more digits from 100 hours on."""
     s = F.floor(F.greatest(F.lit(0.0), seconds))
     return F.concat_ws(":", _two(F.floor(s / 3600)), _two(F.floor(s % 3600 / 60)), _two(s % 60))
 
