@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -150,36 +151,64 @@ def counted_segments(chosen: DataFrame, p: SubstringParams) -> DataFrame:
     return chosen.select(*SHUFFLED, "anchors").mapInArrow(run, "anchor long, seg_a long, seg_b long, n long, words binary")
 
 
+def _rows_of_windows(found: list[tuple[bytes, int, int, bytes]], p: SubstringParams) -> pa.RecordBatch:
+    """Of segments (digest, anchor, number, words): a row for each digest of their windows (win, n; with seg and low if it stands once in them),
+    and the stretches (seg, low, high) that the others cover."""
+    hashes = [hash_words(body.split(b" ")) for *_, body in found]
+    sizes = np.array([len(h) - p.window + 1 for h in hashes])
+    owner = np.repeat(np.arange(len(found)), sizes)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    win_a, win_b = (np.concatenate([rolling(f(h), p.window) for h in hashes]).view(np.int64) for f in (lambda h: h, mix))
+    order = np.lexsort((win_b, win_a))
+    first = np.flatnonzero(np.concatenate([[True], (win_a[order][1:] != win_a[order][:-1]) | (win_b[order][1:] != win_b[order][:-1])]))
+    total = np.add.reduceat(np.array([n for _, _, n, _ in found])[owner][order], first)
+    one, again = order[first], np.zeros(len(order), bool)
+    again[order] = np.repeat(total > 1, np.diff([*first, len(order)]))
+    at = np.flatnonzero(again)
+    apart = (owner[at][1:] != owner[at][:-1]) | (np.diff(place[at]) > p.window)
+    low, high = (at[np.concatenate(x)] if len(at) else at for x in (([True], apart), (apart, [True])))
+    seg_a, seg_b = _long_pairs([d for d, *_ in found])
+    known, none = pa.array(total > 1), pa.nulls(len(low), pa.int64())
+    hide = lambda column: pc.if_else(known, pa.nulls(len(column), column.type), column)
+    columns = [
+        (pa.array(win_a[one], pa.int64()), none),
+        (pa.array(win_b[one], pa.int64()), none),
+        (pa.array(total, pa.int64()), none),
+        (hide(seg_a.take(pa.array(owner[one]))), seg_a.take(pa.array(owner[low]))),
+        (hide(seg_b.take(pa.array(owner[one]))), seg_b.take(pa.array(owner[low]))),
+        (hide(pa.array(place[one], pa.int32())), pa.array(place[low], pa.int32())),
+        (hide(pa.array(place[one] + p.window, pa.int32())), pa.array(place[high] + p.window, pa.int32())),
+    ]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], names=["win_a", "win_b", "n", "seg_a", "seg_b", "low", "high"])
+
+
 def counted_windows(texts: DataFrame, hot: np.ndarray, p: SubstringParams) -> DataFrame:
-    """The windows of the distinct segments of each task around hot anchors (sorted): digest, number, segment and place in it."""
+    """The windows of the distinct segments of each task around hot anchors (sorted), as ``_rows_of_windows``: what recurs inside
+    a task is known there, so a window of many segments goes out as one row a task and as stretches, not once for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((text, hot) for batch in batches for text in as_bytes(batch.column("text")))
         for found in _distinct_segments(rows, p):
-            for some in (found[at : at + 2_000] for at in range(0, len(found), 2_000)):
-                hashes = [hash_words(body.split(b" ")) for *_, body in some]
-                sizes = np.array([len(h) - p.window + 1 for h in hashes])
-                owner = np.repeat(np.arange(len(some)), sizes)
-                a, b = _long_pairs([d for d, *_ in some])
-                digests = [pa.array(np.concatenate([rolling(f(h), p.window) for h in hashes]).view(np.int64)) for f in (lambda h: h, mix)]
-                place = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)
-                times = np.array([n for _, _, n, _ in some])[owner]
-                columns = [*digests, pa.array(times), a.take(pa.array(owner)), b.take(pa.array(owner)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, names=["win_a", "win_b", "n", "seg_a", "seg_b", "low"])
+            if found:
+                made = _rows_of_windows(found, p)
+                yield from (made.slice(at, 100_000) for at in range(0, made.num_rows, 100_000))
 
-    return texts.select("text").mapInArrow(run, "win_a long, win_b long, n long, seg_a long, seg_b long, low int")
+    return texts.select("text").mapInArrow(run, "win_a long, win_b long, n long, seg_a long, seg_b long, low int, high int")
 
 
 def located_by_windows(windows: DataFrame, p: SubstringParams) -> DataFrame:
     """As ``located``, from the windows of segments: those whose digest recurs, joined where they overlap."""
     windows = cut(windows)
-    digest = ["win_a", "win_b"]
-    recurring = cut(windows.groupBy(*digest).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n"))
-    found = join_uneven(windows.drop("n"), recurring, digest, "rows", windows.count())
-    order = W.partitionBy("seg_a", "seg_b").orderBy("low")
-    apart = F.coalesce(F.col("low") - F.lag("low").over(order) > p.window, F.lit(True)).cast("int")
-    marked = found.select("seg_a", "seg_b", "low").distinct().withColumn("_new", apart).withColumn("_part", F.sum("_new").over(order))
-    return marked.groupBy("seg_a", "seg_b", "_part").agg(F.min("low").alias("low"), (F.max("low") + p.window).alias("high")).drop("_part")
+    digest, stretch = ["win_a", "win_b"], ["seg_a", "seg_b", "low", "high"]
+    counted = windows.where("win_a is not null")
+    open_ = counted.where("seg_a is not null").select(*digest, *stretch)  # those that stand once in a task
+    recurring = cut(counted.groupBy(*digest).agg(F.sum("n").alias("n"), F.count("seg_a").alias("rows")).where("n > 1 and rows > 0").drop("n"))
+    found = join_uneven(open_, recurring, digest, "rows", open_.count()).select(*stretch)
+    found = found.unionByName(windows.where("win_a is null").select(*stretch)).distinct()
+    order = W.partitionBy("seg_a", "seg_b").orderBy("low", "high")
+    reach = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = found.withColumn("_new", F.coalesce(F.col("low") > reach, F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(order))
+    return marked.groupBy("seg_a", "seg_b", "_part").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_part")
 
 
 def _uint64(values: pa.ListScalar) -> np.ndarray:
