@@ -146,3 +146,34 @@ def test_similarity_of_texts(spark):
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.similarity("a", "b").alias("r")).collect()
     assert all(abs(r.r - alike(r.a, r.b)) < 1e-12 for r in got)
     assert all(folds.ratio(a, b, 0.8) in (0.0, alike(a, b)) and (folds.ratio(a, b, 0.8) >= 0.8) == (alike(a, b) >= 0.8) for a, b in rows)
+
+
+def test_texts_are_tidied_once(spark):
+    """Measures and types of whole documents share one pass of cleaning, and no word of a long text is taken apart."""
+    df = spark.createDataFrame([("a", "slide")], "t string, r string")
+    for made in (T.lexical_score(F.col("t")), T.keep_hard(F.col("t"), 0.7, 0.05, 2, 8), T.on_screen_types(F.col("t"), F.col("r"))):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("([,.;:!?])") == 1
+
+
+def test_on_screen_types_are_those_of_each_function(spark):
+    rnd = random.Random(5)
+    some = ["Pr.", "Juan", "santo", "¡Gloria!", "(tu)", "Salmos", "23:1-4", "tema", "biblia", "texto bíblico", "iglesia", "a", "xyz", "amor,", "'mi'", "Ana", "1.5", "ALELUYA"]
+    rows = [(k, " ".join(rnd.choices(some, k=rnd.randrange(0, 14))), rnd.choice(["slide", "lower_third", "full"])) for k in range(300)] + [(301, None, "slide"), (302, " \n", "full")]
+    df = spark.createDataFrame(rows, "id int, t string, r string")
+    c = F.col
+    got = df.select("id", T.on_screen_types(c("t"), c("r")).alias("k")).select("id", "k.*")
+    want = df.select("id", T.on_screen_type(c("t"), c("r")).alias("kind"), T.slide_type(c("t"), c("r")).alias("slide"), T.lyrics_type(c("t"), c("r")).alias("lyrics"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shapes_of_words(spark):
+    texts = ["", "a", "ab abc abcd", "¡¡¡ --- a1é", "x-y-z (ñ) ábc", "a b c d e f g h", "--- ... ñü", "abc " * 200 + "end", "-" * 600 + "abc " * 7]
+    rows = [(k, " ".join(x.split())) for k, x in enumerate(texts)]
+    letter = re.compile("[A-Za-zÁÉÍÓÚáéíóúÑñÜü0-9]")
+    n, long, short = T.word_shapes(F.col("t"))
+    df = spark.createDataFrame(rows, "id int, t string").select("id", n.alias("n"), long.alias("long"), short.alias("short"), T._up_to(F.col("t"), 6, lambda x: T._words_with(x, 3)).alias("six"))
+    for r in df.collect():
+        sizes = [len(letter.findall(w)) for w in rows[r.id][1].split()]
+        assert (r.n, r.long, r.short) == (len(sizes), sum(x >= 3 for x in sizes), sum(x <= 1 for x in sizes))
+        assert r.six == min(6, r.long)

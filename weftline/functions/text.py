@@ -7,7 +7,7 @@ character other than A-Z, a-z, 0-9 and _, whatever the JVM's own notion of a wor
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -114,15 +114,35 @@ def noise_ratio(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(1.0)).otherwise(_ratio(text, r"[^|\[\]{}<>~_=]"))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once a row, however often f names it and whatever conditions it stands in."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of words of a tidy text: single spaces part them."""
+    return F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
+
+
+def _words_with(text: Column, least: int) -> Column:
+    """Number of words of a tidy text that have at least so many letters or digits. Each word is tried at its first character only."""
+    letter = "A-Za-zÁÉÍÓÚáéíóúÑñÜü0-9"
+    return F.regexp_count(text, F.lit(f"(?<![^ ])(?:[^ {letter}]*+[{letter}]){{{least}}}"))
+
+
 def word_shapes(text: Column) -> tuple[Column, Column, Column]:
-    """Numbers of words, of words with at least 3 letters or digits, and of words with at most 1."""
-    found = words(text)
-    sizes = F.transform(found, lambda w: F.length(F.regexp_replace(w, "[^A-Za-zÁÉÍÓÚáéíóúÑñÜü0-9]", "")))
-    return F.size(found), F.size(F.filter(sizes, lambda n: n >= 3)), F.size(F.filter(sizes, lambda n: n <= 1))
+    """Of a tidy text the numbers of words, of words with at least 3 letters or digits, and of words with at most 1."""
+    n = word_count(text)
+    return n, _words_with(text, 3), n - _words_with(text, 2)
+
+
+def _up_to(text: Column, most: int, count: Callable[[Column], Column]) -> Column:
+    """The smaller of ``most`` and count(text), of which a beginning has no more than the whole: most texts show ``most`` there."""
+    return F.when(count(F.substring(text, 1, 500)) >= most, F.lit(most)).otherwise(F.least(F.lit(most), count(text)))
 
 
 def alpha_count(text: Column) -> Column:
@@ -135,17 +155,20 @@ def _unit(x: Column) -> Column:
 
 def lexical_score(text: Column) -> Column:
     """Weighted quality of a short text: letters and digits, lack of noise, length, words, long words, letters."""
-    t = tidy(text)
-    n, long, _ = word_shapes(t)
-    score = (
-        0.30 * alnum_ratio(t)
-        + 0.22 * (1.0 - noise_ratio(t))
-        + 0.16 * _unit(F.length(t) / 120.0)
-        + 0.12 * _unit(n / 10.0)
-        + 0.10 * _unit(long / 6.0)
-        + 0.10 * _unit(alpha_count(t) / 60.0)
-    )
-    return F.when(t == "", F.lit(0.0)).otherwise(F.round(_unit(score), 6))
+
+    def of(t: Column) -> Column:
+        long, letters = _up_to(t, 6, lambda x: _words_with(x, 3)), _up_to(t, 60, alpha_count)
+        score = (
+            0.30 * alnum_ratio(t)
+            + 0.22 * (1.0 - noise_ratio(t))
+            + 0.16 * _unit(F.length(t) / 120.0)
+            + 0.12 * _unit(word_count(t) / 10.0)
+            + 0.10 * _unit(long / 6.0)
+            + 0.10 * _unit(letters / 60.0)
+        )
+        return F.when(t == "", F.lit(0.0)).otherwise(F.round(_once(score, _unit) * 1_000_000) / 1_000_000)  # the last bit of a tie counts as in SQL
+
+    return _once(tidy(text), of)
 
 
 def keep_text(text: Column, confidence: Column, least_len: int, least_conf: float, alpha: float, alnum: float, symbols: float) -> Column:
@@ -162,17 +185,18 @@ def keep_text(text: Column, confidence: Column, least_len: int, least_conf: floa
 
 
 def keep_hard(text: Column, alnum: float, noise: float, least_words: int, least_alpha: int) -> Column:
-    t = tidy(text)
-    n, long, _ = word_shapes(t)
-    letters = alpha_count(t)
-    return (
-        (t != "")
-        & (alnum_ratio(t) >= alnum)
-        & (noise_ratio(t) <= noise)
-        & ~((n < least_words) & (letters < least_alpha))
-        & ~((F.length(t) >= 18) & (n < 2))
-        & ~((long == 0) & (letters < least_alpha + 2))
-    )
+    def of(t: Column) -> Column:
+        n, letters = word_count(t), _up_to(t, least_alpha + 2, alpha_count)
+        return (
+            (t != "")
+            & (alnum_ratio(t) >= alnum)
+            & (noise_ratio(t) <= noise)
+            & ~((n < least_words) & (letters < least_alpha))
+            & ~((F.length(t) >= 18) & (n < 2))
+            & ~((letters < least_alpha + 2) & (_words_with(t, 3) == 0))
+        )
+
+    return _once(tidy(text), of)
 
 
 def keep_fullscreen(text: Column, start: Column, end: Column, confidence: Column, least_sec: float, least_conf: float, least_chars: int, least_words: int, least_long: int, alnum: float, noise: float) -> Column:
@@ -316,39 +340,59 @@ def cues(text: Column) -> Column:
     return F.when((t == "") | alone, F.array_compact(F.array(F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("section")))))).otherwise(F.array_compact(F.array(*found)))
 
 
-def on_screen_type(text: Column, region: Column) -> Column:
-    """Verse, then title (not on slides), then name (by region), then lyric, else generic."""
-    t = tidy(text)
-    found = words(t)
-    name_shape = (F.size(found) >= 2) & (F.size(found) <= 7) & F.forall(found, lambda w: F.length(w) >= 2) & F.exists(found, lambda w: w.rlike(r"^\p{Lu}"))
-    slide_name = t.rlike(r"\b[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+){1,3}\b") | (F.size(F.regexp_extract_all(t, F.lit("([A-Za-zÁÉÍÓÚáéíóúÑñÜü]+)"), F.lit(1))) >= 6)
+def _on_screen(t: Column, region: Column) -> Column:
+    n, found = word_count(t), words(t)
+    name_shape = (n >= 2) & (n <= 7) & F.forall(found, lambda w: F.length(w) >= 2) & F.exists(found, lambda w: w.rlike(r"^\p{Lu}"))
+    letter = "A-Za-zÁÉÍÓÚáéíóúÑñÜü"
+    slide_name = t.rlike(r"\b[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+){1,3}\b") | t.rlike(f"(?:[{letter}]++[^{letter}]++){{5}}[{letter}]")
     is_name = t.rlike(rf"(?iu)\b({NAME_CUE})\b")
     return (
         F.when(t == "", "on_screen_text")
-        .when(t.rlike(rf"(?iu)\b{VERSE}\b"), "bible_verse")
+        .when(t.rlike("[0-9][:.][0-9]") & t.rlike(rf"(?iu)\b{VERSE}\b"), "bible_verse")  # every verse has such a place
         .when((region != "slide") & t.rlike(rf"(?iu)\b({TITLE_CUE})\b"), "sermon_title")
         .when((region == "lower_third") & (is_name | name_shape), "speaker_name")
         .when((region == "slide") & is_name & slide_name, "speaker_name")
-        .when(t.rlike(rf"(?iu)\b({LYRIC_CUE})\b") & (F.size(found) >= 4), "song_lyric")
+        .when((n >= 4) & t.rlike(rf"(?iu)\b({LYRIC_CUE})\b"), "song_lyric")
         .otherwise("on_screen_text")
     )
 
 
+def _lyric(t: Column, least_words: int) -> Column:
+    n, edge = word_count(t), "[.,;:!?¡¿()\\[\\]{}\"']*+"
+    one = f"(?:^| ){edge}(?:{'|'.join(LYRIC_KEYWORDS)}){edge}(?= |$)"
+    low = F.lower(t)
+    enough = F.when(n >= max(4, least_words), low.rlike(one)).otherwise(low.rlike(f"{one}.*{one}"))
+    return (t != "") & (n >= max(1, least_words)) & ~t.rlike(rf"(?iu)\b({OVERLAY})\b") & enough
+
+
+def _slide(t: Column, kind: Column) -> Column:
+    return F.when(t == "", "on_screen_text").when(t.rlike(rf"(?iu)\b({VERSE_CUE})\b"), "bible_verse").when(t.rlike(rf"(?iu)\b({SLIDE_TITLE_CUE})\b"), "sermon_title").otherwise(kind)
+
+
+def on_screen_type(text: Column, region: Column) -> Column:
+    """Verse, then title (not on slides), then name (by region), then lyric, else generic."""
+    return _once(tidy(text), lambda t: _on_screen(t, region))
+
+
 def lyric_like(text: Column, least_words: int = 4) -> Column:
-    t = tidy(text)
-    found = words(t)
-    bare = F.transform(found, lambda w: F.lower(F.regexp_replace(w, "^[.,;:!?¡¿()\\[\\]{}\"']+|[.,;:!?¡¿()\\[\\]{}\"']+$", "")))
-    hits = F.size(F.filter(bare, lambda w: w.isin(LYRIC_KEYWORDS)))
-    return (t != "") & ~t.rlike(rf"(?iu)\b({OVERLAY})\b") & (F.size(found) >= max(1, least_words)) & ((hits >= 2) | ((hits >= 1) & (F.size(found) >= max(4, least_words))))
+    return _once(tidy(text), lambda t: _lyric(t, least_words))
 
 
 def slide_type(text: Column, region: Column) -> Column:
-    t = tidy(text)
-    return F.when(t == "", "on_screen_text").when(t.rlike(rf"(?iu)\b({VERSE_CUE})\b"), "bible_verse").when(t.rlike(rf"(?iu)\b({SLIDE_TITLE_CUE})\b"), "sermon_title").otherwise(on_screen_type(text, region))
+    return _once(tidy(text), lambda t: _slide(t, _on_screen(t, region)))
 
 
 def lyrics_type(text: Column, region: Column) -> Column:
-    return F.when(lyric_like(text), "song_lyric").otherwise(on_screen_type(text, region))
+    return _once(tidy(text), lambda t: F.when(_lyric(t, 4), "song_lyric").otherwise(_on_screen(t, region)))
+
+
+def on_screen_types(text: Column, region: Column) -> Column:
+    """Struct of kind (``on_screen_type``), slide (``slide_type``) and lyrics (``lyrics_type``), which share a pass over the text."""
+
+    def types(t: Column, kind: Column) -> Column:
+        return F.struct(kind.alias("kind"), _slide(t, kind).alias("slide"), F.when(_lyric(t, 4), "song_lyric").otherwise(kind).alias("lyrics"))
+
+    return _once(tidy(text), lambda t: _once(_on_screen(t, region), lambda kind: types(t, kind)))
 
 
 def audio_label(raw: Column) -> Column:

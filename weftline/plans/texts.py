@@ -96,7 +96,7 @@ SAMPLES = [
 @query(None)
 def on_screen_types(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", F.col("text").alias("t"), F.when(F.col("doc_id") % 2 == 0, "slide").otherwise("lower_third").alias("region"))
-    return docs.select("doc_id", T.on_screen_type(F.col("t"), F.col("region")).alias("kind"), T.slide_type(F.col("t"), F.col("region")).alias("slide"), T.lyrics_type(F.col("t"), F.col("region")).alias("lyrics"))
+    return docs.select("doc_id", T.on_screen_types(F.col("t"), F.col("region")).alias("_k")).select("doc_id", "_k.kind", "_k.slide", "_k.lyrics")
 
 
 @query(r"""WITH s AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) AS t FROM documents),
