@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import bounds as B
+from weftline.operators.scoring import audio_signal
 from weftline.operators.scoring import END_WEIGHTS, START_WEIGHTS
 
 SEGMENT = "key int, id long, start double, end double, text string"
@@ -81,3 +82,14 @@ def test_no_change_of_speakers_leaves_the_best(spark):
     for at_start in (True, False):
         (row,) = B.choose(scored, segments, turns, ["key"], at_start).collect()
         assert (row.t, row.chosen) == (100.0, "scored")
+
+
+def test_audio_signal_adds_up_once(spark):
+    """One aggregate by point, both sides and all labels together; a point without sounds has shares of 0."""
+    points = spark.createDataFrame([(1, 1, 20.0), (1, 2, 500.0), (2, 3, 5.0)], "key int, id int, t double")
+    sounds = spark.createDataFrame([(1, "Music", 8.0, 20.0), (1, "male", 20.0, 26.0), (1, "male", 18.0, 19.0)], "key int, label string, r_start double, r_end double")
+    made = audio_signal(points, sounds, ["key"], 60.0)
+    assert made._jdf.queryExecution().analyzed().toString().count("Aggregate [") == 1
+    got = {r.id: r for r in made.collect()}
+    assert (got[1].before_music, got[1].after_speech, got[1].before_gender, got[1].music_to_speech) == (1.0, 0.5, "male", True)
+    assert all((got[k].before_music, got[k].after_speech, got[k].before_gender) == (0.0, 0.0, None) for k in (2, 3))

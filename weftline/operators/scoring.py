@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.values import clamp, rounded
-from weftline.operators.intervals import around, label_seconds
+from weftline.operators.intervals import interval_join, overlap_length
 
 
 @dataclass(frozen=True)
@@ -22,13 +22,6 @@ class SignalParams:
     pause: float = 0.22
 
 
-def pivot_labels(seconds: DataFrame, keys: list[str]) -> DataFrame:
-    """label_seconds as columns music, noenergy, male, female, speech (all speech-like labels)."""
-    pick = lambda *names: F.coalesce(F.sum(F.when(F.col("label").isin(*names), F.col("length"))), F.lit(0))
-    aggs = [pick(n).alias(n) for n in ("music", "noenergy", "male", "female")]
-    return seconds.groupBy(*keys).agg(*aggs, pick(*T.SPEECH_LABELS).alias("speech"))
-
-
 def first_largest(values: list[tuple[str, Column]]) -> Column:
     """The name of the largest positive value, the first one on ties; null without any."""
     out = F.lit(None).cast("string")
@@ -43,19 +36,24 @@ def first_largest(values: list[tuple[str, Column]]) -> Column:
 
 
 def audio_signal(points: DataFrame, events: DataFrame, keys: list[str], width, p: SignalParams = SignalParams()) -> DataFrame:
-    """Adds to points (keys, id, t) the shares of labels before and after, and what follows from them."""
-    frames = around(points, p.frame).withColumn("window", F.struct("id", "side"))
-    seconds = label_seconds(frames.select(*keys, "window", "start", "end"), events, keys, width)
-    wide = pivot_labels(seconds, [*keys, "window"])
-    length = frames.select(*keys, "id", "side", F.greatest(F.lit(0.001), F.col("end") - F.col("start")).alias("_len"))
-    shares = length.join(wide.select(*keys, F.col("window.id").alias("id"), F.col("window.side").alias("side"), "music", "noenergy", "male", "female", "speech"), [*keys, "id", "side"], "left")
-    names = ["music", "noenergy", "male", "female", "speech"]
-    aggs = []
-    for side in ("before", "after"):
+    """Adds to points (keys, id, t) the shares of labels before and after, and what follows from them.
+
+    A point meets its events once, for both sides, and what it meets is added up by point: a row a point and bucket is shuffled.
+    """
+    t, zero = F.col("t"), F.lit(0)
+    sides = {"before": (F.greatest(t - p.frame, zero), t), "after": (t, t + p.frame)}
+    frames = points.select(*keys, "id", "t", sides["before"][0].alias("start"), sides["after"][1].alias("end"))
+    names = {"music": ["music"], "noenergy": ["noenergy"], "male": ["male"], "female": ["female"], "speech": T.SPEECH_LABELS}
+    heard = events.select(*keys, F.lower("label").alias("label"), "r_start", "r_end").where(F.col("label").isin(sorted({x for some in names.values() for x in some})))
+    pairs = interval_join(frames, heard, keys, width)
+    lengths = {side: overlap_length(a, b, F.col("r_start"), F.col("r_end")) for side, (a, b) in sides.items()}
+    sums = [F.sum(F.when(F.col("label").isin(some) & (length > 0), length)).alias(f"_{side}_{n}") for side, length in lengths.items() for n, some in names.items()]
+    out = points.join(pairs.groupBy(*keys, "id").agg(*sums), [*keys, "id"], "left").dropna(subset=keys)
+    for side, (a, b) in sides.items():
         for n in names:
-            value = F.coalesce(n, F.lit(0)) / F.col("_len") if n in ("music", "noenergy", "speech") else F.coalesce(n, F.lit(0))
-            aggs.append(F.max(F.when(F.col("side") == side, value)).alias(f"{side}_{n}"))
-    out = points.join(shares.groupBy(*keys, "id").agg(*aggs), [*keys, "id"])
+            value = F.coalesce(f"_{side}_{n}", zero)
+            out = out.withColumn(f"{side}_{n}", value / F.greatest(F.lit(0.001), b - a) if n in ("music", "noenergy", "speech") else value)
+    out = out.drop(*(f"_{side}_{n}" for side in sides for n in names))
     c = F.col
     out = out.withColumn("before_gender", first_largest([("male", c("before_male")), ("female", c("before_female"))]))
     out = out.withColumn("after_gender", first_largest([("male", c("after_male")), ("female", c("after_female"))]))
