@@ -75,3 +75,16 @@ def test_greetings(spark):
         else:
             want.append((key, n, a, b, title, kind, sure))
     assert splits > 2 and found(O.split_at_greeting(parts, df, ["key"])) == sorted(want)
+
+
+def test_cue_words_keep_every_hit(spark):
+    """Patterns find in the shortened texts, joined in any way, what they find in the whole, and long texts without cues become short."""
+    rnd = random.Random(8)
+    said = "feliz sábado|sabado|la predicación|sermón|mensaje,|tema|abran sus biblias|abramos su|biblia|abra|palabra de dios|texto bíblico|vamos a|estudiar|oremos|inclinen el rostro|te lo pedimos|en el nombre de|jesús|amén|amen,ya|amén.|padre nuestro|señor te damos|gracias|equipo de|alabanza|abrazo al que está al|lado|saluda al que está a tu lado|ofrendas|oración final|¡que dios les bendiga!|invito al grupo de|póngaste|pónganse de pie|pasen aquí|pasen adelante|terminamos cantando|les queremos|agradecer|gracias pastor|cantar|hoy|¡ya|(no)|x|día|un|casa|-|écoro|a|de|el|que".split("|")
+    texts = [" ".join(rnd.choices(said, k=rnd.randrange(1, 7))) for _ in range(1500)]
+    rows = [(k, *rnd.choices(texts, k=3)) for k in range(1500)] + [(1500, "nada " * 3000, "", "amén")]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string").select("id", F.concat_ws(" ", "a", "b", "c").alias("whole"), F.concat_ws(" ", *(O.cue_words(F.col(x)) for x in "abc")).alias("short"))
+    patterns = [rx for some in O.CUES.values() for rx in some] + [O.GREETING, *O.HANDOFF_NEAR]
+    wrong = sum(((O.hits(F.col("whole"), [rx]) != O.hits(F.col("short"), [rx])).cast("int") for rx in patterns), F.lit(0))
+    assert df.where(wrong > 0).count() == 0
+    assert df.where("id = 1500").select(F.length("short")).first()[0] < 50

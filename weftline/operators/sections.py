@@ -74,6 +74,26 @@ def says(text: Column, patterns: list[str]) -> Column:
     return out
 
 
+#: Stems of the words that CUES, GREETING and HANDOFF_NEAR are made of, and the small words between and before them.
+_CUE_STEMS = (
+    "abr|actividad|adelante|adoraci|agradecer|alabanza|am[eé]n|anuncio|aqu[ií]|b[ií]blic|biblia|bendi|canci|canta|cantemos|convivio|coro|damos|despedida|diezmo|dios|equipo|"
+    "estudi|evangelio|feliz|final|gracias|grupo|himno|inclin|invito|jes[uú]s|lado|m[uú]sica|mensaje|nombre|nuestro|ofertorio|ofrenda|ora|oremos|padre|palabra|pasaje|pasar|"
+    "pasen|pastor|pedimos|pie|p[oó]nganse|ponerse|pong[aá]monos|potluck|predicaci|programaci|queremos|recordatorio|rodillas|rostro|s[áa]bado|saluda|se[ñn]or|serm[oó]n|tema|"
+    "terminamos|texto|t[ií]tulo|vamos"
+)
+_SMALL_WORDS = "a|al|de|el|en|est[aá]|les|lo|que|su|sus|te|tu"
+_NO_CUE = rf"(?![^ ]*?(?:{_CUE_STEMS})|[^ ]*?(?<![A-Za-z0-9_])(?:{_SMALL_WORDS})(?![^ ]))"
+
+
+def cue_words(text: Column) -> Column:
+    """A clean, lower-case text in which each run of words of no cue is its first character and a sign that no cue has.
+
+    The cues find in it, and in any texts joined from such, what they find in the whole: words of cues keep their places beside each other, and the
+    character after them says as before whether a word begins there.
+    """
+    return F.regexp_replace(text, rf"(?<![^ ]){_NO_CUE}([^ ])[^ ]*+(?: {_NO_CUE}[^ ]++)*+", "$1¤")
+
+
 def holds_any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -207,8 +227,9 @@ def slide_events(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
 
 
 def gathered(frames: DataFrame, segments: DataFrame, keys: list[str], frame: list[str], width: float) -> DataFrame:
-    """keys, frame and text: lower-case texts of the segments that touch each frame (start, end), in order; frames without any are absent."""
-    right = segments.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("id").alias("_rid"), F.lower(T.clean(F.col("text"))).alias("_text"))
+    """keys, frame and text: the words of cues in the lower-case texts of the segments that touch each frame (start, end), in order (``cue_words``: a long text
+    goes to many frames, few of its words matter); frames without any are absent."""
+    right = segments.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("id").alias("_rid"), cue_words(F.lower(T.clean(F.col("text")))).alias("_text"))
     pairs = interval_join(frames, right, keys, width, touches)
     packed = F.array_sort(F.collect_list(F.struct("r_start", "r_end", "_rid", "_text")))
     return pairs.groupBy(*keys, *frame).agg(F.array_join(F.transform(packed, lambda x: x["_text"]), " ").alias("text"))
