@@ -1,11 +1,13 @@
 """Operators on documents against brute force, and their edge cases."""
 
 import hashlib
+import json
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from weftline.llm.lang_id import LangParams, identify
 from weftline.llm.mixing import MixParams, entropy, find_exponent, mix, sums_of, tempered
 from weftline.llm.near_dup import NearDupParams, least_matches, near_duplicates
 from weftline.llm.quality import score_quality
-from weftline.llm.substring import SubstringParams, remove_repeats, repeated_spans
-from weftline.llm.token_counts import TokenCountParams, count_tokens, encoder, pieces
+from weftline.llm.substring import SubstringParams, counted_windows, remove_repeats, repeated_spans, window_anchors
+from weftline.llm.token_counts import TokenCountParams, _plain_specials, count_tokens, encoder, pieces
 
 WORDS = [f"w{k}" for k in range(400)]
 DOC = "doc_id long, text string"
@@ -156,6 +158,22 @@ def test_removal_matches_brute_force(spark, window, anchor, hot):
     assert sorted(found, key=order) == sorted(brute_removal(rows, window), key=order)
 
 
+def test_windows_of_a_frequent_passage_are_joined_inside_tasks(spark):
+    """A passage of 300 different segments is known to recur in their task: none of its windows is left for a join, and every segment has its stretch."""
+    p = SubstringParams(window=20, anchor=4)
+    passage = prose(1, 40)
+    texts = [f"{prose(100 + k, 25)} {passage} {prose(900 + k, 25)}" for k in range(300)] + [f"{prose(2000, 25)} {passage} {prose(2001, 25)}"]
+    least, _ = window_anchors(passage.encode().split(), p)
+    hot = np.sort(np.unique(least))
+    rows = counted_windows(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1), hot, p).toPandas()
+    single = rows[rows.win_a.notna() & rows.seg_a.notna()]
+    assert (single.n == 1).all() and not single.duplicated(["win_a", "win_b"]).any()
+    assert rows.n.max() == 301 and (rows[rows.n > 1].seg_a.isna()).all()
+    stretches = rows[rows.win_a.isna()]
+    assert len(stretches.drop_duplicates(["seg_a", "seg_b"])) == len(stretches) >= 301
+    assert (stretches.high - stretches.low >= p.window).all()
+
+
 def test_removal_edges(spark):
     docs = with_clashes(spark.createDataFrame(odd_documents(), DOC))
     got = remove_repeats(docs, SubstringParams(untouched=True), carry=("label",)).collect()
@@ -615,3 +633,16 @@ def test_token_counts_of_cut_texts(name):
     sizes = iter(library([x for parts in cut_texts for x in parts]))
     assert [sum(next(sizes) for _ in parts) for parts in cut_texts] == library(texts)
     assert sum(len(x) > 1 for x in cut_texts) > 2000
+
+
+def test_token_counts_without_normalisation():
+    """Plain texts leave out the normalisation of the library, with its counts for every character up to U+0250 and for all that isn't plain."""
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    signs = [chr(c) for c in range(0x300)]
+    texts = ["".join(signs[:0x250]), "".join(f"a{c}B {c}x" for c in signs[:0x250]), *(f"Da{c}E'S {c}{c} 1{c}2" for c in signs)]
+    texts += ["", " ", "A\u00a0B\t\tC\u0085d\x1ce", "<|startoftext|>", "x<|STARTOFTEXT|>y", "<|EndOfText|> I'M <|endoftext|>", "e\u0301 \u00c9T\u00c9", "\u03a3\u03a3 \u0130\u0049", "\u4e2d\u6587 Text"]
+    assert encoder(path)(texts) == [len(library.encode(x, add_special_tokens=False)) for x in texts]
+    assert _plain_specials(json.loads(library.to_str())) == ["<|startoftext|>", "<|endoftext|>"]
