@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import bounds as B
-from weftline.operators.scoring import audio_signal
-from weftline.operators.scoring import END_WEIGHTS, START_WEIGHTS
+from weftline.operators.scoring import END_WEIGHTS, START_WEIGHTS, audio_signal
 
 SEGMENT = "key int, id long, start double, end double, text string"
 TURN = "key int, id long, start double, end double, speaker string"
