@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -108,6 +109,26 @@ def test_mixed_buckets_in_blocks(spark, monkeypatch, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
 
 
+def test_near_duplicates_of_a_small_table_leave_few_files(spark):
+    """The tasks follow the rows, not the shuffle partitions: each one leaves files, however few rows it has."""
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if spark.sparkContext.getCheckpointDir() else None
+    files = lambda: sum(1 for _ in folder.rglob("part-*")) if folder else 0
+    rows = [(k, " ".join(prose(7, 120).split()[:60] + [f"c{k + j}" for j in range(60)])) for k in range(60)]
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    left = files()
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        got = near_duplicates(spark.createDataFrame(rows, DOC), NearDupParams(shingle=2)).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
+    assert files() - left < 1000
+
+
 def test_near_duplicates_edges(spark):
     docs = with_clashes(spark.createDataFrame(odd_documents(), DOC))
     got = near_duplicates(docs).collect()

@@ -37,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of the input that a task of a small table takes at least, and the tasks that any table may have.
+TASK_ROWS, LEAST_TASKS = 4096, 12
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than a table of so many rows needs.
+
+    A task leaves files and a place in each log however few rows it has; a chain of many shuffles over a small table
+    would leave more of those than of data. Nothing changes once there are rows for all partitions.
+    """
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 def join_uneven(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, parts: int = 1000, how: str = "inner") -> DataFrame:
     """left joined with right, whose keys are unique and whose column n says how many rows of left have its key.
 

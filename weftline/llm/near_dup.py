@@ -9,7 +9,8 @@ connect. The work runs in rounds, so that large groups never cost all their pair
    pairs of its smallest id with the others (a star), of which each document tests first the one
    that most buckets propose, and later those that still join two components.
 3. Buckets whose members are in several components still compare all pairs across components,
-   block by block inside tasks, which return only links that join components.
+   block by block inside tasks, which return only links that join components. A pair is compared in
+   the first band whose bucket it shares.
 
 Every proposed pair has to pass the Bayesian test on signatures (BayesLSH-Lite) and is then decided on
 its full sets, so no link is wrong; a link at the threshold is missed with about the probability
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, as_bytes, cut, groups, hash_words, join_uneven, mix, rolling
+from weftline.llm.common import LOWER, as_bytes, cut, fewer, groups, hash_words, join_uneven, mix, rolling
 
 
 @dataclass(frozen=True)
@@ -143,9 +144,9 @@ def _alive(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, tests: li
     return alive
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
+def likely(pairs: DataFrame, sigs: DataFrame, total: int, p: NearDupParams) -> DataFrame:
     """Pairs (a, b) that no batch of hashes makes unlikely enough to throw away."""
-    sides = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    sides = fewer(pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a"), total)
     sides = sides.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
     k, tests = p.bands * p.rows, _tests(p)
 
@@ -165,12 +166,13 @@ def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: Data
     and move once for each block of the others; the others are compared with it and with each
     other, block by block. A bucket with a few strays so moves few rows more than it has, and no task's
     memory grows with a bucket. A first pass over signatures finds the documents in any likely pair, a
-    second one compares their sets.
+    second one compares their sets. Documents that are close to one another share many buckets: a pair counts
+    in that of its first band only (31 bits of its keys tell), so few sets move to several buckets.
     """
-    placed = buckets.join(labels, buckets.doc_id == labels.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    placed = buckets.join(labels, buckets.doc_id == labels.id, "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    counts = fewer(placed, total).groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = cut(mixed.selectExpr("key", "top.component as big", f"cast(ceil(top.n / {BLOCK}) as int) as bigs", f"cast(ceil((n - top.n) / {BLOCK}) as int) as others", "n"))
+    mixed = cut(fewer(mixed.selectExpr("key", "top.component as big", f"cast(ceil(top.n / {BLOCK}) as int) as bigs", f"cast(ceil((n - top.n) / {BLOCK}) as int) as others", "n"), total))
     dealt = join_uneven(placed, mixed, ["key"], "n", total * p.bands, 1000 * p.bands)
     part = lambda blocks: F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)")
     cell = "struct(cast({0} as int) as kind, cast({1} as int) as i, cast({2} as int) as j, cast({3} as int) as own)"
@@ -178,8 +180,8 @@ def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: Data
     with_big = "transform(sequence(0, bigs - 1), x -> {})".format(cell.format(0, "block", "x", 0))
     with_each = "transform(sequence(0, others - 1), x -> {})".format(cell.format(1, "least(x, block)", "greatest(x, block)", "block"))
     dealt = dealt.withColumn("is_big", F.col("component") == F.col("big")).withColumn("block", F.when(F.col("is_big"), part("bigs")).otherwise(part("others")))
-    dealt = dealt.select("key", "doc_id", "component", F.explode(F.expr(f"if(is_big, {with_all}, concat({with_big}, {with_each}))")).alias("_cell"))
-    dealt = dealt.select("key", "_cell.kind", "_cell.i", "_cell.j", "_cell.own", "doc_id", "component")
+    dealt = dealt.select("key", "band", "doc_id", "component", F.explode(F.expr(f"if(is_big, {with_all}, concat({with_big}, {with_each}))")).alias("_cell"))
+    dealt = cut(fewer(dealt.select("key", "band", "_cell.kind", "_cell.i", "_cell.j", "_cell.own", "doc_id", "component"), total))
     place = ["key", "kind", "i", "j"]
     order = [*place, "own"]
     k, tests = p.bands * p.rows, _tests(p)
@@ -189,11 +191,13 @@ def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: Data
         group, own = (part.column(c).to_numpy() for c in ("component", "own"))
         group = group.copy()
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, k)
+        bits = part.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, p.bands)[:, : part.column("band")[0].as_py()]
         two_blocks = part.column("kind")[0].as_py() == 0 or part.column("i")[0].as_py() != part.column("j")[0].as_py()
         for r in range(int((own == own[0]).sum()) if two_blocks else len(group)):  # the first block comes first
             others = np.flatnonzero(group[r + 1 :] != group[r]) + r + 1
             if two_blocks:
                 others = others[own[others] != own[r]]
+            others = others[~(bits[others] == bits[r]).any(axis=1)]
             if len(others):
                 yield r, others[_alive(sig, sig, np.full(len(others), r), others, tests)], group
 
@@ -203,7 +207,7 @@ def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: Data
             for r, others, _ in likely_pairs(part):
                 hit[others] = True
                 hit[r] |= bool(len(others))
-            yield from part.drop_columns(["sig"]).filter(pa.array(hit)).to_batches()
+            yield from part.drop_columns(["sig", "bits"]).filter(pa.array(hit)).to_batches()
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, place):
@@ -227,12 +231,15 @@ def left_over(buckets: DataFrame, labels: DataFrame, docs: DataFrame, reps: Data
                             group[group == group[other]] = group[r]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sigs = reps.select("doc_id", "sig")
-    schema = "key long, kind int, i int, j int, own int, doc_id long, component long"
-    near = cut(dealt.join(sigs, "doc_id").select(*place, "own", "doc_id", "component", "sig").repartition(*place).sortWithinPartitions(*order).mapInArrow(in_any, schema))
-    sets = sets_of(docs, _few(near.select("doc_id").distinct()), p)
-    both = near.join(sigs, "doc_id").join(sets, "doc_id").repartition(*place).sortWithinPartitions(*order)
-    return both.mapInArrow(linked, "a long, b long").distinct()
+    sigs = reps.select("doc_id", "sig", F.expr("transform(keys, x -> cast(x & 2147483647 as int))").alias("bits"))
+    sigs = cut(fewer(sigs.join(_few(dealt.select("doc_id").distinct(), total), "doc_id", "left_semi"), total))
+    schema = "key long, band int, kind int, i int, j int, own int, doc_id long, component long"
+    rows = ["key", "band", "kind", "i", "j", "own", "doc_id", "component", "sig", "bits"]
+    near = cut(fewer(dealt.join(sigs, "doc_id"), total).select(*rows).repartition(*place).sortWithinPartitions(*order).mapInArrow(in_any, schema))
+    near = fewer(near, total)
+    sets = sets_of(docs, _few(near.select("doc_id").distinct(), total), p)
+    both = fewer(near.join(sigs, "doc_id").join(sets, "doc_id"), total).repartition(*place).sortWithinPartitions(*order)
+    return both.mapInArrow(linked, "a long, b long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
@@ -246,11 +253,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, total: int, p: NearDupParams) -> DataFrame:
     """Pairs whose full sets have at least the similarity asked for."""
     small = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     large = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    sides = pairs.join(small, "b").join(large, "a").select("a", "b", "set_a", "set_b")
+    sides = fewer(pairs.join(small, "b"), total).join(large, "a").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,27 +271,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in "ab"], names=["a", "b"])
 
-    return sides.mapInArrow(run, "a long, b long")
+    return fewer(sides, total).mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, total: int) -> DataFrame:
     """(id, component): the smallest id that links reach, for every id in a link.
 
     Labels move along links and then jump to the label of their label, so long chains take a
     logarithmic number of rounds; each round is written to the shared folder.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(fewer(fewer(both, total).distinct(), total))
+    labels = _few(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), total)
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("least"))
-        moved = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "least").alias("now"))
-        jump = moved.select(F.col("id").alias("now"), F.col("now").alias("next"))
-        labels = cut(moved.join(jump, "now").select("id", "was", F.col("next").alias("component")))
+        moved = fewer(near, total).join(labels, F.col("a") == labels.id).select("id", F.col("component").alias("was"), F.least("component", "least").alias("now"))
+        jump = labels.select(F.col("id").alias("now"), F.col("component").alias("next"))
+        labels = _few(moved.join(jump, "now").select("id", "was", F.col("next").alias("component")), total)
         if labels.where("was <> component").isEmpty():
             return labels.select("id", "component")
         labels = labels.select("id", "component")
 
 
+def joined(labels: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """The labels after further links: these join whole components, so only those are labelled anew."""
+    ends = _few(components(_across(links, labels).selectExpr("ca as a", "cb as b"), total).select(F.col("id").alias("end"), F.col("component").alias("now")), total)
+    moved = labels.join(ends, labels.component == ends.end, "left").select("id", F.coalesce("now", "component").alias("component"))
+    single = ends.join(labels, ends.end == labels.id, "left_anti").select(F.col("end").alias("id"), F.col("now").alias("component"))
+    return _few(moved.unionByName(single), total)
+
+
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -299,48 +315,48 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     total = slim.count()
     some = slim.where("n_shingles > 0 and doc_id is not null")
     digest = ["set_a", "set_b"]
-    shared = cut(some.groupBy(*digest).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1"))
-    member = cut(join_uneven(some.select("doc_id", *digest), shared, digest, "n", total, how="left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
-    first = member.where("doc_id = class_id").select("doc_id").distinct()
-    reps = cut(base.where("n_shingles > 0").join(first, "doc_id", "left_semi").select("doc_id", "sig", "keys"))
+    shared = cut(fewer(some.groupBy(*digest).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), total))
+    member = join_uneven(some.select("doc_id", *digest), shared, digest, "n", total, how="left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    member = cut(fewer(member, total))
+    first = _few(member.where("doc_id = class_id").select("doc_id").distinct(), total)
+    reps = cut(fewer(base.where("n_shingles > 0").join(first, "doc_id", "left_semi").select("doc_id", "sig", "keys"), total))
 
     # The buckets with at least two representatives, a row for each member.
-    flat = reps.select("doc_id", F.explode("keys").alias("key"))
+    flat = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     centers = flat.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("center < last").select("key", "center", "n")
-    buckets = cut(join_uneven(flat, cut(centers), ["key"], "n", total * p.bands, 1000 * p.bands))
-    stars = cut(buckets.where("doc_id <> center").groupBy(F.col("center").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared")))
+    buckets = cut(fewer(join_uneven(flat, cut(fewer(centers, total)), ["key"], "n", total * p.bands, 1000 * p.bands), total))
+    stars = buckets.where("doc_id <> center").groupBy(F.col("center").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
+    stars = cut(fewer(stars, total))
 
-    stars = cut(likely(stars, reps, p).join(stars, ["a", "b"]))
-    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(sets_of(docs, _few(ends), p))
+    alive = fewer(likely(stars, reps, total, p), total)
+    stars = cut(fewer(alive.join(stars, ["a", "b"]), total))
+    ends = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id")))
+    sets = cut(fewer(sets_of(docs, _few(fewer(ends, total).distinct(), total), p), total))
 
     best = stars.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
-    links = cut(confirmed(best, sets, p))
-    labels = components(links)
-    rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
-    links = links.unionByName(cut(confirmed(rest, sets, p)))
-    labels = components(links)
-
-    links = links.unionByName(cut(left_over(buckets, labels, docs, reps, total, p)))
-    labels = components(links)
+    best = cut(fewer(best, total))
+    labels = components(cut(confirmed(best, sets, total, p)), total)
+    rest = fewer(_across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).select("a", "b"), total)
+    labels = joined(labels, cut(confirmed(rest, sets, total, p)), total)
+    labels = joined(labels, fewer(cut(left_over(buckets, labels, docs, reps, total, p)), total), total)
 
     sizes = member.groupBy("class_id").agg(F.count("*").alias("n")).join(labels, F.col("class_id") == labels.id).select("class_id", "component", "n")
-    done = join_uneven(member, cut(sizes), ["class_id"], "n", total, how="left")
-    done = done.select("doc_id", *digest, F.coalesce("component", "class_id").alias("component_id")).distinct()
-    rows = slim.join(done, ["doc_id", *digest], "left")
+    done = join_uneven(member, cut(fewer(sizes, total)), ["class_id"], "n", total, how="left")
+    done = fewer(done, total).select("doc_id", *digest, F.coalesce("component", "class_id").alias("component_id")).distinct()
+    rows = fewer(slim.join(done, ["doc_id", *digest], "left"), total)
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """The ids, marked for broadcast if they are few."""
-    ids = cut(ids)
+def _few(ids: DataFrame, total: int) -> DataFrame:
+    """The ids, written down, and marked for broadcast if they are few."""
+    ids = cut(fewer(ids, total))
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of documents that aren't in one component."""
+    """Pairs of documents that aren't in one component, and the components (ca, cb)."""
     a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     b = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     tagged = pairs.join(a, "a", "left").join(b, "b", "left")
-    return tagged.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return tagged.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
